@@ -1,0 +1,108 @@
+"""Problem 4: records that differ in spacing, case, punctuation or field order, by dictionary encoding."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from yarrow.common import table
+
+LEAST_LETTERS = 20
+#: What a record keeps of a text: letters (with their marks) and digits.
+_DROP = r"[^\p{L}\p{M}\p{N}]+"
+#: A labelled field: a label of words, a colon, a value.
+_FIELD = r"^[\s*>“”\"'«»(\[_-]*[\p{L}\p{M}][\p{L}\p{M}\p{N}\s()./’'*_-]{0,60}[:：]"
+
+
+def canonical(text: Column) -> Column:
+    """Letters and digits only, case folded by lower(upper(x)), which joins ß and ss, ς and σ."""
+    return F.regexp_replace(F.lower(F.upper(text)), _DROP, "")
+
+
+def labelled_fields(text: Column) -> Column:
+    """The fields of a text that consists of labelled fields, else an empty array.
+
+    The part sign is the first of semicolon, vertical bar and line break by which every part starts
+    with a label; so a line break inside a semicolon-parted value parts nothing.
+    """
+    def parts(sign: str) -> Column:
+        return F.filter(F.split(text, sign), lambda x: F.length(F.regexp_replace(x, _DROP, "")) > 0)
+
+    def good(p: Column) -> Column:
+        return (F.size(p) >= 2) & F.forall(p, lambda x: x.rlike(_FIELD))
+
+    semi, bar, line = parts("[;；]"), parts("[|｜]"), parts("[\n\r]+")
+    none = F.array().cast("array<string>")
+    return F.when(F.instr(text, ":") + F.instr(text, "：") > 0, F.when(good(semi), semi).when(good(bar), bar).when(good(line), line).otherwise(none)).otherwise(none)
+
+
+def dictionary(values: DataFrame, raw: str = "raw") -> DataFrame:
+    """(raw, value_id, letters): each distinct value canonicalised once and given an integer.
+
+    The integer is a 64-bit hash; canonical forms that share it are told apart by their rank, so
+    that equal identifiers always mean equal forms.
+    """
+    once = values.select(raw).distinct().withColumn("canon", canonical(F.col(raw)))
+    # a window over one hash value holds the spellings of one form; the rank differs only in collisions
+    forms = once.select("canon").distinct().withColumn("_h", F.xxhash64("canon"))
+    forms = forms.withColumn("_k", F.row_number().over(Window.partitionBy("_h").orderBy("canon")) - 1)
+    ids = forms.select("canon", F.when(F.col("_k") == 0, F.col("_h")).otherwise(F.xxhash64("_h", "_k")).alias("value_id"))
+    return once.join(ids, "canon").select(raw, "value_id", F.length("canon").alias("letters"))
+
+
+def record_keys(df: DataFrame, key: str, text: str, least: int = LEAST_LETTERS) -> DataFrame:
+    """(key, record): record is the sorted tuple of value identifiers of each text of ``least`` letters and digits or more.
+
+    Null, empty and shorter texts give no row. Texts with the same letters and digits in the same order share a
+    tuple even if only one of them still shows its fields.
+    """
+    base = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    base = base.withColumn("_letters", canonical(F.col("_text"))).where(F.length("_letters") >= least)
+    # the whole text is field 0 of every record; labelled texts have their fields besides
+    fields = base.select("_key", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("_letters").alias("raw"))), F.transform(labelled_fields(F.col("_text")), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("raw"))))).alias("f"))
+    fields = fields.select("_key", "f.whole", "f.raw")
+    ids = dictionary(fields)
+    coded = fields.join(ids, "raw").groupBy("_key").agg(
+        F.max(F.when(F.col("whole"), F.col("value_id"))).alias("whole_id"),
+        F.sort_array(F.collect_list(F.when(~F.col("whole"), F.col("value_id")))).alias("ids"),
+    )
+    coded = coded.withColumn("ids", F.when(F.size("ids") > 0, F.col("ids")))
+    # one tuple for each letter sequence: that of a member which shows its fields, if any
+    shown = coded.where("ids IS NOT NULL").groupBy("whole_id").agg(F.min("ids").alias("shown"))
+    return coded.join(shown, "whole_id", "left").select(F.col("_key").alias(key), F.coalesce("shown", F.array("whole_id")).alias("record"))
+
+
+def copies(df: DataFrame, key: str, text: str, least: int = LEAST_LETTERS) -> DataFrame:
+    """(first, copy) for each record's members but the first by ``key``.
+
+    The groups are pre-aggregated before the exchange (min and count combine on the map side), so a
+    record that holds a third of all rows costs one row a task; only groups with copies are joined back.
+    """
+    keys = record_keys(df, key, text, least)
+    groups = keys.groupBy("record").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return keys.join(groups, "record").where(F.col("_first") < F.col(key)).select(F.col("_first").alias("first"), F.col(key).alias("copy"))
+
+
+def collapsed(df: DataFrame, key: str, text: str, least: int = LEAST_LETTERS) -> DataFrame:
+    """(key, n_copies): one row for each record, its lowest key and its number of copies, itself included.
+
+    Texts too short to be compared stay as they are, one row each; null texts too.
+    """
+    keys = record_keys(df, key, text, least)
+    groups = keys.groupBy("record").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies")).drop("record")
+    alone = df.where(F.col(text).isNull() | (F.length(canonical(F.col(text))) < least)).select(key, F.lit(1).cast("long").alias("n_copies"))
+    return groups.unionByName(alone)
+
+
+def p4_found(spark, sf_dir):
+    """first_ord, copy_ord of chunks that are the same record."""
+    return copies(table(spark, sf_dir, "chunks"), "ord", "text").select(F.col("first").alias("first_ord"), F.col("copy").alias("copy_ord"))
+
+
+def p4_records(spark, sf_dir):
+    """Each record once, by its lowest ord, with its number of copies."""
+    return collapsed(table(spark, sf_dir, "chunks"), "ord", "text")
+
+
+QUERIES = {"p4_found": p4_found, "p4_records": p4_records}
+SQL: dict[str, str] = {}

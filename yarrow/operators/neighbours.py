@@ -1,0 +1,229 @@
+"""Problem 5: the k most similar vectors of every vector, by a k-means tree searched best bin first."""
+
+from __future__ import annotations
+
+import heapq
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from yarrow.common import cut, spread, table
+
+K = 5
+#: The tree is fitted on at most about so many vectors, whatever the collection's size.
+SAMPLE = 20_000
+BRANCH, LEAF_SAMPLE = 12, 24
+#: Recall on the calibration queries at which widening stops, and how many queries calibrate.
+RECALL, CALIBRATION = 0.995, 400
+#: Rows of a leaf, and queries, that meet in one task.
+BLOCK = 4096
+
+
+class Tree:
+    """Centroids of every node; children[i] is empty for a leaf, whose number is leaf[i]."""
+
+    def __init__(self) -> None:
+        self.centroids: list[np.ndarray] = []  # of a node's children, one matrix a node
+        self.children: list[list[int]] = []
+        self.leaf: list[int] = []
+        self.n_leaves = 0
+
+    def _add(self) -> int:
+        self.centroids.append(np.zeros((0, 0), dtype=np.float32))
+        self.children.append([])
+        self.leaf.append(-1)
+        return len(self.leaf) - 1
+
+    @classmethod
+    def fit(cls, vectors: np.ndarray, branch: int = BRANCH, leaf_sample: int = LEAF_SAMPLE, seed: int = 7) -> Tree:
+        tree, rng = cls(), np.random.default_rng(seed)
+        todo = [(tree._add(), np.arange(len(vectors)))]
+        while todo:
+            node, rows = todo.pop()
+            parts = _kmeans(vectors[rows], branch, rng) if len(rows) > leaf_sample else None
+            if parts is None:
+                tree.leaf[node] = tree.n_leaves
+                tree.n_leaves += 1
+                continue
+            centres, of = parts
+            tree.centroids[node] = centres
+            for j in range(len(centres)):
+                child = tree._add()
+                tree.children[node].append(child)
+                todo.append((child, rows[of == j]))
+        return tree
+
+    def visit(self, vector: np.ndarray, most: int) -> list[int]:
+        """The first ``most`` leaves, best bin first: a queue of nodes by the similarity of their centroids."""
+        queue: list[tuple[float, int]] = [(-1.0, 0)]
+        found: list[int] = []
+        while queue and len(found) < most:
+            _, node = heapq.heappop(queue)
+            if self.leaf[node] >= 0:
+                found.append(self.leaf[node])
+                continue
+            for s, child in zip((self.centroids[node] @ vector).tolist(), self.children[node]):
+                heapq.heappush(queue, (-s, child))
+        return found
+
+    def assign(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf of each vector: the nearest child at every level."""
+        out = np.zeros(len(vectors), dtype=np.int32)
+        todo = [(0, np.arange(len(vectors)))]
+        while todo:
+            node, rows = todo.pop()
+            if self.leaf[node] >= 0:
+                out[rows] = self.leaf[node]
+            elif len(rows):
+                best = np.argmax(vectors[rows] @ self.centroids[node].T, axis=1)
+                todo += [(child, rows[best == j]) for j, child in enumerate(self.children[node])]
+        return out
+
+
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray] | None:
+    """Spherical k-means seeded by distance; None if the vectors don't come apart (copies)."""
+    centres = [x[rng.integers(len(x))]]
+    far = 1 - x @ centres[0]
+    for _ in range(min(k, len(x)) - 1):
+        weight = np.maximum(far, 0)
+        if weight.sum() < 1e-6:
+            break
+        centres.append(x[rng.choice(len(x), p=weight / weight.sum())])
+        far = np.minimum(far, 1 - x @ centres[-1])
+    c = np.array(centres)
+    for _ in range(rounds):
+        of = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, of, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c)
+    of = np.argmax(x @ c.T, axis=1)
+    kept = np.unique(of)
+    if len(kept) < 2:
+        return None
+    return c[kept].astype(np.float32), np.searchsorted(kept, of)
+
+
+def calibrate(tree: Tree, x: np.ndarray, k: int = K, recall: float = RECALL, queries: int = CALIBRATION) -> int:
+    """Widen the number of visited leaves until the calibration queries reach the recall."""
+    if tree.n_leaves < 2 or len(x) < 2:
+        return 1
+    picked = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
+    sims = x[picked] @ x.T
+    sims[np.arange(len(picked)), picked] = -2
+    k = min(k, len(x) - 1)
+    true = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    of = tree.assign(x)
+    orders = [{leaf: i for i, leaf in enumerate(tree.visit(x[q], tree.n_leaves))} for q in picked]
+    needed = np.sort(np.array([[orders[i][leaf] + 1 for leaf in of[row]] for i, row in enumerate(true)]).ravel())
+    return int(min(tree.n_leaves, max(2, needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])))
+
+
+def usable(df: DataFrame, vector: str, dim: int) -> F.Column:
+    """Of the given length, without null or NaN or infinite elements, not all zero."""
+    v = F.col(vector)
+    return v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
+def _unit(raw: pd.Series) -> np.ndarray:
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in raw])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """(key, neighbour, rank 1..k, cosine) for every usable vector.
+
+    Vectors that are null, empty, of another length, all zero or hold a null or NaN have no rows and are no
+    neighbours; a repeated key counts as one vector (its smallest by content). Ties go to the smaller
+    key. With fewer than k others there are fewer rows; an empty table gives none.
+    The tree, at most ``sample`` / LEAF_SAMPLE leaves or so, is the only thing broadcast; leaves of more
+    than ``block`` rows or queries are met block by block, each pair of blocks in a task of its own.
+    """
+    spark = df.sparkSession
+    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable(df.select(F.col(vector).alias("v")), "v", dim))
+    total = base.count()
+    part = min(1.0, sample / max(total, 1))
+    # a hash of the key decides who is in the sample: the same rows at every run and partitioning
+    picked = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * part)).select("id", "v").toPandas().sort_values("id")
+    schema_out = f"{key} {dict(df.dtypes)[key]}, neighbour {dict(df.dtypes)[key]}, rank int, cosine double"
+    if not len(picked):
+        return spark.createDataFrame([], schema_out)
+    x = _unit(picked["v"]).astype(np.float32)
+    tree = Tree.fit(x)
+    visits = calibrate(tree, x, k)
+    shared = spark.sparkContext.broadcast(tree)
+
+    def place(batches):
+        tree = shared.value
+        for pdf in batches:
+            if len(pdf):
+                unit = _unit(pdf["v"])
+                single = unit.astype(np.float32)
+                yield pd.DataFrame({"id": pdf["id"], "u": [r.tobytes() for r in unit], "leaf": tree.assign(single), "visits": [tree.visit(r, visits) for r in single]})
+
+    kind = dict(df.dtypes)[key]
+    placed = cut(spread(base).mapInPandas(place, f"id {kind}, u binary, leaf int, visits array<int>"))
+    # one row a leaf, at most as many as the tree has
+    rows_in = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("_x"))
+    asked = placed.select(F.explode("visits").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("_q"))
+    sizes = F.broadcast(rows_in.join(asked, "leaf").select("leaf", F.ceil(F.col("_x") / block).cast("int").alias("nx"), F.ceil(F.col("_q") / block).cast("int").alias("nq")))
+    near = F.xxhash64("id")
+    left = placed.join(sizes, "leaf").select(F.lit(True).alias("is_x"), "leaf", F.pmod(near, "nx").cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "id", "u")
+    right = placed.select("id", "u", F.explode("visits").alias("leaf")).join(sizes, "leaf").select(F.lit(False).alias("is_x"), "leaf", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(near, "nq").cast("int").alias("bq"), "id", "u")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        ours = pdf[pdf["is_x"]].sort_values("id")
+        theirs = pdf[~pdf["is_x"]]
+        if not len(ours) or not len(theirs):
+            return pd.DataFrame({"id": pd.Series(dtype=object), "found": pd.Series(dtype=object)})
+        ids = ours["id"].to_numpy()
+        xs = np.frombuffer(b"".join(ours["u"]), dtype=np.float64).reshape(len(ours), -1)
+        qs = np.frombuffer(b"".join(theirs["u"]), dtype=np.float64).reshape(len(theirs), -1)
+        at = {i: n for n, i in enumerate(ids.tolist())}
+        names, founds = theirs["id"].tolist(), []
+        for a in range(0, len(qs), 1024):
+            sims = qs[a : a + 1024] @ xs.T
+            for r, name in enumerate(names[a : a + 1024]):
+                if (own := at.get(name)) is not None:
+                    sims[r, own] = -2
+            m = min(k, sims.shape[1])
+            top = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m < sims.shape[1] else np.tile(np.arange(m), (len(sims), 1))
+            for r, cols in enumerate(top):
+                founds.append([{"cosine": float(sims[r, c]), "neighbour": ids[c]} for c in cols if sims[r, c] > -1.5])
+        return pd.DataFrame({"id": names, "found": founds})
+
+    met = left.unionByName(right).groupBy("leaf", "bx", "bq").applyInPandas(meet, f"id {kind}, found array<struct<cosine:double,neighbour:{kind}>>")
+    merged = met.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("f"))
+    best = merged.select(F.col("id").alias(key), F.posexplode(F.slice(F.array_distinct(F.expr("array_sort(f, (a, b) -> CASE WHEN a.cosine > b.cosine THEN -1 WHEN a.cosine < b.cosine THEN 1 WHEN a.neighbour < b.neighbour THEN -1 WHEN a.neighbour > b.neighbour THEN 1 ELSE 0 END)")), 1, k)).alias("rank", "n"))
+    return best.select(key, F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("n.cosine").alias("cosine"))
+
+
+def _points(spark, sf_dir):
+    dim = table(spark, sf_dir, "h1_vector_quality_report_0").agg(F.max("vector_dim")).first()[0]
+    return table(spark, sf_dir, "points"), int(dim or 0)
+
+
+def p5_neighbours(spark, sf_dir):
+    """Every usable vector's five most similar others."""
+    points, dim = _points(spark, sf_dir)
+    return nearest(points, "chunk_id", "vector", dim)
+
+
+def p5_found(spark, sf_dir):
+    """chunk_a < chunk_b, of which at least one has the other among its five most similar."""
+    found = p5_neighbours(spark, sf_dir)
+    return found.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
+
+
+QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
+SQL = {
+    "p5_found": """
+WITH u AS (SELECT chunk_id, vector FROM points, h1_vector_quality_report_0 WHERE len(vector) = vector_dim
+  AND list_sum(list_transform(vector, lambda x: CASE WHEN isnan(x) OR isinf(x) THEN 1 ELSE 0 END)) = 0
+  AND list_sum(list_transform(vector, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)) > 0),
+n AS (SELECT chunk_id, list_transform(vector, lambda x: x::DOUBLE) v FROM u),
+s AS (SELECT a.chunk_id q, b.chunk_id x, row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.chunk_id) k FROM n a, n b WHERE a.chunk_id <> b.chunk_id)
+SELECT DISTINCT least(q, x) chunk_a, greatest(q, x) chunk_b FROM s WHERE k <= 5"""
+}
