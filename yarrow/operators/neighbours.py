@@ -14,9 +14,9 @@ from yarrow.common import cut, spread, table
 K = 5
 #: The tree is fitted on at most about so many vectors, whatever the collection's size.
 SAMPLE = 20_000
-BRANCH, LEAF_SAMPLE = 12, 24
+BRANCH, LEAF_SAMPLE = 32, 256
 #: Recall on the calibration queries at which widening stops, and how many queries calibrate.
-RECALL, CALIBRATION = 0.995, 400
+RECALL, CALIBRATION = 0.99, 400
 #: Rows of a leaf, and queries, that meet in one task.
 BLOCK = 4096
 
@@ -159,9 +159,8 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
         tree = shared.value
         for pdf in batches:
             if len(pdf):
-                unit = _unit(pdf["v"])
-                single = unit.astype(np.float32)
-                yield pd.DataFrame({"id": pdf["id"], "u": [r.tobytes() for r in unit], "leaf": tree.assign(single), "visits": [tree.visit(r, visits) for r in single]})
+                single = _unit(pdf["v"]).astype(np.float32)
+                yield pd.DataFrame({"id": pdf["id"], "u": [r.tobytes() for r in single], "leaf": tree.assign(single), "visits": [tree.visit(r, visits) for r in single]})
 
     kind = dict(df.dtypes)[key]
     placed = cut(spread(base).mapInPandas(place, f"id {kind}, u binary, leaf int, visits array<int>"))
@@ -179,8 +178,8 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
         if not len(ours) or not len(theirs):
             return pd.DataFrame({"id": pd.Series(dtype=object), "found": pd.Series(dtype=object)})
         ids = ours["id"].to_numpy()
-        xs = np.frombuffer(b"".join(ours["u"]), dtype=np.float64).reshape(len(ours), -1)
-        qs = np.frombuffer(b"".join(theirs["u"]), dtype=np.float64).reshape(len(theirs), -1)
+        xs = np.frombuffer(b"".join(ours["u"]), dtype=np.float32).reshape(len(ours), -1).astype(np.float64)
+        qs = np.frombuffer(b"".join(theirs["u"]), dtype=np.float32).reshape(len(theirs), -1).astype(np.float64)
         at = {i: n for n, i in enumerate(ids.tolist())}
         names, founds = theirs["id"].tolist(), []
         for a in range(0, len(qs), 1024):
