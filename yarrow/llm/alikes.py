@@ -43,6 +43,8 @@ _EMOJI = re.compile("([‼-㊙\U0001f000-\U0001faff\U0001f3fb-\U0001f3ff#*0-9])(
 @lru_cache(maxsize=200_000)
 def _word(word: str) -> str:
     """A word's letters in the alphabet of its other letters."""
+    if any(c.isascii() for c in word):  # an accent may have joined an alien letter
+        word = "".join(unicodedata.normalize("NFC", ALIKE[d[0]] + d[1:]) if (d := unicodedata.normalize("NFD", c))[0] in ALIKE and len(d) > 1 else c for c in word)
     latin = sum(c.isascii() or "LATIN" in unicodedata.name(c, "") for c in word)
     alien = [c for c in word if c in CYRILLIC or c in GREEK]
     others = len(word) - latin - len(alien)
