@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yarrow.common import table
+from yarrow.common import cut, table
 
 LEAST_LETTERS = 20
 #: What a record keeps of a text: letters (with their marks) and digits.
@@ -66,7 +66,8 @@ def record_keys(df: DataFrame, key: str, text: str, least: int = LEAST_LETTERS)
         F.max(F.when(F.col("whole"), F.col("value_id"))).alias("whole_id"),
         F.sort_array(F.collect_list(F.when(~F.col("whole"), F.col("value_id")))).alias("ids"),
     )
-    coded = coded.withColumn("ids", F.when(F.size("ids") > 0, F.col("ids")))
+    # identifiers only, a few bytes a text: written once, as the grouping and both joins behind read them
+    coded = cut(coded.withColumn("ids", F.when(F.size("ids") > 0, F.col("ids"))))
     # one tuple for each letter sequence: that of a member which shows its fields, if any
     shown = coded.where("ids IS NOT NULL").groupBy("whole_id").agg(F.min("ids").alias("shown"))
     return coded.join(shown, "whole_id", "left").select(F.col("_key").alias(key), F.coalesce("shown", F.array("whole_id")).alias("record"))
