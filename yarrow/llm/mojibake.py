@@ -261,7 +261,11 @@ def restore(text: str, length: Lengths) -> tuple[str, list[str]]:
                 if old == new:
                     continue
                 before, after = length(old), length(new) + (1 if chain.sure else CHAIN_COST)
-                if after < before - (0 if chain.sure else max(2, MARGIN * before)):
+                # in a stretch of a few words the margin would hide the gain; there words that become known decide
+                pairs = [(a, b) for a, b in zip(words[begin:end:2], good[::2]) if a != b]
+                learnt = sum(b.strip(_SIGNS).lower() in length.known and a.strip(_SIGNS).lower() not in length.known for a, b in pairs)
+                plain = chain.sure or (learnt >= 2 and learnt >= 0.75 * len(pairs))
+                if after < before - (0 if chain.sure else -CHAIN_COST - 1 if plain else max(2, MARGIN * before)):
                     options.append((chain.sure, before - after, chain.name, begin, end, good))
         if not options:
             break
