@@ -109,7 +109,7 @@ def _utf8_reader(shown: str) -> Callable[[str], str | None]:
 
 _LOST = re.compile("�+")
 #: Scripts that no text here is written in; bytes that only happen to be right UTF-8 give such letters.
-_FOREIGN = re.compile("[\u0250-\u036f\u0460-\u048f\u0492-\u1dff\u1f00-\u1fff\u2440-\u24ff\u25a0-\u2fff\ua000-\udfff\ufb00-\ufdff\U00010000-\U0010ffff]")
+_FOREIGN = re.compile("[\u0180-\u0191\u0193-\u019f\u01a2-\u01ae\u01b1-\u024f\u0250-\u036f\u0460-\u048f\u0492-\u1dff\u1f00-\u1fff\u2440-\u24ff\u25a0-\u2fff\ua000-\udfff\ufb00-\ufdff\U00010000-\U0010ffff]")
 
 
 def _from_gbk(word: str) -> str | None:
