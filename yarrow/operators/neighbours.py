@@ -17,6 +17,8 @@ SAMPLE = 20_000
 BRANCH, LEAF_SAMPLE = 32, 256
 #: Recall on the calibration queries at which widening stops, and how many queries calibrate.
 RECALL, CALIBRATION = 0.99, 400
+#: Every query sees about so many vectors at least, which makes small collections exact.
+SEEN = 512
 #: Rows of a leaf, and queries, that meet in one task.
 BLOCK = 4096
 
@@ -152,7 +154,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
         return spark.createDataFrame([], schema_out)
     x = _unit(picked["v"]).astype(np.float32)
     tree = Tree.fit(x)
-    visits = calibrate(tree, x, k)
+    visits = min(tree.n_leaves, max(calibrate(tree, x, k), -(-SEEN * tree.n_leaves // max(total, 1))))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):

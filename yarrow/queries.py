@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from yarrow.operators import borda, copies, neighbours, splitting
+from yarrow.operators import borda, chunking, copies, evidence, neighbours, reports, retrieval, splitting
 
-_MODULES = (borda, copies, neighbours, splitting)
+_MODULES = (borda, copies, neighbours, splitting, retrieval, evidence, chunking, reports)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
