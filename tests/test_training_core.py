@@ -1,0 +1,146 @@
+"""Rank fusion, splitting, copies and neighbours: edge cases and brute force."""
+
+import random
+
+import numpy as np
+import pytest
+
+from yarrow.common import running_before
+from yarrow.operators import borda, copies, neighbours, splitting
+
+S = "g string, item string, a double, b double, `_group` string, text string"
+
+
+def _borda_model(rows):
+    """Brute force by group: average competition ranks, mid-rank for missing or lone scores."""
+    best = {}
+    for g, i, *scores in rows:
+        old = best.setdefault(g, {}).setdefault(i, [None] * len(scores))
+        for k, s in enumerate(scores):
+            if s is not None and s == s and (old[k] is None or s > old[k]):
+                old[k] = s
+    out = {}
+    for g, items in best.items():
+        n = len(items)
+        for i, scores in items.items():
+            total = 0.0
+            for k, s in enumerate(scores):
+                have = [v[k] for v in items.values() if v[k] is not None]
+                if s is None or len(have) < 2:
+                    total += (n - 1) / 2
+                else:
+                    rank = 1 + sum(x > s for x in have)
+                    total += (len(have) - (rank + (have.count(s) - 1) / 2)) * (n - 1) / (len(have) - 1)
+            out[(g, i)] = round(total, 6)
+    return out
+
+
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_borda_against_brute_force(spark, hot):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["x", "y", None, ""]), f"i{rnd.randrange(12)}", rnd.choice([None, float("nan"), 1.0, 2.0, rnd.random() * 1000]), rnd.choice([None, -1.0, rnd.random()])) for _ in range(150)]
+    df = spark.createDataFrame([(*r, "clash", "t") for r in rows], S)
+    got = {(r.g, r.item): round(r.points, 6) for r in borda.borda(df, "g", "item", ["a", "b"], hot_rows=hot).collect()}
+    assert got == _borda_model(rows)
+
+
+def test_borda_empty_and_ties(spark):
+    assert borda.borda(spark.createDataFrame([], S), "g", "item", ["a", "b"]).count() == 0
+    df = spark.createDataFrame([("q", "b", 1.0, 5.0, "", ""), ("q", "a", 1.0, 5.0, "", ""), ("q", "a", 1.0, 5.0, "", "")], S)
+    assert [r.item for r in borda.first_places(borda.borda(df, "g", "item", ["a", "b"]), "g", "item").collect()] == ["a"]
+
+
+def test_running_before_is_a_prefix_sum(spark):
+    rnd = random.Random(1)
+    rows = [(("hot" if rnd.random() < 0.6 else rnd.choice("ab")), i, rnd.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o int, w int")
+    from pyspark.sql import functions as F
+
+    got = {(r.k, r.o): r.before for r in running_before(df, ["k"], [F.col("o")], F.col("w")).collect()}
+    sums: dict = {}
+    for k, o, w in sorted(rows, key=lambda r: (r[0], r[1])):
+        assert got[(k, o)] == sums.get(k, 0)
+        sums[k] = sums.get(k, 0) + w
+
+
+TEXTS = {
+    1: None, 2: "", 3: "ngắn", 4: "a" * 1500, 5: "b" * 1501, 6: "Câu một khá dài. " * 400, 7: ("đoạn văn " * 30 + "\n\n") * 20, 8: "无空格" * 1200, 9: "x" * 100_000, 10: " \n" * 3000,
+}
+
+
+def test_pieces_rebuild_the_text(spark):
+    rows = [(i, t, "p", 0, "clash") for i, t in TEXTS.items()] + [(6, TEXTS[6], "p", 0, "clash")]
+    df = spark.createDataFrame(rows, "ord bigint, t string, parent string, child int, piece string")
+    got: dict = {}
+    for r in splitting.split_texts(df, "t", ["ord"]).collect():
+        got.setdefault(r.ord, []).append(r)
+    for i, t in TEXTS.items():
+        pieces = sorted(got[i], key=lambda r: r.piece_no)
+        if t is None or len(t) <= 1500:
+            assert [p.piece for p in pieces] == [t]
+            continue
+        if i == 6:
+            pieces = pieces[::2]  # the repeated row comes out each
+        end = 0
+        for p in pieces:
+            assert 0 < len(p.piece) <= 1500 and t[p.start_char : p.start_char + len(p.piece)] == p.piece
+            assert p.piece_no == 0 or 100 <= end - p.start_char <= 200
+            end = p.start_char + len(p.piece)
+        assert end == len(t)
+
+
+def test_an_edit_moves_only_neighbouring_pieces():
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) + rnd.choice(["", "", "."]) for _ in range(9000))
+    edited = text[:3000] + "một câu chen vào " + text[3000:]
+    a = {text[s:e] for s, e in splitting.cuts(text)}
+    b = {edited[s:e] for s, e in splitting.cuts(edited)}
+    assert len(a & b) > 0.5 * len(a)
+
+
+def test_renumbering(spark):
+    df = spark.createDataFrame([(1, "p", 0, "a" * 2000), (2, "p", 1, "b"), (3, "q", 0, None), (4, "p", 0, "c")], "ord bigint, parent_id string, child_index int, text string")
+    pieces = splitting.split_texts(df, "text", ["ord"])
+    rows = sorted((r.parent_id, r.child_index, r.ord) for r in splitting.renumbered(df, pieces, "ord", "parent_id", ["child_index", "ord"]).collect())
+    assert rows == [("p", 0, 1), ("p", 1, 1), ("p", 2, 4), ("p", 3, 2), ("q", 0, 3)]
+
+
+def test_copies(spark):
+    labelled = "Tên vị thuốc: quế chi; Tính vị: vị cay; Liều sáng: 5 g; Liều tối: 9 g"
+    rows = [
+        (1, "Chất chiết từ quế chi làm dịu ho khan."), (2, "**CHẤT CHIẾT từ  quế chi\nlàm dịu ho khan**"), (3, "Chất chiết từ quế chi làm dịu ho khàn."), (4, None), (5, ""), (6, "ngắn"), (7, "NGẮN!"),
+        (8, labelled), (9, "Liều tối: 9 g | Tính vị: vị cay | Tên vị thuốc: quế chi | Liều sáng: 5 g"), (10, labelled.replace("5 g", "9 g", 1).replace("tối: 9", "tối: 5")), (11, labelled.replace(":", "").replace(";", "")), (12, labelled),
+    ]
+    df = spark.createDataFrame([(*r, 0, "clash") for r in rows], "ord bigint, text string, raw int, record string")
+    assert sorted((r.first, r.copy) for r in copies.copies(df, "ord", "text").collect()) == [(1, 2), (8, 9), (8, 11), (8, 12)]
+    counts = {r.ord: r.n_copies for r in copies.collapsed(df, "ord", "text").collect()}
+    assert counts == {1: 2, 3: 1, 8: 4, 10: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert copies.copies(df.limit(0), "ord", "text").count() == 0
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(60, size=1500)] + 0.15 * rng.normal(size=(1500, 16))
+    rows = [(f"k{i:05d}", [float(v) for v in r], "clash") for i, r in enumerate(x)]
+    rows += [("n1", None, ""), ("n2", [], ""), ("n3", [0.0] * 16, ""), ("n4", [float("nan")] * 16, ""), ("n5", [1.0] * 15, ""), ("n6", [None] * 16, "")]
+    df = spark.createDataFrame(rows, "id string, vec array<float>, neighbour string")
+    old = neighbours.SEEN
+    neighbours.SEEN = 1
+    try:
+        got: dict = {}
+        for r in neighbours.nearest(df, "id", "vec", 16, block=64).collect():
+            got.setdefault(r.id, set()).add(r.neighbour)
+    finally:
+        neighbours.SEEN = old
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    true = np.argsort(-sims, axis=1)[:, :5]
+    hit = sum(f"k{j:05d}" in got[f"k{i:05d}"] for i, row in enumerate(true) for j in row)
+    assert len(got) == 1500 and hit / (5 * 1500) >= 0.95
+    assert neighbours.nearest(df.limit(0), "id", "vec", 16).count() == 0
+    three = spark.createDataFrame(rows[:3], "id string, vec array<float>, neighbour string")
+    assert neighbours.nearest(three, "id", "vec", 16).count() == 6
+    same = spark.createDataFrame([(f"s{i}", [1.0, 2.0], "") for i in range(300)], "id string, vec array<float>, neighbour string")
+    assert neighbours.nearest(same, "id", "vec", 2, block=64).count() == 1500

@@ -26,13 +26,14 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str]:
-    """Every letter of the basic plane that decomposes to a base and marks, with its base; built from the rule."""
+    """Every letter of the basic plane that decomposes to one base and marks, with its base; built from the rule."""
     source, target = [], []
     for c in (*range(0xC0, 0xAC00), *range(0xF900, 0xFB00)):
         parts = unicodedata.normalize("NFD", chr(c))
-        if len(parts) > 1 and all(unicodedata.category(x) == "Mn" for x in parts[1:]):
+        bases = [x for x in parts if unicodedata.category(x) != "Mn"]
+        if len(parts) > 1 and len(bases) == 1:
             source.append(chr(c))
-            target.append(parts[0])
+            target.append(bases[0])
     return "".join(source) + "đĐ", "".join(target) + "dD"
 
 
@@ -99,11 +100,12 @@ def tokens(t: Column) -> Column:
 def with_phrases(words: Column, phrases: list[str], sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
     """Words, then a_b_c for each occurrence of a known phrase, shorter phrases first."""
     known = F.array(*[F.lit(p.replace(" ", "_")) for p in phrases]) if phrases else F.array().cast("array<string>")
-    grams = [
-        F.when(F.size(words) >= n, F.filter(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), "_")), lambda g: F.array_contains(known, g))).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
-    return F.concat(words, *grams)
+
+    def grams(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), "_"))
+        return F.when(F.size(words) >= n, F.filter(every, lambda g: F.array_contains(known, g))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(words, *map(grams, sizes))
 
 
 def keywords(t: Column, n: int = 5) -> Column:

@@ -75,7 +75,7 @@ def enforce_citations(answer: Column, cites: Column) -> Column:
     """Every sentence without a citation mark gets the first citation before its stop."""
     first = F.element_at(cites, 1)
     parts = F.split(answer, r"(?<=[.!?])\s+")
-    return F.array_join(F.transform(parts, lambda s: F.when(s.rlike(r"\[E\d+\]") | (F.length(F.trim(s)) == 0), s).otherwise(F.regexp_replace(s, r"([.!?]?)$", F.concat(F.lit(" ["), first, F.lit("]$1"))))), " ")
+    return F.array_join(F.transform(parts, lambda s: F.when(s.rlike(r"\[E\d+\]") | (F.length(F.trim(s)) == 0), s).otherwise(F.concat(F.regexp_replace(s, r"[.!?]$", ""), F.lit(" ["), first, F.lit("]"), F.regexp_extract(s, r"([.!?])$", 1)))), " ")
 
 
 def prompt_rows(evidence: DataFrame) -> DataFrame:
