@@ -98,7 +98,9 @@ def _utf8_reader(shown: str) -> Callable[[str], str | None]:
         raw = b"".join([known[ord(c)] for c in m.group()])
         try:
             text = raw.decode("utf-8")
-            return m.group() if _FOREIGN.search(text) else text
+            # one letter out of two that clean text has, too, is chance
+            chance = sum(c > "\x7f" for c in text) == 1 and not _ODD.search(m.group())
+            return m.group() if chance or _FOREIGN.search(text) else text
         except UnicodeDecodeError:
             text = _LOST.sub("�", raw.decode("utf-8", "replace"))
             # nothing more may be lost than is lost already
@@ -220,7 +222,7 @@ def _stretches(words: list[str], chain: Chain, known: frozenset[str]) -> list[tu
         if new is not None and new != w and not chain.sure:
             if _odd(new) > _odd(w):
                 new = None
-            elif w.strip(_SIGNS).lower() in known and new.strip(_SIGNS).lower() not in known:
+            elif w.strip(_SIGNS).lower() in known and (new.strip(_SIGNS).lower() not in known or sum(map(str.isalpha, new)) < sum(map(str.isalpha, w))):
                 new = w  # a right word amid wrongly read ones
         if new is None:
             if begin is not None and len(changed) >= chain.least:
