@@ -99,7 +99,7 @@ def _utf8_reader(shown: str) -> Callable[[str], str | None]:
         try:
             text = raw.decode("utf-8")
             # one letter out of two that clean text has, too, is chance
-            chance = sum(c > "\x7f" for c in text) == 1 and not _ODD.search(m.group())
+            chance = len(m.group()) == 2 and not _ODD.search(m.group())
             return m.group() if chance or _FOREIGN.search(text) else text
         except UnicodeDecodeError:
             text = _LOST.sub("�", raw.decode("utf-8", "replace"))
@@ -291,7 +291,7 @@ _KIND = {"vi": r"[ạảấầẩẫậắằẳẵặẹẻẽếềểễệ
 #: What text in a wrong single-byte reading has besides: signs no clean text has, capitals behind small letters, ...
 _GATES = {
     "vni": re.compile("[øûïåäëüöñØÛÏÅÄËÜÖÑ]"),
-    "": re.compile(f"{_ODD.pattern}|[a-zà-ỹ][À-ß]|[ðÞÐ«»][a-zà-ỹ]|[aâeêiouyôãýõ][ìò]"),
+    "": re.compile(f"{_ODD.pattern}|[a-zà-ỹ][À-ß]|[ðÞÐ«»][a-zà-ỹ]|[aâeêiouyôãýõ][ìò]|(?<= )[óñ](?= )|[a-z]{{3}}ís\\b|\\b[ldnsj]í[a-zà-ỹ]{{2}}"),
 }
 
 
