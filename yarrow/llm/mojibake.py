@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from yarrow.common import spread, table
 
 LANGUAGES = ("vi", "en", "fr", "zh")
-#: The dictionaries are fitted on at most so many clean texts a language, and hold so many bytes.
-SAMPLE_ROWS, DICTIONARY_BYTES = 600, 110_000
+#: The dictionaries are fitted on at most so many clean texts a language, none longer than that, and hold so many bytes.
+SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 4_000, 110_000
 #: Bytes that a chain costs, and the part of a stretch's length that must be gained besides.
 CHAIN_COST, MARGIN, DEPTH = 3, 0.12, 3
 
@@ -304,7 +304,7 @@ def dictionaries(df: DataFrame, key: str, text: str) -> dict[str, bytes]:
     kind = F.lit(None).cast("string")
     for name in reversed(list(_KIND)):
         kind = F.when(F.col("_t").rlike(_KIND[name]), F.lit(name)).otherwise(kind)
-    base = df.select(F.col(key).alias("_k"), F.substring(F.col(text), 1, 4000).alias("_t")).where(F.col("_t").isNotNull() & F.col("_t").rlike(_CLEAN)).withColumn("_l", kind).where("_l IS NOT NULL")
+    base = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where((F.length("_t") <= SAMPLE_CHARS) & F.col("_t").rlike(_CLEAN)).withColumn("_l", kind).where("_l IS NOT NULL")
     best = Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k")
     # rank limits are applied before the exchange, so a language's rows never meet in one task
     rows = base.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= SAMPLE_ROWS).select("_l", "_n", "_t").collect()
