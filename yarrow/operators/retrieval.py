@@ -11,6 +11,8 @@ from yarrow.common import cut, table
 from yarrow.functions import text as T
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Rows of (query, term) that may be broadcast, some tens of bytes each.
+BROADCAST_TERMS = 200_000
 
 
 def searchable(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -24,7 +26,10 @@ def bm25_index(docs: DataFrame, key: str, tokens: str = "tokens") -> tuple[DataF
 
     Terms in more than half of the documents get EPSILON times the mean idf instead of a negative one.
     """
-    postings = docs.select(key, F.size(tokens).alias("dl"), F.explode(tokens).alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # all postings of a document stay in its partition: neither the term frequencies nor, behind a broadcast of the
+    # query terms, the scores need another exchange
+    placed = docs.select(key, F.size(tokens).alias("dl"), F.col(tokens).alias("_tokens")).repartition(key)
+    postings = placed.select(key, "dl", F.explode("_tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
     terms = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -42,11 +47,14 @@ def top(df: DataFrame, group: str, score: Column, k: int, *ties: str) -> DataFra
 def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, rank, key, bm25_score) for all queries at once; scores of zero or less have no rank.
 
-    Postings are first cut down to the terms that some query has, so only those rows are shuffled.
+    Only postings of terms that some query has are scored; the k best of each query leave a task.
     """
     postings, terms, _ = bm25_index(docs, key)
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = asked.join(terms, "term")
+    # the query terms are broadcast only if they are few; more are joined by a shuffle on the term
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        weighted = F.broadcast(weighted)
     length = 1 - b + b * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
     scores = weighted.join(postings, "term").groupBy("query_id", key).agg(F.sum(part).alias("s")).where("s > 0").withColumn("bm25_score", F.round("s", 6))
