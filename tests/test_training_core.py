@@ -102,7 +102,8 @@ def test_renumbering(spark):
     df = spark.createDataFrame([(1, "p", 0, "a" * 2000), (2, "p", 1, "b"), (3, "q", 0, None), (4, "p", 0, "c")], "ord bigint, parent_id string, child_index int, text string")
     pieces = splitting.split_texts(df, "text", ["ord"])
     rows = sorted((r.parent_id, r.child_index, r.ord) for r in splitting.renumbered(df, pieces, "ord", "parent_id", ["child_index", "ord"]).collect())
-    assert rows == [("p", 0, 1), ("p", 1, 1), ("p", 2, 4), ("p", 3, 2), ("q", 0, 3)]
+    n = pieces.where("ord = 1").count()
+    assert n >= 2 and rows == [*[("p", k, 1) for k in range(n)], ("p", n, 4), ("p", n + 1, 2), ("q", 0, 3)]
 
 
 def test_copies(spark):
