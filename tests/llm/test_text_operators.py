@@ -161,3 +161,12 @@ def test_scans(spark):
     assert got[105][0] == "Người bệnh dùng 5 g quế chi mỗi ngày thì đỡ." and got[200][0] == "Người bệnh dùng 5 g quế chi mỗi ngày thì đỡ ho khan về đêm."
     assert got[103][0] == "Người bệnh dùng 5 g quế chi." and got[201] == (None, []) and 300 not in got
     assert scans.repaired(df.where("ord < 0"), "ord", "text", "title", "doc_type").count() == 0
+
+
+def test_scans_judge_alike_at_every_size():
+    words, pairs = {"mỗi": 500, "ngày": 600, "nqày": 13, "thì": 400}, {("mỗi", "ngày"): 450, ("ngày", "thì"): 390, ("mỗi", "nqày"): 4, ("nqày", "thì"): 4}
+    for size in (1, 10, 100):
+        lexicon = scans.Lexicon({w: n * size for w, n in words.items()}, {p: n * size for p, n in pairs.items()}, {"ngáy": 200 * size, "n9ày": 6 * size})
+        assert scans.repair("mỗi nqày thì", "", lexicon) == ("mỗi ngày thì", ["misread"])
+        assert scans.repair("mỗi n9ày thì", "", lexicon) == ("mỗi ngày thì", ["misread"])
+        assert scans.repair("mỗi ngáy thì", "", lexicon) == ("mỗi ngáy thì", [])

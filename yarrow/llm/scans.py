@@ -18,8 +18,9 @@ from yarrow.llm import mojibake
 WORD_SHARE, PAIR_SHARE, LEAST = 5e-6, 2e-6, 5
 #: Deletions of the index; cost up to which a candidate repairs an unknown and a known word.
 DELETIONS, UNKNOWN_COST, KNOWN_COST = 2, 0.7, 0.5
-#: A repair must be so many times as frequent as what it replaces, alone and in its context.
-RATIO, CONTEXT_RATIO = 20, 30
+#: A repair of an unknown word was seen so often and is so many times as frequent as that word; a repair of a known word is
+#: so many times as frequent in its context.
+RATIO, FORM_RATIO, CONTEXT_RATIO = 20, 4, 30
 
 # What scanners take for one another; both directions hold.
 CONFUSED = [
@@ -95,11 +96,12 @@ def _deletes(word: str, most: int) -> set[str]:
 class Lexicon:
     """Corpus frequencies and the symmetric-delete index over them.
 
-    Entry keys are deletes of the accentless word, so that accents never use up a deletion.
+    Entry keys are deletes of the accentless word, so that accents never use up a deletion. rare: frequencies of the
+    unknown words of which a word of the lexicon may be less than FORM_RATIO times as frequent.
     """
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int]) -> None:
-        self.words, self.pairs = words, pairs
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], rare: dict[str, int] | None = None) -> None:
+        self.words, self.pairs, self.rare = words, pairs, rare or {}
         self.index: dict[str, list[str]] = {}
         for w in words:
             if w.isalpha() and 2 <= len(w) <= 20 and not re.search(r"\p{Han}", w):
@@ -234,7 +236,7 @@ def _words(text: str, lexicon: Lexicon, kinds: set[str]) -> str:
                 k += 1
                 continue
             own = lexicon.context(before, w, after)
-            if len(w) > 1 and not (own and pairs.get((before, w)) and pairs.get((w, after)) and count > RATIO * LEAST):
+            if len(w) > 1:
                 better = [(lexicon.context(before, c, after), c) for _, c in lexicon.candidates(w, KNOWN_COST) if known[c] > count]
                 best = max(better, default=(0, ""))
                 if best[0] >= CONTEXT_RATIO * max(own, 1) and pairs.get((before, best[1])) and pairs.get((best[1], after)):
@@ -261,7 +263,8 @@ def _words(text: str, lexicon: Lexicon, kinds: set[str]) -> str:
             k += 1
             continue
         if len(w) > 1:
-            options = [(c, -lexicon.context(before, x, after), -known[x], x) for c, x in lexicon.candidates(w, UNKNOWN_COST) if known[x] >= RATIO]
+            least = max(RATIO, FORM_RATIO * lexicon.rare.get(w, 0))
+            options = [(c, -lexicon.context(before, x, after), -known[x], x) for c, x in lexicon.candidates(w, UNKNOWN_COST) if known[x] >= least]
             options.sort(key=lambda o: (o[1] == 0, o[0] + (0.2 if o[1] == 0 else 0), o[1], o[2], o[3]))
             if options and not _is_code(m.group()):
                 kinds.add("misread")
@@ -282,9 +285,11 @@ def lexicon(df: DataFrame, text: str) -> Lexicon:
     """Frequencies over all texts; only what passes the share thresholds, hence a bounded number, is collected."""
     words = df.where(F.col(text).isNotNull()).select(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{M}\p{N}]+)")).alias("w"))
     total = words.select(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
-    single = words.select(F.explode("w").alias("a")).groupBy("a").count().where(F.col("count") >= max(LEAST, WORD_SHARE * total))
+    least = max(LEAST, WORD_SHARE * total)
+    single = {r["a"]: r["count"] for r in words.select(F.explode("w").alias("a")).groupBy("a").count().where(F.col("count") > least / FORM_RATIO).collect()}
     double = words.select(F.explode(F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> struct(get(w, i - 1) AS a, get(w, i) AS b))")).alias("p")).where("p.b IS NOT NULL").groupBy("p.a", "p.b").count().where(F.col("count") >= max(3, PAIR_SHARE * total))
-    return Lexicon({r["a"]: r["count"] for r in single.collect()}, {(r["a"], r["b"]): r["count"] for r in double.collect()})
+    pairs = {(r["a"], r["b"]): r["count"] for r in double.collect()}
+    return Lexicon({w: n for w, n in single.items() if n >= least}, pairs, {w: n for w, n in single.items() if n < least})
 
 
 def repaired(df: DataFrame, key: str, text: str, title: str, kind: str, scanned: tuple[str, ...] = ("image", "pdf"), confidence: str | None = None) -> DataFrame:
