@@ -111,6 +111,21 @@ def test_leaks(spark):
     assert leaks.leaks(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_of_half_an_item(spark):
+    words = ITEM.split()
+    n = len(words)
+    half, start = -(-n // 2), n // 4
+    run = words[start : start + half]
+    changed = [w if k not in (9, 20) else "khá" for k, w in enumerate(run)]
+    pieces = words[: n // 4 + 1] + "rồi bà lang kể sang chuyện khác hẳn".split() + words[-(n // 4 + 1) :]
+    short = words[start : start + n // 3]
+    exchanged = ITEM.replace("1953", "2001").replace("9 thang", "4 thang").replace("bến Nứa", "hang Gió").replace("ho khan", "tiểu buốt").replace("tím sẫm", "đỏ au").replace("sáp", "huyền tế").replace("khàn tiếng", "viêm lợi").replace("mệt mỏi", "da xanh").replace("ù tai", "đau lưng")
+    docs = [(1, " ".join(run)), (2, " ".join(words[:half])), (3, " ".join(words[-half:])), (4, " ".join(changed)), (5, " ".join(pieces)), (6, " ".join(short)), (7, exchanged)]
+    df = spark.createDataFrame([(k, "Mở đầu sách. " + t + " Hết chương này.") for k, t in docs], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, ITEM)], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in leaks.leaks(df, "doc_id", "text", items, "item_id", "text").collect()) == [1, 2, 3, 4, 5]
+
+
 def test_leak_words_are_hashed_alike():
     a = leaks.words_of(leaks._codes("Quế CHI, 5 g"))[0]
     b = leaks.words_of(leaks._codes("quê chi 5 G"))[0]
