@@ -185,3 +185,9 @@ def test_scans_judge_alike_at_every_size():
         assert scans.repair("mỗi nqày thì", "", lexicon) == ("mỗi ngày thì", ["misread"])
         assert scans.repair("mỗi n9ày thì", "", lexicon) == ("mỗi ngày thì", ["misread"])
         assert scans.repair("mỗi ngáy thì", "", lexicon) == ("mỗi ngáy thì", [])
+
+
+def test_scans_let_context_choose_among_all_candidates():
+    forms = ["ma", "má", "mà", "mả", "mã", "mạ", "mâ", "mấ", "mầ", "mẩ"]
+    lexicon = scans.Lexicon({"con": 400, "non": 400} | {w: 300 - k for k, w in enumerate(forms)}, {("con", "mẩ"): 50, ("mẩ", "non"): 50})
+    assert scans.repair("con mẫ non", "", lexicon) == ("con mẩ non", ["misread"])

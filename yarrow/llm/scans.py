@@ -117,7 +117,7 @@ class Lexicon:
             bare = "".join(map(_bare, word))
             near = {w for d in _deletes(bare, DELETIONS) for w in self.index.get(d, ())} if len(word) <= 20 else set()
             costs = [(weighted_distance(word, w, most), w) for w in near if w != word]
-            found = sorted(((c, w) for c, w in costs if c <= most), key=lambda x: (x[0], -self.words[x[1]], x[1]))[:8]
+            found = sorted(((c, w) for c, w in costs if c <= most), key=lambda x: (x[0], -self.words[x[1]], x[1]))
             if len(self.cache) > 300_000:
                 self.cache.clear()
             self.cache[(word, most)] = found
