@@ -191,3 +191,14 @@ def test_scans_let_context_choose_among_all_candidates():
     forms = ["ma", "má", "mà", "mả", "mã", "mạ", "mâ", "mấ", "mầ", "mẩ"]
     lexicon = scans.Lexicon({"con": 400, "non": 400} | {w: 300 - k for k, w in enumerate(forms)}, {("con", "mẩ"): 50, ("mẩ", "non"): 50})
     assert scans.repair("con mẫ non", "", lexicon) == ("con mẩ non", ["misread"])
+
+
+def test_scans_judge_the_words_beside_wrong_decoding(spark):
+    torn = _shown(VI[1], "utf-8", "cp1252")
+    bad = {100: f"Người bệnh dùng 5 g quế chi mỗi nqày thì đỡ ho khan về đêm. {torn}", 101: "Người bệnh dùng 5 g quế chi mỗi nqày thì đỡ ho khan về đ�m và ăn ngon."}
+    good = {200: f"{VI[2]} {torn}", 201: "Người bệnh dùng 5 g quế chi mỗi ngày thì đỡ ho khan về đ�m và ăn ngon."}
+    rows = [(i, t, "Sổ tay", "pdf") for i, t in [*enumerate(VI), *bad.items(), *good.items()]]
+    df = spark.createDataFrame(rows, "ord bigint, text string, title string, doc_type string")
+    got = {r.ord: (r.repaired, r.damage) for r in scans.repaired(df, "ord", "text", "title", "doc_type").collect()}
+    assert {i for i, (_, d) in got.items() if d} == set(bad)
+    assert got[100][0] == f"Người bệnh dùng 5 g quế chi mỗi ngày thì đỡ ho khan về đêm. {VI[1]}" and "�" in got[101][0]

@@ -157,8 +157,11 @@ def _is_header(line: str, title: str) -> bool:
     return hit >= 0.7 * len(known) and len(left) <= 0.35 * len(known) and not re.search(r"[.!?。]\s*$", line)
 
 
-def repair(text: str, title: str, lexicon: Lexicon, lexical: bool = True) -> tuple[str, list[str]]:
-    """The repaired text and the kinds of damage found. ``lexical``: also judge by words, not by signs and lines alone."""
+def repair(text: str, title: str, lexicon: Lexicon, lexical: bool = True, spoiled: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
+    """The repaired text and the kinds of damage found.
+
+    ``lexical``: also judge signs inside words. ``spoiled``: words that wrong decoding touched; they and their neighbours are not judged.
+    """
     kinds: set[str] = set()
     known, title = lexicon.words, _fold(title or "")
     lines, kept = re.split(r"[\n\x0c]", text), []
@@ -201,14 +204,13 @@ def repair(text: str, title: str, lexicon: Lexicon, lexical: bool = True) -> tup
         return m.group().replace(" ", "")
 
     out = _SPACED.sub(close, out)
-    if lexical:
-        out = _words(out, lexicon, kinds)
+    out = _words(out, lexicon, kinds, spoiled)
     # single line breaks are spaces; blank lines part paragraphs
     paragraphs = [" ".join(p.split()) for p in re.split(r"\n[^\S\n]*\n\s*", out)]
     return "\n\n".join(re.sub(r"\s+([,.;:!?])(?=\s|$)", r"\1", p) for p in paragraphs if p), sorted(kinds)
 
 
-def _words(text: str, lexicon: Lexicon, kinds: set[str]) -> str:
+def _words(text: str, lexicon: Lexicon, kinds: set[str], spoiled: frozenset[str] = frozenset()) -> str:
     known, pairs, lost = lexicon.words, lexicon.pairs, "�" in text
     found = list(_TOKEN.finditer(text))
     low = [m.group().lower() for m in found]
@@ -219,7 +221,7 @@ def _words(text: str, lexicon: Lexicon, kinds: set[str]) -> str:
         before, after = low[k - 1] if k else "", low[k + 1] if k + 1 < n else ""
         count = known.get(w, 0)
         other, apart = lexicon.looked_up(w)
-        if other or (lost and "�" in text[max(0, m.start() - 1) : m.end() + 1]):
+        if other or (spoiled and (w in spoiled or before in spoiled or after in spoiled)) or (lost and "�" in text[max(0, m.start() - 1) : m.end() + 1]):
             k += 1
             continue
         if count:
@@ -275,6 +277,12 @@ def _words(text: str, lexicon: Lexicon, kinds: set[str]) -> str:
     return text
 
 
+def _spoiled(text: str, restored: str) -> frozenset[str]:
+    """The words of a restored text that its stored text does not have, and those that still look wrongly decoded."""
+    left = {w.lower() for w in _TOKEN.findall(restored) if any(gate.search(w) for gate in mojibake._GATES.values())}
+    return frozenset(left | set(_TOKEN.findall(restored.lower())) - set(_TOKEN.findall(text.lower())))
+
+
 def _is_code(word: str) -> bool:
     """Letters and digits that belong together: capitals with digits, as in formulas and item codes."""
     letters = [c for c in word if c.isalpha()]
@@ -296,8 +304,8 @@ def repaired(df: DataFrame, key: str, text: str, title: str, kind: str, scanned:
     """(key, repaired, damage) of the rows whose ``kind`` is scanned.
 
     damage: the kinds found, empty for an intact text. Null texts stay null without damage, empty ones empty;
-    repeated rows come out each. The lexicon covers all rows. Text read in a wrong encoding is restored first and, as wrong
-    decoding is no scan damage, then judged by lines and hyphens alone. ``confidence`` is only a hint and decides nothing.
+    repeated rows come out each. The lexicon covers all rows. Text read in a wrong encoding is restored first; as wrong
+    decoding is no scan damage, the restored words, words at a U+FFFD and signs inside words are then not judged. ``confidence`` is only a hint and decides nothing.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(lexicon(df, text))
@@ -314,7 +322,7 @@ def repaired(df: DataFrame, key: str, text: str, title: str, kind: str, scanned:
                     rows.append((k, t, []))
                     continue
                 good, chains = mojibake.restore(t, length)
-                rows.append((k, *repair(good, name, words, not chains and "�" not in good)))
+                rows.append((k, *repair(good, name, words, not chains and "�" not in good, _spoiled(t, good) if chains else frozenset())))
             yield pd.DataFrame(rows, columns=[key, "repaired", "damage"])
 
     return spread(base).mapInPandas(run, f"{key} {type_}, repaired string, damage array<string>")
