@@ -1,13 +1,16 @@
-"""Operators on text for training corpora. Nothing else in the package imports this subpackage."""
+"""Operators for training corpora. Nothing else in the package imports this subpackage.
 
+Its modules are imported here, so that a missing library shows when the subpackage is imported and the registry goes on without it.
+"""
 
-def queries() -> dict:
-    from yarrow.llm import alikes, encoding, leaks, mojibake, scans, sentences
+from yarrow.llm import alikes, borda, copies, encoding, leaks, mojibake, neighbours, scans, sentences, splitting
 
-    return {k: v for m in (mojibake, alikes, scans, encoding, leaks, sentences) for k, v in m.QUERIES.items()}
+_MODULES = (mojibake, alikes, splitting, copies, neighbours, scans, borda, encoding, leaks, sentences)
 
 
-def oracle_sql() -> dict:
-    from yarrow.llm import alikes, encoding, leaks, mojibake, scans, sentences
+def queries() -> dict:
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
-    return {k: v for m in (mojibake, alikes, scans, encoding, leaks, sentences) for k, v in m.SQL.items()}
+
+def oracle_sql() -> dict:
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
