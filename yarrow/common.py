@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,20 +27,18 @@ def spread(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir.
 
-    The directory is read from the session; only if a session has none (unit tests on one machine)
-    a temporary one is set.
+    The directory is read from the session. A local session without one (unit tests) gets a temporary folder; on a
+    cluster a folder of one machine would lose the rows with it, so there its absence is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="yarrow-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def hash_key(*cols: Column | str) -> Column:
-    return F.xxhash64(*cols)
-
-
 def running_before(df: DataFrame, keys: list[str], order: list[Column], weight: Column, out: str = "before") -> DataFrame:
     """Sum of ``weight`` over the rows of the same key that sort before each row, skew-proof.
 
@@ -64,8 +62,3 @@ def running_before(df: DataFrame, keys: list[str], order: list[Column], weight:
         .withColumn(out, F.coalesce("_in", F.lit(0)) + F.coalesce("_off", F.lit(0)))
         .drop("_in", "_off", "_p", "_w", *names)
     )
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder all executors can reach: the session's checkpoint folder, or a local one in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "yarrow-scratch")

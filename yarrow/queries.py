@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from yarrow.operators import answers, borda, chunking, copies, evidence, neighbours, quality, relational, reports, retrieval, splitting
+from yarrow.operators import answers, chunking, evidence, quality, relational, reports, retrieval
 from yarrow.plans import pipelines
 
-_MODULES = (borda, copies, neighbours, splitting, retrieval, evidence, chunking, reports, answers, relational, quality, pipelines)
+_MODULES = (retrieval, evidence, chunking, reports, answers, relational, quality, pipelines)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
