@@ -116,7 +116,7 @@ def test_neighbours(spark):
     neighbours.SEEN = 1
     try:
         got: dict = {}
-        for r in neighbours.nearest(df, "id", "vec", 16, block=64).collect():
+        for r in neighbours.nearest(df, "id", "vec", 16, block=64, leaf_rows=100).collect():
             got.setdefault(r.id, set()).add(r.neighbour)
     finally:
         neighbours.SEEN = old
@@ -131,3 +131,40 @@ def test_neighbours(spark):
     assert neighbours.nearest(three, "id", "vec", 16).count() == 6
     same = spark.createDataFrame([(f"s{i}", [1.0, 2.0], "") for i in range(300)], "id string, vec array<float>, neighbour string")
     assert neighbours.nearest(same, "id", "vec", 2, block=64).count() == 1500
+
+
+def _true_neighbours(rows, k=5):
+    ids = sorted(rows)
+    x = np.array([rows[i] for i in ids])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(x @ x.T, 9)
+    return {i: [ids[j] for j in sorted((j for j in range(len(ids)) if j != n), key=lambda j: (-sims[n, j], ids[j]))[:k]] for n, i in enumerate(ids)}
+
+
+def test_neighbours_of_repeated_keys_and_copies(spark):
+    rng = np.random.default_rng(4)
+    rows = {f"k{i:03d}": rng.normal(size=8) for i in range(60)}
+    for i in range(0, 40):  # a group of copies that holds much of the table, one of them longer
+        rows[f"c{i:03d}"] = rows["k007"] * (1 if i else 2)
+    data = [(i, [float(v) for v in r]) for i, r in rows.items()]
+    again = [("k003", [9.0] * 8), ("k003", data[3][1])]
+    rows["k003"] = np.array(min([9.0] * 8, data[3][1]))
+    df = spark.createDataFrame(data + again, "id string, vec array<double>")
+    got: dict = {}
+    for r in sorted(neighbours.nearest(df, "id", "vec", 8).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == _true_neighbours(rows)
+
+
+def test_overfull_leaves_get_subtrees(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(80, 16))
+    x = centres[rng.integers(80, size=1200)] + 0.15 * rng.normal(size=(1200, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, vec array<float>")
+    for name, value in (("SEEN", 1), ("OVERFULL", 1), ("LEAST_SAMPLE", 8)):
+        monkeypatch.setattr(neighbours, name, value)
+    got: dict = {}
+    for r in neighbours.nearest(df, "id", "vec", 16, sample=100, block=256, leaf_rows=60).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    true = _true_neighbours({i: r for i, r in enumerate(x)})
+    assert len(got) == 1200 and sum(len(got[i] & set(t)) for i, t in true.items()) / 6000 >= 0.9

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yarrow.common import cut, spread, table
 
 K = 5
-#: The tree is fitted on at most about so many vectors, whatever the collection's size.
-SAMPLE = 20_000
-BRANCH, LEAF_SAMPLE = 32, 256
+#: Rows that a leaf holds on average, whatever the collection's size: leaves grow in number, not in rows.
+LEAF_ROWS = 1024
+#: The tree is fitted on about so many vectors, at least LEAST_SAMPLE a leaf; a leaf that then holds more than
+#: OVERFULL * LEAF_ROWS rows gets a subtree of its own, fitted on at most SUB_SAMPLE of its vectors.
+SAMPLE, LEAST_SAMPLE, OVERFULL, SUB_SAMPLE = 20_000, 16, 4, 50_000
+BRANCH = 32
 #: Recall on the calibration queries at which widening stops, and how many queries calibrate.
 RECALL, CALIBRATION = 0.99, 400
 #: Every query sees about so many vectors at least, which makes small collections exact.
 SEEN = 512
 #: Rows of a leaf, and queries, that meet in one task.
-BLOCK = 4096
+BLOCK = 8192
+#: Range of the hash that draws samples.
+_RANGE = 1 << 62
 
 
 class Tree:
@@ -39,7 +46,7 @@ class Tree:
         return len(self.leaf) - 1
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, branch: int = BRANCH, leaf_sample: int = LEAF_SAMPLE, seed: int = 7) -> Tree:
+    def fit(cls, vectors: np.ndarray, leaf_sample: float, branch: int = BRANCH, seed: int = 7) -> Tree:
         tree, rng = cls(), np.random.default_rng(seed)
         todo = [(tree._add(), np.arange(len(vectors)))]
         while todo:
@@ -129,76 +136,200 @@ def usable(df: DataFrame, vector: str, dim: int) -> F.Column:
     return v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def _unit(raw: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in raw])
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _unit(column: pa.Array) -> np.ndarray:
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in column.to_pylist()])
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=np.float32).reshape(len(raw), -1)
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _best(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest of each row; of equal ones at the border the first."""
+    k = min(k, sims.shape[1])
+    if k == sims.shape[1]:
+        return np.tile(np.arange(k), (len(sims), 1))
+    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(sims, top, axis=1).min(axis=1, keepdims=True)
+    tied = np.flatnonzero((sims >= least).sum(axis=1) > k)
+    if len(tied):
+        top[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
+    return top
+
+
+def _sampled(df: DataFrame, key: str, part: float) -> DataFrame:
+    """Rows that a hash of the key picks: the same at every run and partitioning."""
+    return df.where(F.pmod(F.xxhash64(key), F.lit(_RANGE)) < F.lit(int(_RANGE * min(1.0, part))))
+
+
+def _fitted(x: np.ndarray, rows: int, leaf_rows: int, k: int) -> tuple[Tree, int]:
+    """A tree with a leaf for every ``leaf_rows`` of ``rows``, fitted on a sample, and its calibrated number of visits."""
+    x = np.unique(x, axis=0)
+    tree = Tree.fit(x, max(LEAST_SAMPLE, leaf_rows * len(x) / max(rows, 1)))
+    return tree, min(tree.n_leaves, max(calibrate(tree, x, k), -(-SEEN * tree.n_leaves // max(rows, 1))))
+
+
+def _distinct(df: DataFrame, key: str, vector: str, dim: int) -> tuple[DataFrame, int]:
+    """(id, v) of the usable vectors, one an id, and their number."""
+    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable(df.select(F.col(vector).alias("v")), "v", dim))
+    total, most = base.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    # only ids cross the exchange above; the vectors themselves do where an id repeats
+    return (base.groupBy("id").agg(F.min("v").alias("v")) if most > 1 else base), total
+
+
+def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample: int = SAMPLE, block: int = BLOCK, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(key, neighbour, rank 1..k, cosine) for every usable vector.
 
     Vectors that are null, empty, of another length, all zero or hold a null or NaN have no rows and are no
     neighbours; a repeated key counts as one vector (its smallest by content). Ties go to the smaller
     key. With fewer than k others there are fewer rows; an empty table gives none.
-    The tree, at most ``sample`` / LEAF_SAMPLE leaves or so, is the only thing broadcast; leaves of more
-    than ``block`` rows or queries are met block by block, each pair of blocks in a task of its own.
+
+    The tree has a leaf for about every ``leaf_rows`` vectors, so a query meets a number of vectors that
+    does not grow with the collection. What is broadcast is fitted on ``sample`` vectors, hence bounded; in
+    collections so large that its leaves overflow, each such leaf's rows and visitors meet a subtree, which is fitted
+    and calibrated in a task of its own. Vectors that are equal up to length are searched once, by their smallest key, so a
+    group of copies of any size costs one vector; its members come back at the end. Leaves of more
+    than ``block`` rows or queries are met block by block.
     """
-    spark = df.sparkSession
-    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable(df.select(F.col(vector).alias("v")), "v", dim))
-    total = base.count()
-    part = min(1.0, sample / max(total, 1))
-    # a hash of the key decides who is in the sample: the same rows at every run and partitioning
-    picked = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * part)).select("id", "v").toPandas().sort_values("id")
-    schema_out = f"{key} {dict(df.dtypes)[key]}, neighbour {dict(df.dtypes)[key]}, rank int, cosine double"
-    if not len(picked):
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
+    schema_out = f"{key} {kind}, neighbour {kind}, rank int, cosine double"
+    base, total = _distinct(df, key, vector, dim)
+    picked = _sampled(base, "id", sample / max(total, 1)).select("v").toArrow()
+    if not picked.num_rows:
         return spark.createDataFrame([], schema_out)
-    x = _unit(picked["v"]).astype(np.float32)
-    tree = Tree.fit(x)
-    visits = min(tree.n_leaves, max(calibrate(tree, x, k), -(-SEEN * tree.n_leaves // max(total, 1))))
+    tree, visits = _fitted(_unit(picked["v"]), total, leaf_rows, k)
     shared = spark.sparkContext.broadcast(tree)
 
+    def unit(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in _unit(b.column(1))], pa.binary())], names=["id", "u"])
+
     def place(batches):
         tree = shared.value
-        for pdf in batches:
-            if len(pdf):
-                single = _unit(pdf["v"]).astype(np.float32)
-                yield pd.DataFrame({"id": pdf["id"], "u": [r.tobytes() for r in single], "leaf": tree.assign(single), "visits": [tree.visit(r, visits) for r in single]})
-
-    kind = dict(df.dtypes)[key]
-    placed = cut(spread(base).mapInPandas(place, f"id {kind}, u binary, leaf int, visits array<int>"))
-    # one row a leaf, at most as many as the tree has
-    rows_in = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("_x"))
-    asked = placed.select(F.explode("visits").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("_q"))
-    sizes = F.broadcast(rows_in.join(asked, "leaf").select("leaf", F.ceil(F.col("_x") / block).cast("int").alias("nx"), F.ceil(F.col("_q") / block).cast("int").alias("nq")))
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1))
+                seen = [tree.visit(r, visits) for r in x]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.assign(x), pa.int32()), _lists(pa.array([v for s in seen for v in s], pa.int32()), np.array([len(s) for s in seen]))], names=["id", "u", "n", "leaf", "visits"])
+
+    units = spread(base).mapInArrow(unit, f"id {kind}, u binary")
+    once = units.groupBy("u").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "u", "n")
+    placed = cut(once.mapInArrow(place, f"id {kind}, u binary, n bigint, leaf int, visits array<int>"))
+
+    ours = placed.select(F.lit(True).alias("is_x"), "leaf", F.lit(0).alias("sub"), "id", "u")
+    theirs = placed.select(F.lit(False).alias("is_x"), F.explode("visits").alias("leaf"), F.lit(0).alias("sub"), "id", "u")
+    rows = _deepened(ours, theirs, kind, leaf_rows, k, block)
+    # one row a leaf; the planner broadcasts it if it is small
+    sizes = rows.groupBy("leaf", "sub").agg(F.ceil(F.count_if("is_x") / block).cast("int").alias("nx"), F.ceil(F.count_if(~F.col("is_x")) / block).cast("int").alias("nq"))
     near = F.xxhash64("id")
-    left = placed.join(sizes, "leaf").select(F.lit(True).alias("is_x"), "leaf", F.pmod(near, "nx").cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "id", "u")
-    right = placed.select("id", "u", F.explode("visits").alias("leaf")).join(sizes, "leaf").select(F.lit(False).alias("is_x"), "leaf", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(near, "nq").cast("int").alias("bq"), "id", "u")
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ours = pdf[pdf["is_x"]].sort_values("id")
-        theirs = pdf[~pdf["is_x"]]
-        if not len(ours) or not len(theirs):
-            return pd.DataFrame({"id": pd.Series(dtype=object), "found": pd.Series(dtype=object)})
-        ids = ours["id"].to_numpy()
-        xs = np.frombuffer(b"".join(ours["u"]), dtype=np.float32).reshape(len(ours), -1).astype(np.float64)
-        qs = np.frombuffer(b"".join(theirs["u"]), dtype=np.float32).reshape(len(theirs), -1).astype(np.float64)
-        at = {i: n for n, i in enumerate(ids.tolist())}
-        names, founds = theirs["id"].tolist(), []
-        for a in range(0, len(qs), 1024):
-            sims = qs[a : a + 1024] @ xs.T
-            for r, name in enumerate(names[a : a + 1024]):
-                if (own := at.get(name)) is not None:
-                    sims[r, own] = -2
-            m = min(k, sims.shape[1])
-            top = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m < sims.shape[1] else np.tile(np.arange(m), (len(sims), 1))
-            for r, cols in enumerate(top):
-                founds.append([{"cosine": float(sims[r, c]), "neighbour": ids[c]} for c in cols if sims[r, c] > -1.5])
-        return pd.DataFrame({"id": names, "found": founds})
-
-    met = left.unionByName(right).groupBy("leaf", "bx", "bq").applyInPandas(meet, f"id {kind}, found array<struct<cosine:double,neighbour:{kind}>>")
-    merged = met.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("f"))
-    best = merged.select(F.col("id").alias(key), F.posexplode(F.slice(F.array_distinct(F.expr("array_sort(f, (a, b) -> CASE WHEN a.cosine > b.cosine THEN -1 WHEN a.cosine < b.cosine THEN 1 WHEN a.neighbour < b.neighbour THEN -1 WHEN a.neighbour > b.neighbour THEN 1 ELSE 0 END)")), 1, k)).alias("rank", "n"))
-    return best.select(key, F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("n.cosine").alias("cosine"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = lambda n: F.array(F.pmod(near, n).cast("int"))
+    met = rows.join(sizes.where("nx > 0 AND nq > 0"), ["leaf", "sub"])
+    met = met.select("is_x", "leaf", "sub", "id", "u", F.when(F.col("is_x"), mine("nx")).otherwise(every("nx")).alias("_bx"), F.when(F.col("is_x"), every("nq")).otherwise(mine("nq")).alias("_bq"))
+    met = met.select("is_x", "leaf", "sub", "id", "u", F.explode("_bx").alias("bx"), "_bq").select("is_x", "leaf", "sub", "id", "u", "bx", F.explode("_bq").alias("bq"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        ours = t.filter(t["is_x"]).sort_by("id")
+        theirs = t.filter(pc.invert(t["is_x"]))
+        xs, qs = (_matrix(x["u"]).astype(np.float64) if x.num_rows else np.zeros((0, 1)) for x in (ours, theirs))
+        own = pc.fill_null(pc.index_in(theirs["id"], value_set=ours["id"].combine_chunks()), -1).to_numpy() if theirs.num_rows else np.zeros(0, int)
+        cols, near, sizes = [], [], []
+        for a in range(0, len(qs) if len(xs) else 0, 512):
+            sims = np.minimum(qs[a : a + 512] @ xs.T, 1.0)
+            mine = own[a : a + 512]
+            at = np.flatnonzero(mine >= 0)
+            sims[at, mine[at]] = -2
+            top = _best(sims, k)
+            found = np.take_along_axis(sims, top, axis=1)
+            good = found > -1.5
+            cols.append(top[good])
+            near.append(-found[good])
+            sizes.append(good.sum(axis=1))
+        if not cols:
+            return pa.table({"id": t["id"].slice(0, 0), "found": pa.array([], out)})
+        names = ours["id"].combine_chunks().take(pa.array(np.concatenate(cols)))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(near), pa.float64()), names], names=["far", "neighbour"])
+        return pa.table({"id": theirs["id"], "found": _lists(pairs, np.concatenate(sizes))})
+
+    out = pa.list_(pa.struct([("far", pa.float64()), ("neighbour", _arrow_type(placed, "id"))]))
+    found = met.groupBy("leaf", "sub", "bx", "bq").applyInArrow(meet, f"id {kind}, found array<struct<far:double,neighbour:{kind}>>")
+    # a query's lists, k entries from each leaf it visited: a bounded number
+    merged = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("f"))
+    if placed.where("n > 1").isEmpty():
+        ranked = merged
+    else:
+        ranked = _members(units, placed, merged, k)
+    ranked = ranked.select(F.col("id").alias(key), F.posexplode("f").alias("rank", "n"))
+    return ranked.select(key, F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("cosine"))
+
+
+def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def _deepened(ours: DataFrame, theirs: DataFrame, kind: str, leaf_rows: int, k: int, block: int) -> DataFrame:
+    """Rows and visits of the leaves, those of overfull leaves sent on to the leaves of a subtree.
+
+    There are at most SAMPLE / LEAST_SAMPLE leaves, so their counts fit the driver.
+    """
+    counts = ours.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL * leaf_rows).collect()
+    both = ours.unionByName(theirs)
+    if not counts:
+        return both
+    spark = ours.sparkSession
+    over = F.broadcast(spark.createDataFrame([(r["leaf"], r["n"], -(-r["n"] // block), min(1.0, max(SUB_SAMPLE // 4, min(SUB_SAMPLE, LEAST_SAMPLE * r["n"] // leaf_rows)) / r["n"])) for r in counts], "leaf int, n long, blocks long, part double"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        tree, visits = _fitted(_matrix(t["u"]), t["n"][0].as_py(), leaf_rows, k)
+        return pa.table({"leaf": t["leaf"].slice(0, 1), "blocks": t["blocks"].slice(0, 1), "tree": pa.array([pickle.dumps((tree, visits))], pa.binary())})
+
+    drawn = ours.join(over, "leaf").where(F.pmod(F.xxhash64("id"), F.lit(_RANGE)) < (F.col("part") * float(_RANGE)))
+    trees = cut(drawn.select("leaf", "n", "blocks", "u").groupBy("leaf").applyInArrow(fit, "leaf int, blocks long, tree binary"))
+
+    def send(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["is_x", "leaf", "sub", "id", "u"])
+        tree, visits = pickle.loads(trees["tree"][0].as_py())
+        x = _matrix(rows["u"])
+        is_x = rows["is_x"].to_numpy()
+        sub = np.zeros(len(x), dtype=np.int32)
+        sub[is_x] = tree.assign(x[is_x])
+        seen = [[sub[i]] if is_x[i] else tree.visit(x[i], visits) for i in range(len(x))]
+        at = np.repeat(np.arange(len(x)), [len(s) for s in seen])
+        t = rows.take(pa.array(at))
+        return pa.table({"is_x": t["is_x"], "leaf": t["leaf"], "sub": pa.array([v for s in seen for v in s], pa.int32()), "id": t["id"], "u": t["u"]})
+
+    blocks = trees.select("leaf", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
+    many = both.join(over.select("leaf", "blocks"), "leaf").select("is_x", "leaf", "sub", "id", "u", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("b"))
+    sent = many.groupBy("leaf", "b").cogroup(blocks.groupBy("leaf", "b")).applyInArrow(send, f"is_x boolean, leaf int, sub int, id {kind}, u binary")
+    return cut(both.join(over.select("leaf"), "leaf", "left_anti").select("is_x", "leaf", "sub", "id", "u").unionByName(sent))
+
+
+def _members(units: DataFrame, placed: DataFrame, merged: DataFrame, k: int) -> DataFrame:
+    """(id, f) of every vector from those of the distinct ones: its copies come first, a neighbour stands for all of its group.
+
+    Of a group only its k + 1 smallest keys can ever be neighbours; they are found without bringing the group together.
+    """
+    groups = placed.where("n > 1").select("u", F.col("id").alias("rep"))
+    every = units.join(groups, "u").select("rep", "id")
+    first = every.withColumn("_k", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("_k") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids"))
+    flat = merged.select("id", F.explode("f").alias("n")).join(first, F.col("n.neighbour") == F.col("rep"), "left")
+    flat = flat.groupBy("id").agg(F.flatten(F.collect_list(F.transform(F.coalesce("ids", F.array("n.neighbour")), lambda x: F.struct(F.col("n.far").alias("far"), x.alias("neighbour"))))).alias("f"))
+    single = flat.join(placed.where("n = 1").select("id"), "id", "left_semi").select("id", F.slice(F.array_sort("f"), 1, k).alias("f"))
+    # with no other vector at all a group still has its own copies
+    wide = every.join(first, "rep").join(flat.withColumnRenamed("id", "rep"), "rep", "left")
+    own = F.transform(F.filter("ids", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("neighbour")))
+    none = F.array().cast(flat.schema["f"].dataType)
+    return single.unionByName(wide.select("id", F.slice(F.concat(own, F.array_sort(F.coalesce("f", none))), 1, k).alias("f")))
 
 
 def _points(spark, sf_dir):
