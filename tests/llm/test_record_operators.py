@@ -105,6 +105,22 @@ def test_copies(spark):
     assert copies.copies(df.limit(0), "ord", "text").count() == 0
 
 
+def test_copies_of_fields_with_other_signs(spark):
+    fields = [("Tên vị thuốc", "quế chi"), ("Tính vị", "vị cay, tính ấm"), ("Liều sáng", "5 g")]
+    texts = ["; ".join(f"{a}: {b}" for a, b in fields), " | ".join(f"{a} = {b}" for a, b in fields[::-1]), "\n".join(f"- {b} – {a}" for b, a in (fields[1], fields[0], fields[2])), "\n".join(f"**{a}**\t{b}" for a, b in fields)]
+    other = ["ab: cdefghijklmnopqrstuv; x: y", "x: y; a: bcdefghijklmnopqrstuv", "Tên vị thuốc: quế chi; Tính vị: vị cay, tính ấm; Liều sáng: 6 g"]
+    rows = [*enumerate(texts), *enumerate(other, 10)]
+    df = spark.createDataFrame(rows, "ord bigint, text string")
+    assert sorted((r.first, r.copy) for r in copies.copies(df, "ord", "text").collect()) == [(0, 1), (0, 2), (0, 3)]
+
+
+def test_copies_that_only_a_third_text_links(spark):
+    # the letters of 2 can be read as the fields of 1 or of 3
+    rows = [(1, "klmnopqrst: v; abcdefghij: uwx"), (2, "abcdefghij: uwx; klmnopqrst: v"), (3, "abcdefghiju: wx; klmnopqrst: v"), (4, "klmnopqrst: v; abcdefghiju: wx"), (5, "klmnopqrst: v; abcdefghij: uwy")]
+    df = spark.createDataFrame(rows, "ord bigint, text string")
+    assert sorted((r.first, r.copy) for r in copies.copies(df, "ord", "text").collect()) == [(1, 2), (1, 3), (1, 4)]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(60, 16))

@@ -2,75 +2,147 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import unicodedata
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yarrow.common import cut, table
+from yarrow.common import cut, spread, table
 
 LEAST_LETTERS = 20
-#: What a record keeps of a text: letters (with their marks) and digits.
-_DROP = r"[^\p{L}\p{M}\p{N}]+"
-#: A labelled field: a label of words, a colon, a value.
-_FIELD = r"^[\s*>“”\"'«»(\[_-]*[\p{L}\p{M}][\p{L}\p{M}\p{N}\s()./’'*_-]{0,60}[:：]"
-
-
-def canonical(text: Column) -> Column:
-    """Letters and digits only, case folded by lower(upper(x)), which joins ß and ss, ς and σ."""
-    return F.regexp_replace(F.lower(F.upper(text)), _DROP, "")
-
-
-def labelled_fields(text: Column) -> Column:
-    """The fields of a text that consists of labelled fields, else an empty array.
-
-    The part sign is the first of semicolon, vertical bar and line break by which every part starts
-    with a label; so a line break inside a semicolon-parted value parts nothing.
-    """
-    def parts(sign: str) -> Column:
-        return F.filter(F.split(text, sign), lambda x: F.length(F.regexp_replace(x, _DROP, "")) > 0)
-
-    def good(p: Column) -> Column:
-        return (F.size(p) >= 2) & F.forall(p, lambda x: x.rlike(_FIELD))
-
-    semi, bar, line = parts("[;；]"), parts("[|｜]"), parts("[\n\r]+")
-    none = F.array().cast("array<string>")
-    return F.when(F.instr(text, ":") + F.instr(text, "：") > 0, F.when(good(semi), semi).when(good(bar), bar).when(good(line), line).otherwise(none)).otherwise(none)
-
-
-def dictionary(values: DataFrame, raw: str = "raw") -> DataFrame:
-    """(raw, value_id, letters): each distinct value canonicalised once and given an integer.
-
-    The integer is a 64-bit hash; canonical forms that share it are told apart by their rank, so
-    that equal identifiers always mean equal forms.
+#: Code points that are canonicalised at once.
+SLICE = 4_000_000
+#: A labelled field: a label of words, a colon, an equals sign, a tab or a dash between spaces, a value.
+_FIELD = re.compile(r"[\W_]*([^\W\d_][\w ./’'*()̀-ͯ-]{0,60}?)[*_ ]*(?:[:：=＝\t]|\s[–—-]\s)(.*)", re.S)
+#: What parts fields, in the order in which it is tried; so a line break inside a semicolon-parted value parts nothing.
+_PARTS = (re.compile("[;；]"), re.compile("[|｜]"), re.compile("[\n\r]+"))
+
+
+@lru_cache(maxsize=1)
+def _kept() -> np.ndarray:
+    """What a record keeps of a text, by code point: letters (with their marks) and digits."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def canonical(values: list[str]) -> tuple[list[bytes], list[int]]:
+    """(identifier, number of letters and digits) of each value: a 128-bit hash of its case-folded letters and digits."""
+    ids: list[bytes] = []
+    sizes: list[int] = []
+    group: list[str] = []
+    n = 0
+
+    def flush() -> None:
+        codes = np.frombuffer("\n".join([*group, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        keep = _kept()[codes]
+        ends = np.cumsum(keep)[codes == 10].tolist()
+        raw = codes[keep].tobytes()
+        at = 0
+        for end in ends:
+            ids.append(xxhash.xxh3_128_digest(raw[4 * at : 4 * end]))
+            sizes.append(end - at)
+            at = end
+
+    for v in values:
+        group.append(v.casefold().replace("\n", " "))
+        n += len(v)
+        if n > SLICE:
+            flush()
+            group, n = [], 0
+    if group:
+        flush()
+    return ids, sizes
+
+
+def labelled_fields(text: str) -> list[tuple[str, str]]:
+    """The (label, value) fields of a text that consists of labelled fields, else none.
+
+    The part sign is the first of semicolon, vertical bar and line break by which every part starts with a label.
     """
-    once = values.select(raw).distinct().withColumn("canon", canonical(F.col(raw)))
-    # a window over one hash value holds the spellings of one form; the rank differs only in collisions
-    forms = once.select("canon").distinct().withColumn("_h", F.xxhash64("canon"))
-    forms = forms.withColumn("_k", F.row_number().over(Window.partitionBy("_h").orderBy("canon")) - 1)
-    ids = forms.select("canon", F.when(F.col("_k") == 0, F.col("_h")).otherwise(F.xxhash64("_h", "_k")).alias("value_id"))
-    return once.join(ids, "canon").select(raw, "value_id", F.length("canon").alias("letters"))
+    if not re.search("[:：=＝\t–—-]", text):
+        return []
+    for sign in _PARTS:
+        parts = [p for p in sign.split(text) if re.search(r"\w", p)]
+        if len(parts) < 2:
+            continue
+        fields = []
+        for p in parts:
+            m = _FIELD.match(p)
+            if m is None:
+                break
+            fields.append(m.groups())
+        else:
+            return fields
+    return []
+
+
+def _encoded(texts: list[str]) -> list[tuple[bytes, int, list[bytes]]]:
+    """(identifier of the whole text, its letters, sorted identifiers of its fields); each distinct value is canonicalised once."""
+    fields = [labelled_fields(t) for t in texts]
+    values = list(dict.fromkeys([*texts, *(v for f in fields for pair in f for v in pair)]))
+    ids, sizes = canonical(values)
+    at = {v: i for i, v in enumerate(values)}
+    out = []
+    for t, f in zip(texts, fields):
+        whole = at[t]
+        out.append((ids[whole], sizes[whole], sorted(xxhash.xxh3_128_digest(ids[at[label]] + ids[at[value]]) for label, value in f)))
+    return out
+
+
+def _integers(digests: list[bytes]) -> list[int]:
+    return np.frombuffer(b"".join(digests), dtype=np.int64).tolist()
 
 
 def record_keys(df: DataFrame, key: str, text: str, least: int = LEAST_LETTERS) -> DataFrame:
-    """(key, record): record is the sorted tuple of value identifiers of each text of ``least`` letters and digits or more.
+    """(key, letters, record) of every row; record is the tuple of integer identifiers of texts of ``least`` letters and digits or more.
 
-    Null, empty and shorter texts give no row. Texts with the same letters and digits in the same order share a
-    tuple even if only one of them still shows its fields.
+    Of labelled fields it holds those of each label with its value, sorted; of any other text that of its letters
+    and digits. An identifier has 128 bits, as two integers, so different values share none. Null, empty and
+    shorter texts have a null record. Texts with the same letters and digits in the same order share a
+    record even if only one of them shows its fields, and so do texts that such texts link. Texts are never
+    shuffled: each task encodes the distinct values of its batches, and only integers cross the exchanges.
     """
-    base = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    base = base.withColumn("_letters", canonical(F.col("_text"))).where(F.length("_letters") >= least)
-    # the whole text is field 0 of every record; labelled texts have their fields besides
-    fields = base.select("_key", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("_letters").alias("raw"))), F.transform(labelled_fields(F.col("_text")), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("raw"))))).alias("f"))
-    fields = fields.select("_key", "f.whole", "f.raw")
-    ids = dictionary(fields)
-    coded = fields.join(ids, "raw").groupBy("_key").agg(
-        F.max(F.when(F.col("whole"), F.col("value_id"))).alias("whole_id"),
-        F.sort_array(F.collect_list(F.when(~F.col("whole"), F.col("value_id")))).alias("ids"),
-    )
-    # identifiers only, a few bytes a text: written once, as the grouping and both joins behind read them
-    coded = cut(coded.withColumn("ids", F.when(F.size("ids") > 0, F.col("ids"))))
-    # one tuple for each letter sequence: that of a member which shows its fields, if any
-    shown = coded.where("ids IS NOT NULL").groupBy("whole_id").agg(F.min("ids").alias("shown"))
-    return coded.join(shown, "whole_id", "left").select(F.col("_key").alias(key), F.coalesce("shown", F.array("whole_id")).alias("record"))
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            rows = _encoded([t for t in texts if t is not None])
+            every = iter(rows)
+            full = [next(every) if t is not None else (b"", 0, []) for t in texts]
+            good = [n >= least for _, n, _ in full]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array([n for _, n, _ in full], pa.int64()), pa.array([_integers([w]) if g else None for (w, _, _), g in zip(full, good)], pa.list_(pa.int64())),
+                    pa.array([_integers(f) if g and f else None for (_, _, f), g in zip(full, good)], pa.list_(pa.int64())),
+                ],
+                names=["_key", "letters", "whole", "ids"],
+            )
+
+    base = spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
+    coded = cut(base.mapInArrow(run, f"_key {kind}, letters bigint, whole array<bigint>, ids array<bigint>"))
+    shown = _shown(coded.where("ids IS NOT NULL").select("whole", "ids").distinct())
+    return coded.join(shown, "whole", "left").select(F.col("_key").alias(key), "letters", F.coalesce("shown", "whole").alias("record"))
+
+
+def _shown(edges: DataFrame) -> DataFrame:
+    """(whole, shown): the field tuple that stands for a letter sequence, and for all that are linked with it by either."""
+    edges = cut(edges)
+    labels = edges.groupBy("whole").agg(F.min("ids").alias("shown"), F.max("ids").alias("_last"))
+    if labels.where("shown <> _last").isEmpty():
+        return labels.drop("_last")
+    # letters that can be read as different fields are rare; their links are followed to the end
+    labels = cut(labels.drop("_last"))
+    while True:
+        by_fields = edges.join(labels, "whole").groupBy("ids").agg(F.min("shown").alias("low"))
+        lower = cut(edges.join(by_fields, "ids").groupBy("whole").agg(F.min("low").alias("shown")))
+        if lower.join(labels.withColumnRenamed("shown", "_old"), "whole").where("shown <> _old").isEmpty():
+            return lower
+        labels = lower
 
 
 def copies(df: DataFrame, key: str, text: str, least: int = LEAST_LETTERS) -> DataFrame:
@@ -79,7 +151,7 @@ def copies(df: DataFrame, key: str, text: str, least: int = LEAST_LETTERS) -> Da
     The groups are pre-aggregated before the exchange (min and count combine on the map side), so a
     record that holds a third of all rows costs one row a task; only groups with copies are joined back.
     """
-    keys = record_keys(df, key, text, least)
+    keys = record_keys(df, key, text, least).where("record IS NOT NULL")
     groups = keys.groupBy("record").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return keys.join(groups, "record").where(F.col("_first") < F.col(key)).select(F.col("_first").alias("first"), F.col(key).alias("copy"))
 
@@ -90,9 +162,8 @@ def collapsed(df: DataFrame, key: str, text: str, least: int = LEAST_LETTERS) ->
     Texts too short to be compared stay as they are, one row each; null texts too.
     """
     keys = record_keys(df, key, text, least)
-    groups = keys.groupBy("record").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies")).drop("record")
-    alone = df.where(F.col(text).isNull() | (F.length(canonical(F.col(text))) < least)).select(key, F.lit(1).cast("long").alias("n_copies"))
-    return groups.unionByName(alone)
+    groups = keys.where("record IS NOT NULL").groupBy("record").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies")).drop("record")
+    return groups.unionByName(keys.where("record IS NULL").select(key, F.lit(1).cast("long").alias("n_copies")))
 
 
 def p4_found(spark, sf_dir):
