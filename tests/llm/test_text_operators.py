@@ -151,14 +151,34 @@ def test_sentences(text, starts):
     assert len(got) == len(starts) and all(text.startswith(s, at) for at, s in zip(got, starts))
 
 
+PARTS = [
+    "12. ", "Xin chào. ", "abc def. ", "ngh ", "II. Mục ", "「你好。」", "他说。", "“a.” ", "... ", "\n\n", " \n \n", "BS. Lan ", "v.v. ", "ไทย ก ", "A. B. ", "e.g. ", "? ", "! » ", "(3. ", "x", "ế. ", "…và ", "。”", "L. Nó ", "dùng 12. Uống ", "." * 30 + " ", " " * 90,
+]
+
+
+def test_pieces_have_the_units_of_the_whole():
+    rnd = random.Random(5)
+    for _ in range(1000):
+        text = "".join(rnd.choice(PARTS) for _ in range(rnd.randrange(1, 20)))
+        whole = sentences.unit_starts(text)
+        for size in range(1, len(text)):
+            (_, at), state, starts = sentences.pieces(text, size)[0], sentences.DUE, []
+            for begin, end in ((0, at), (at, len(text))):
+                lead = min(begin, sentences.LEAD)
+                found, state = sentences.run(sentences.tape(text[begin - lead : end + 1], lead, lead + end - begin), state)
+                starts += [s - lead + begin for s in found]
+            assert starts == whole
+
+
 def test_sentence_chunks_compose(spark):
-    text = "\n\n".join(t for t, _ in CASES if t.strip()) * 30
-    whole = sentences.unit_starts(text)
-    df = spark.createDataFrame([(1, text, 0), (2, text, 0), (2, text, 0), (3, None, 0), (4, "", 0)], "doc_id bigint, text string, start_char int")
+    rnd = random.Random(6)
+    texts = {1: "\n\n".join(t for t, _ in CASES if t.strip()) * 30, 4: "".join(rnd.choice(PARTS) for _ in range(2000)), 5: "." * 500, 6: "a " * 400 + "12. Next sentence. abcd. efgh"}
+    texts[2] = texts[1]
+    df = spark.createDataFrame([*((k, t, 0) for k, t in texts.items()), (2, texts[2], 0), (3, None, 0), (7, "", 0)], "doc_id bigint, text string, start_char int")
     got: dict = {}
-    for r in sentences.sentence_units(df, "doc_id", "text", chunk=97, halo=64).collect():
+    for r in sentences.sentence_units(df, "doc_id", "text", chunk=97).collect():
         got.setdefault(r.doc_id, []).append(r.start_char)
-    assert sorted(got[1]) == whole and len(got[2]) == 2 * len(whole) and set(got) == {1, 2}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(sentences.unit_starts(t) * (2 if k == 2 else 1)) for k, t in texts.items()}
 
 
 def test_scans(spark):

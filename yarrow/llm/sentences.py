@@ -5,15 +5,14 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yarrow.common import spread, table
+from yarrow.common import cut, spread, table
 
-#: Texts above CHUNK code points are cut; HALO is the context a chunk sees on both sides.
-CHUNK, HALO = 32_768, 512
+#: Texts above CHUNK code points are cut, each cut before a letter or digit; the rules look back at most LEAD code points.
+CHUNK, LEAD = 32_768, 64
 
 #: Abbreviations before a name, before a number, and those after which a sentence goes on in any case.
 BEFORE_NAME = frozenset("bs ths pgs gs ts tp tx ks ds lm đ/c dr prof mr mrs ms st ste mme mlle mm pr".split())
@@ -35,16 +34,45 @@ _WIDE_LETTER = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々]")
 _WIDE_QUOTES = "」』”’"
 _OPENERS = "「『“‘"
 
-# The transducer. States: before a unit (its first solid character is due), in a unit that began with a quotation,
-# in any other unit. Symbols: a boundary in any state; a quotation's end that goes on unless the unit began otherwise.
-DUE, QUOTED, PLAIN = 0, 1, 2
-ENDS, MAYBE = 0, 1
-#: STEP[symbol][state]
-STEP = ((DUE, DUE, DUE), (DUE, PLAIN, DUE))
+# The transducer. It reads a tape of symbols: stretches of text between the places that may end a unit, and those places.
+# States: before a unit (its first solid character is due), or in a unit that began with a quotation or not, that so far
+# is one bare word or not, and that so far has no letters, only small ones, or a capital.
+DUE = 0
+NEITHER, SMALL, CAPITAL = 0, 1, 2
+_BREAKS = re.compile(r"[\s(\[{\"“«‘]")
+_CUT = re.compile(r"\w")
 
 
-def _symbol(text: str, m: re.Match, unit: int) -> int | None:
-    """The boundary symbol of a lexer match, or None if no rule makes it a boundary. ``unit``: where a unit may have begun."""
+def _unit(quoted: int, bare: int, case: int) -> int:
+    return 1 + 6 * quoted + 3 * bare + case
+
+
+STATES = [(None, None, None), *((q, b, c) for q in (0, 1) for b in (0, 1) for c in (NEITHER, SMALL, CAPITAL))]
+#: A stretch is known by: something solid, an opening quotation first, bare from its first solid sign on, bare from end to end, case.
+STRETCHES = [(s, o, f, a, c) for c in (NEITHER, SMALL, CAPITAL) for a in (0, 1) for f in (0, 1) for o in (0, 1) for s in (0, 1)]
+#: What a place does: ends any unit; ends a unit that began without a quotation; neither ends one that is only its
+#: enumerator; ends one without capitals; the last two together; is itself the first sign of a unit.
+ENDS, MAYBE, UNLESS_BARE, IF_SMALL, IF_SMALL_UNLESS_BARE, SIGN = range(len(STRETCHES), len(STRETCHES) + 6)
+
+
+def _compiled() -> list[list[int]]:
+    """STEP[symbol][state]."""
+    table_ = [[(_unit(o, f, c) if s else DUE) if q is None else _unit(q, b & a, max(case, c)) for q, b, case in STATES] for s, o, f, a, c in STRETCHES]
+    stay = list(range(len(STATES)))
+    table_.append([DUE] * len(STATES))
+    table_.append([_unit(0, b, c) if q else DUE for q, b, c in STATES])
+    table_.append([n if b else DUE for n, (_, b, _c) in zip(stay, STATES)])
+    table_.append([DUE if c == SMALL else n for n, (_, _b, c) in zip(stay, STATES)])
+    table_.append([DUE if c == SMALL and not b else n for n, (_, b, c) in zip(stay, STATES)])
+    table_.append([_unit(0, 1, NEITHER), *stay[1:]])
+    return table_
+
+
+STEP = _compiled()
+
+
+def _symbol(text: str, m: re.Match) -> int | None:
+    """The symbol of a lexer match, or None if no rule makes it a boundary in any state."""
     kind = m.lastgroup
     if kind in ("blank", "thai"):
         return ENDS
@@ -53,7 +81,7 @@ def _symbol(text: str, m: re.Match, unit: int) -> int | None:
     mark = m.group()
     if kind == "wide":
         return MAYBE if mark[-1] in _WIDE_QUOTES and follow and follow.start() == m.end() and _WIDE_LETTER.match(c) else ENDS
-    stop = mark.rstrip(_CLOSERS.replace("\\", "") + " \t\r\n\xa0  ")
+    stop = mark.rstrip(_CLOSERS.replace("\\", "") + " \t\r\n\xa0\u2009\u202f")
     if stop.endswith("…") or stop.endswith(".."):
         return None if not c or c.islower() or _WIDE_LETTER.match(c) or c.isdigit() else ENDS
     if stop[-1] != ".":
@@ -61,6 +89,7 @@ def _symbol(text: str, m: re.Match, unit: int) -> int | None:
     before = _WORD.search(text, max(0, m.start() - 24), m.start())
     word = before.group() if before else ""
     plain = word.lower()
+    number = False
     if len(mark) == len(stop):
         if plain in GOES_ON or (plain in BEFORE_NAME and c.isalpha()) or (plain in BEFORE_NUMBER and c.isdigit()):
             return None
@@ -73,46 +102,53 @@ def _symbol(text: str, m: re.Match, unit: int) -> int | None:
             # an author's initial behind a species name may end a sentence; an initial of a name never does
             if not (held and held[0].islower() and word == "L"):
                 return None
-        if _ENUMERATOR.match(word) and not text[unit:at].strip():
-            return None
+        number = bool(_ENUMERATOR.match(word))
     if c.islower():
-        return None if plain in CLOSED or plain in BEFORE_NAME or plain in BEFORE_NUMBER or len(word) < 2 or len(mark) > len(stop) else ENDS if _all_lower(text, unit, m.start()) else None
-    return ENDS
-
-
-def _all_lower(text: str, begin: int, end: int) -> bool:
-    """Whether a stretch of some length has letters but no capital, as in texts stripped of case."""
-    part = text[begin:end]
-    return len(part) > 1 and part == part.lower() and part != part.upper()
-
-
-def scan(text: str, begin: int, end: int, state: int) -> tuple[list[int], int]:
-    """Starts of units in text[begin:end] for a state on entry, and the state on leaving."""
-    starts: list[int] = []
-    at, unit = begin, begin
-    if begin:  # closing signs here may belong to a stop before
-        for m in _EVENT.finditer(text, max(0, begin - 32)):
-            if m.start() >= begin:
-                break
-            at = max(at, m.end())
-    for m in _EVENT.finditer(text, at):
+        if plain in CLOSED or plain in BEFORE_NAME or plain in BEFORE_NUMBER or len(word) < 2 or len(mark) > len(stop):
+            return None
+        return IF_SMALL_UNLESS_BARE if number else IF_SMALL
+    return UNLESS_BARE if number else ENDS
+
+
+def _stretch(text: str, inner: int, begin: int, end: int) -> tuple[int, int]:
+    """(symbol, first solid position) of text[begin:end]; a unit that goes on also has text[inner:begin] behind it."""
+    solid = _SOLID.search(text, begin, end)
+    part = text[inner:end]
+    whole = not _BREAKS.search(part)
+    case = CAPITAL if part != (low := part.lower()) else SMALL if low != part.upper() else NEITHER
+    if not solid:
+        return 8 * whole + 16 * case, -1
+    at = solid.start()
+    return 1 + 2 * (solid.group() in _OPENERS) + 4 * (whole or not _BREAKS.search(text, at, end)) + 8 * whole + 16 * case, at
+
+
+def tape(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """(symbol, position) of text[begin:end]. No place that may end a unit holds a letter or digit, so tapes of pieces cut before one join."""
+    out: list[tuple[int, int]] = []
+    at = inner = begin
+    for m in _EVENT.finditer(text, begin):
         if m.start() >= end:
             break
-        if m.start() < at:
+        symbol = _symbol(text, m)
+        if symbol is None:
             continue
-        if state == DUE:
-            solid = _SOLID.search(text, at, end)
-            if solid and solid.start() < m.end():
-                unit = solid.start()
-                starts.append(unit)
-                state = QUOTED if solid.group() in _OPENERS else PLAIN
-        symbol = _symbol(text, m, unit)
-        if symbol is not None and state != DUE:
-            state = STEP[symbol][state]
-        at = m.end()
-    if state == DUE and (solid := _SOLID.search(text, at, end)):
-        starts.append(solid.start())
-        state = QUOTED if solid.group() in _OPENERS else PLAIN
+        out.append(_stretch(text, inner, at, m.start()))
+        if m.lastgroup in ("wide", "stop"):
+            out.append((SIGN, m.start()))
+        out.append((symbol, -1))
+        at, inner = m.end(), m.start()
+    out.append(_stretch(text, inner, at, end))
+    return out
+
+
+def run(symbols: list[tuple[int, int]], state: int) -> tuple[list[int], int]:
+    """Starts of units for a state on entry, and the state on leaving."""
+    starts: list[int] = []
+    for symbol, at in symbols:
+        new = STEP[symbol][state]
+        if not state and new:
+            starts.append(at)
+        state = new
     return starts, state
 
 
@@ -131,11 +167,22 @@ def prefix_scan(functions: np.ndarray) -> np.ndarray:
 
 
 def unit_starts(text: str) -> list[int]:
-    return scan(text, 0, len(text), DUE)[0]
+    return run(tape(text, 0, len(text)), DUE)[0]
+
+
+def pieces(text: str, chunk: int) -> list[tuple[int, int]]:
+    """(begin, end) of about ``chunk`` code points each, cut before a letter or digit."""
+    out, begin = [], 0
+    while begin < len(text):
+        m = _CUT.search(text, begin + chunk) if begin + chunk < len(text) else None
+        end = m.start() if m else len(text)
+        out.append((begin, end))
+        begin = end
+    return out
 
 
 def _short(df: DataFrame, key: str, kind: str) -> DataFrame:
-    def run(batches):
+    def scan(batches):
         for batch in batches:
             keys, starts = [], []
             for row, t in enumerate(batch.column(1).to_pylist()):
@@ -144,55 +191,60 @@ def _short(df: DataFrame, key: str, kind: str) -> DataFrame:
                 keys += [row] * len(found)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(starts, pa.int64())], names=[key, "start_char"])
 
-    return spread(df).mapInArrow(run, f"{key} {kind}, start_char bigint")
+    return spread(df).mapInArrow(scan, f"{key} {kind}, start_char bigint")
 
 
-def _long(df: DataFrame, key: str, kind: str, chunk: int, halo: int) -> DataFrame:
-    """Each chunk yields its unit starts for every state on entry and its state function; the functions of a
-    document are composed by a prefix scan, which tells the state that each chunk is entered in.
+def _long(df: DataFrame, key: str, kind: str, chunk: int) -> DataFrame:
+    """Each piece yields its state function and its unit starts for every state on entry; the functions of a document are
+    composed by a prefix scan, which tells the state that each piece is entered in.
 
-    The document's number in its partition, not its key, ties chunks together, so that repeated keys do no harm.
+    Only the functions, a few bytes a piece, come together by document. A document's place in the table, not its
+    key, ties its pieces together, so that repeated keys do no harm.
     """
-    base = df.withColumn("_doc", F.struct(F.xxhash64("_text"), F.monotonically_increasing_id()))
-    pieces = base.select(key, "_doc", F.col("_text"), F.explode(F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / chunk).cast("int"))).alias("_no"))
-    begin = F.col("_no") * chunk
-    pieces = pieces.select(
-        key, F.xxhash64("_doc").alias("_doc"), "_no", F.least(begin, F.lit(halo)).alias("_lead"),
-        F.expr(f"substring(_text, greatest(_no * {chunk} - {halo}, 0) + 1, {chunk + halo} + least(_no * {chunk}, {halo}))").alias("_part"),
-    )
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, doc, no, lead, part in zip(*[pdf[c] for c in (key, "_doc", "_no", "_lead", "_part")]):
-                end = min(len(part), lead + chunk)
-                results = [scan(part, lead, end, s) for s in (DUE, QUOTED, PLAIN)]
-                rows.append((k, doc, no, [r[1] for r in results], [[s - lead + no * chunk for s in r[0]] for r in results]))
-            yield pd.DataFrame(rows, columns=[key, "_doc", "_no", "_f", "_starts"])
-
-    done = pieces.repartition(key, "_no").mapInPandas(run, f"{key} {kind}, _doc bigint, _no int, _f array<int>, _starts array<array<bigint>>")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_no")
-        upto = prefix_scan(np.array(pdf["_f"].tolist(), dtype=np.int64))[:, DUE]
-        entry = [DUE, *upto[:-1].tolist()]
-        out = [(k, int(s)) for k, e, starts in zip(pdf[key], entry, pdf["_starts"]) for s in starts[e]]
-        return pd.DataFrame(out, columns=[key, "start_char"])
-
-    return done.groupBy("_doc").applyInPandas(chain, f"{key} {kind}, start_char bigint")
-
-
-def sentence_units(df: DataFrame, key: str, text: str, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
+    base = df.select(F.col(key).alias("_key"), F.xxhash64(F.xxhash64("_text"), F.monotonically_increasing_id()).alias("_doc"), "_text")
+
+    def parted(batches):
+        for b in batches:
+            for row, t in enumerate(b.column(2).to_pylist()):
+                for no, (begin, end) in enumerate(pieces(t, chunk)):
+                    lead = min(begin, LEAD)
+                    made = [pa.array([no], pa.int32()), pa.array([begin], pa.int64()), pa.array([end], pa.int64()), pa.array([t[begin - lead : end + 1]])]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), b.column(1).slice(row, 1), *made], names=["_key", "_doc", "_no", "_begin", "_end", "_part"])
+
+    def scan(batches):
+        for b in batches:
+            functions, found = [], []
+            for begin, end, part in zip(*[b.column(c).to_pylist() for c in (3, 4, 5)]):
+                lead = min(begin, LEAD)
+                symbols = tape(part, lead, lead + end - begin)
+                results = [run(symbols, s) for s in range(len(STATES))]
+                functions.append([r[1] for r in results])
+                found.append([[at - lead + begin for at in r[0]] for r in results])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(functions, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.list_(pa.int64())))], names=["_key", "_doc", "_no", "_f", "_starts"])
+
+    cutting = base.mapInArrow(parted, f"_key {kind}, _doc bigint, _no int, _begin bigint, _end bigint, _part string")
+    done = cut(cutting.repartition("_doc", "_no").mapInArrow(scan, f"_key {kind}, _doc bigint, _no int, _f array<int>, _starts array<array<bigint>>"))
+
+    def enter(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_no")
+        upto = prefix_scan(np.array(t["_f"].to_pylist(), dtype=np.int64))[:, DUE]
+        return pa.table({"_doc": t["_doc"], "_no": t["_no"], "_entry": pa.array([DUE, *upto[:-1].tolist()], pa.int32())})
+
+    entries = done.select("_doc", "_no", "_f").groupBy("_doc").applyInArrow(enter, "_doc bigint, _no int, _entry int")
+    return done.join(entries, ["_doc", "_no"]).select(F.col("_key").alias(key), F.explode(F.col("_starts")[F.col("_entry")]).alias("start_char"))
+
+
+def sentence_units(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """(key, start_char) for every sentence unit, 0-based in code points.
 
     Null, empty and blank texts give no rows; repeated rows give their units each. Texts of up to ``chunk``
-    code points take one narrow stage without a shuffle; longer ones are cut, so that a text of any
-    length spreads over tasks, and only their chunks' results are shuffled.
+    code points take one narrow stage without a shuffle; longer ones are cut and have the same units as if they were not, so
+    that a text of any length spreads over tasks.
     """
     kind = df.schema[key].dataType.simpleString()
     base = df.select(F.col(key), F.col(text).alias("_text")).where(F.length("_text") > 0)
-    short = _short(base.where(F.length("_text") <= chunk), key, kind)
-    return short.unionByName(_long(base.where(F.length("_text") > chunk), key, kind, chunk, halo))
+    short, long = base.where(F.length("_text") <= chunk), base.where(F.length("_text") > chunk)
+    return _short(short, key, kind).unionByName(_long(long, key, kind, chunk))
 
 
 def p10_found(spark, sf_dir):
