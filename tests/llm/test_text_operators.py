@@ -98,6 +98,9 @@ def test_tokens_frame(spark):
 ITEM = "Người bệnh từng ngã ở bến Nứa năm 1953, sau đó thi thoảng ho khan về đêm kèm lưỡi tím sẫm. Thăm khám thấy mạch sáp, lưỡi nhạt ướt, bụng mềm, da ấm, không thấy khàn tiếng chút nào. Qua 9 thang thì mệt mỏi lui hẳn, riêng ù tai còn âm ỉ mỗi khi trở trời."
 
 
+LEAKS = ("exact", "changed")
+
+
 def test_leaks(spark):
     rnd = random.Random(2)
     words = ITEM.split()
@@ -106,8 +109,9 @@ def test_leaks(spark):
     docs = [(1, "Mở đầu. " + ITEM), (2, ITEM.upper().replace(",", "")), (3, noisy), (4, "không"), (5, None), (6, ""), (7, other), (8, "x " * 200 + " ".join(words[: len(words) * 2 // 3]) + " y" * 200), (9, " ".join(words[:9])), (1, "Mở đầu. " + ITEM), (10, "从前 " * 30_000 + ITEM)]
     df = spark.createDataFrame([(*d, "z") for d in docs], "doc_id bigint, text string, covered string")
     items = spark.createDataFrame([(7, ITEM, "vi"), (8, "ngắn quá", "vi"), (9, None, "vi"), (10, "若腰膝酸软兼见鼻塞流涕，可加钩藤八克，减麦冬三克。", "zh")], "item_id bigint, text string, lang string")
-    got = sorted((r.doc_id, r.item_id) for r in leaks.leaks(df, "doc_id", "text", items, "item_id", "text").collect())
-    assert got == [(1, 7), (1, 7), (2, 7), (3, 7), (8, 7), (10, 7)]
+    for most in (20_000, 0):  # broadcast, and joined by hash
+        rows = leaks.leaks(df, "doc_id", "text", items, "item_id", "text", most_items=most).collect()
+        assert sorted((r.doc_id, r.item_id) for r in rows if r.kind in LEAKS) == [(1, 7), (1, 7), (2, 7), (3, 7), (8, 7), (10, 7)]
     assert leaks.leaks(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
@@ -123,7 +127,36 @@ def test_leaks_of_half_an_item(spark):
     docs = [(1, " ".join(run)), (2, " ".join(words[:half])), (3, " ".join(words[-half:])), (4, " ".join(changed)), (5, " ".join(pieces)), (6, " ".join(short)), (7, exchanged)]
     df = spark.createDataFrame([(k, "Mở đầu sách. " + t + " Hết chương này.") for k, t in docs], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, ITEM)], "item_id bigint, text string")
-    assert sorted(r.doc_id for r in leaks.leaks(df, "doc_id", "text", items, "item_id", "text").collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.doc_id for r in leaks.leaks(df, "doc_id", "text", items, "item_id", "text").collect() if r.kind in LEAKS) == [1, 2, 3, 4, 5]
+
+
+QUESTION = "Một người bán 12 kg gừng ở chợ Bến với giá 45 nghìn một cân, rồi mua 7 kg nghệ của ông Lâm ở chợ Bến và trả 30 nghìn một cân. Hỏi sau khi bán 12 kg gừng thì người ấy còn lại bao nhiêu tiền?"
+
+
+def test_slots_tell_a_renamed_item_from_a_copy(spark, monkeypatch):
+    renamed = QUESTION.replace("12", "19").replace("45", "52").replace("7 kg", "8 kg").replace("30", "28").replace("Lâm", "Tùng").replace("chợ Bến", "chợ Đồn")
+    random_ = renamed.replace("19", "14", 1).replace("chợ Đồn", "chợ Mai", 1)
+    changed = QUESTION.replace("45", "46").replace("người ấy", "họ")
+    docs = {1: QUESTION, 2: renamed, 3: random_, 4: changed, 5: "Xem bài sau. " + QUESTION.lower() + " Hết."}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, QUESTION), (2, "Ông Tùng và bà Mai ra chợ Đồn mua gừng về sắc uống.")], "item_id bigint, text string")
+    for most in (20_000, 0):
+        got = {r.doc_id: r.kind for r in leaks.leaks(df, "doc_id", "text", items, "item_id", "text", most_items=most).collect() if r.item_id == 1}
+        assert got == {1: "exact", 2: "renamed", 3: "pattern", 4: "changed", 5: "exact"}
+    monkeypatch.setattr(leaks.Items, "canonical", lambda self, words, number: words)  # without templates nothing is seen to be renamed
+    plain = leaks.Items([(1, QUESTION)], leaks.names_of([QUESTION]))
+    assert {d for d, *_ in leaks._scanned(list(docs.values()), plain, leaks.SHARE)} == {0, 3, 4}
+
+
+def test_repeated_words_make_no_pair_of_each_with_each():
+    numbers = [(k, " ".join(str(k * 1000 + n) for n in range(200))) for k in range(200)]
+    items = leaks.Items(numbers, leaks.names_of([]))
+    words, _, number = leaks.words_of(leaks._codes(" ".join(map(str, range(50_000, 52_000)))))
+    assert len(items.hits(words, number)[0]) < 1000
+    items = leaks.Items([(1, "từ xưa " * 60)], leaks.names_of([]))
+    text = "từ xưa " * 20_000
+    words, _, number = leaks.words_of(leaks._codes(text))
+    assert len(items.hits(words, number)[0]) < 100_000 and [k for _, _, k, _ in leaks._scanned([text], items, leaks.SHARE)] == ["exact"]
 
 
 def test_leak_words_are_hashed_alike():
