@@ -255,3 +255,26 @@ def test_scans_judge_the_words_beside_wrong_decoding(spark):
     got = {r.ord: (r.repaired, r.damage) for r in scans.repaired(df, "ord", "text", "title", "doc_type").collect()}
     assert {i for i, (_, d) in got.items() if d} == set(bad)
     assert got[100][0] == f"Người bệnh dùng 5 g quế chi mỗi ngày thì đỡ ho khan về đêm. {VI[1]}" and "�" in got[101][0]
+
+
+def test_scans_spare_rare_words_and_words_of_roman_letters(spark):
+    clean = [f"Bà lang lấy cái cân ra cân {n} g quế chi mỗi ngày." for n in range(60)]
+    rows = [(i, t, "Sổ tay", "pdf") for i, t in enumerate(clean)] + [(100 + i, f"Thợ rèn sửa cái cán dao số {i}.", "Sổ tay", "txt") for i in range(3)]
+    rows += [(200, "Ông lấy cái cán dao.", "Sổ tay", "image"), (201, "Droit\ncivil\nde la famille", "Sổ tay", "image"), (202, "Droit\nxiv\nde la famille", "Sổ tay", "image"), (203, None, "Sổ tay", None)]
+    df = spark.createDataFrame(rows, "ord bigint, text string, title string, doc_type string")
+    got = {r.ord: (r.repaired, r.damage) for r in scans.repaired(df, "ord", "text", "title", "doc_type").collect()}
+    assert got[200] == ("Ông lấy cái cán dao.", []) and got[201] == ("Droit civil de la famille", []) and got[202] == ("Droit de la famille", ["page number"])
+
+
+def test_the_delete_index_finds_what_a_full_comparison_finds():
+    rnd = random.Random(9)
+    words = {"".join(rnd.choice("aeiounrmcl") for _ in range(rnd.randrange(2, 9))): 50 for _ in range(400)} | {"a" * 12 + "rn" + "e" * 12: 9}
+    lexicon = scans.Lexicon(words, {})
+    for _ in range(150):
+        w = list(rnd.choice(list(words)))
+        w[rnd.randrange(len(w))] = rnd.choice(["rn", "ii", "o", "á", "c"])
+        w = "".join(w)
+        # one letter for another, or two for one, is within two deletions on either side
+        near = {(scans.weighted_distance(w, x, 0.45), x) for x in words if x != w}
+        assert {x for c, x in near if c <= 0.45} <= {x for _, x in lexicon.candidates(w, 0.7)}
+    assert lexicon.candidates("a" * 12 + "m" + "e" * 12, 0.7) == [(0.3, "a" * 12 + "rn" + "e" * 12)]
