@@ -18,8 +18,9 @@ from yarrow.common import spread, table
 LANGUAGES = ("vi", "en", "fr", "zh")
 #: The dictionaries are fitted on at most so many clean texts a language, none longer than that, and hold so many bytes.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 4_000, 110_000
-#: Bytes that a chain costs, and the part of a stretch's length that must be gained besides.
-CHAIN_COST, MARGIN, DEPTH = 3, 0.12, 3
+#: Bytes that a chain costs, one whose bytes turn out to be right UTF-8, and a sign that no clean text has; and the part of
+#: its length that a stretch costs which no known words speak for.
+CHAIN_COST, UTF8_COST, ESCAPE, MARGIN = 3, 0, 2, 0.12
 
 # The letters that TCVN 5712 (3) fonts show for bytes, in the order of the bytes.
 TCVN3 = dict(zip(
@@ -61,8 +62,19 @@ class Chain:
     convert: Callable[[str], str | None]
     #: So many changed words at least make a stretch.
     least: int
-    #: Bytes that happen to be right UTF-8 are evidence enough; other readings must gain by MARGIN.
-    sure: bool = False
+    #: Bytes that happen to be right UTF-8 are evidence by themselves, so that such a reading costs less.
+    utf8: bool = False
+
+    def cost(self, length: Lengths, old: list[str], new: list[str]) -> int:
+        """Bytes that the chain and its stretch cost. Of other readings many fit a text, so that they cost more the longer it is;
+        not where most words they change become known ones."""
+        if self.utf8:
+            return UTF8_COST
+        pairs = [(a, b) for a, b in zip(old, new) if a != b]
+        learnt = sum(b.strip(_SIGNS).lower() in length.known and a.strip(_SIGNS).lower() not in length.right for a, b in pairs)
+        if learnt >= 2 and learnt >= 0.75 * len(pairs):
+            return CHAIN_COST
+        return CHAIN_COST + int(MARGIN * length(" ".join(old)))
 
 
 def _bytes_of(codec: str) -> dict[int, bytes]:
@@ -179,11 +191,14 @@ def _shows(codec: str, low: int, high: int) -> str:
 #: Words end at white space, and where a script without spaces meets another.
 _SPLIT = re.compile(r"([ \n\t\r]+|(?<=[\u3000-\u9fff\ue000-\uf8ff\uff00-\uffef])(?=[^\s\u2010-\u2027\u3000-\u9fff\ue000-\uf8ff\uff00-\uffef])|(?<=[^\s\u2010-\u2027\u3000-\u9fff\ue000-\uf8ff\uff00-\uffef])(?=[\u3000-\u9fff\ue000-\uf8ff\uff00-\uffef]))")
 _HIGH = re.compile("[^\\x00-\\x7f]")
-_SIGNS = ".,;:!?()\"“”‘’«»…-"
+_SIGNS = ".,;:!?()\"“”‘’«»…•-"
 
 
 class Lengths:
-    """Description length: the least compressed size over the languages' dictionaries."""
+    """Description length: the least over the languages' dictionaries of the compressed size, plus what signs cost that no clean text has.
+
+    Such signs are outside of what a dictionary describes; each needs an escape and its number.
+    """
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.by = []
@@ -195,11 +210,35 @@ class Lengths:
         if not self.by:
             self.by.append(zstandard.ZstdCompressor(level=9, write_content_size=False))
         text = b"\n".join(dictionaries.values()).decode("utf-8", "ignore").lower()
-        self.known = frozenset(w.strip(_SIGNS) for w in text.split()) - {""}
+        self.right = frozenset(w.strip(_SIGNS) for w in text.split()) | {""}
+        self.known = self.right - {""}
+        self.read: dict[str, list[tuple[Chain, str]]] = {}
 
     def __call__(self, text: str) -> int:
         raw = text.encode("utf-8", "replace")
-        return min(len(c.compress(raw)) for c in self.by)
+        return min(len(c.compress(raw)) for c in self.by) + ESCAPE * _odd(text)
+
+    def readings(self, word: str) -> dict[int, tuple[str, bool]]:
+        """By the number of each chain that can read a word: the word so read, and whether that counts as a change."""
+        found = self.read.get(word)
+        if found is None:
+            found = {}
+            for n, chain in enumerate(chains()):
+                new = chain.convert(word)
+                if (new is None or not chain.utf8) and not any(map(str.isalpha, word)):
+                    new = word  # signs alone belong to any reading
+                if new is not None and new != word and not chain.utf8:
+                    bare = word.strip(_SIGNS).lower()
+                    if _odd(new) > _odd(word):
+                        continue
+                    if bare in self.known and (new.strip(_SIGNS).lower() not in self.known or sum(map(str.isalpha, new)) < sum(map(str.isalpha, word))):
+                        new = word  # a right word amid wrongly read ones
+                if new is not None:
+                    found[n] = (new, new != word and bool(chain.trigger.search(word)))
+            if len(self.read) > 200_000:
+                self.read.clear()
+            self.read[word] = found
+        return found
 
 
 def _odd(text: str) -> int:
@@ -207,73 +246,52 @@ def _odd(text: str) -> int:
     return len(_ODD.findall(text))
 
 
-def _stretches(words: list[str], chain: Chain, known: frozenset[str]) -> list[tuple[int, int, list[str]]]:
-    """(begin, end, converted words) of runs of words that the chain can read and changes some of.
+def _options(words: list[str], length: Lengths) -> list[tuple[int, str, int, int, list[str]]]:
+    """(gain, chain, begin, end, words so read) of each chain's runs of words it can read, if their description gets shorter.
 
-    A word that becomes less clean ends a run; a known word that would become an unknown one stays.
+    Plain words belong to any reading; a word the chain can't read ends a run.
     """
-    out, begin, good, changed = [], None, [], []
-    for k in range(0, len(words) + 2, 2):
-        w = words[k] if k < len(words) else "\u0001"
-        # plain words belong to any reading; so do words the chain reads
-        new = w if not _HIGH.search(w) and w != "\u0001" else chain.convert(w) if w != "\u0001" else None
-        if new is None and not any(c.isalpha() for c in w) and w != "\u0001":
-            new = w
-        if new is not None and new != w and not chain.sure:
-            if _odd(new) > _odd(w):
-                new = None
-            elif w.strip(_SIGNS).lower() in known and (new.strip(_SIGNS).lower() not in known or sum(map(str.isalpha, new)) < sum(map(str.isalpha, w))):
-                new = w  # a right word amid wrongly read ones
-        if new is None:
-            if begin is not None and len(changed) >= chain.least:
-                out.append((changed[0], changed[-1] + 1, good[changed[0] - begin : changed[-1] + 1 - begin]))
-            begin, good, changed = None, [], []
-            continue
-        if begin is None:
-            begin = k
-        if new != w and chain.trigger.search(w):
-            changed.append(k)
-        good.append(new)
-        if k + 1 < len(words):
-            good.append(words[k + 1])
+    high = [(k, length.readings(words[k])) for k in range(0, len(words), 2) if _HIGH.search(words[k])]
+    out = []
+    for n in {n for _, r in high for n, (_, changed) in r.items() if changed}:
+        chain = chains()[n]
+        runs: list[list[tuple[int, str, bool]]] = [[]]
+        for k, r in high:
+            if n in r:
+                runs[-1].append((k, *r[n]))
+            elif runs[-1]:
+                runs.append([])
+        for run in runs:
+            changed = [k for k, _, c in run if c]
+            if len(changed) < chain.least:
+                continue
+            begin, end = changed[0], changed[-1] + 1
+            good = words[begin:end]
+            for k, new, _ in run:
+                if begin <= k < end:
+                    good[k - begin] = new
+            gain = length("".join(words[begin:end])) - length("".join(good)) - chain.cost(length, words[begin:end:2], good[::2])
+            if gain > 0:
+                out.append((gain, chain.name, begin, end, good))
     return out
 
 
-def _options(text: str) -> list[Chain]:
-    """The chains worth trying: plain text of the known languages has none, at the cost of a few searches."""
-    odd = _GATES[""].search(text)
-    font = _GATES["vni"].search(text)
-    return [c for c in chains() if (odd or c.sure or c.name.endswith("gbk") or (c.name == "vni" and font)) and c.trigger.search(text)]
-
-
 def restore(text: str, length: Lengths) -> tuple[str, list[str]]:
-    """The text of least description length and the names of the chains that led to it, none if it stays."""
+    """The text of least description length and the names of the chains that led to it, none if it stays.
+
+    Readings are undone until none makes the text shorter, the one that gains most first; as each round shortens the
+    description, there is a last one.
+    """
     names: list[str] = []
-    for _ in range(DEPTH):
-        if not _HIGH.search(text):
-            break
-        tried = _options(text)
-        if not tried:
-            break
+    seen: set[str] = set()
+    while _HIGH.search(text) and text not in seen:
+        seen.add(text)
         words = _SPLIT.split(text)
-        options = []
-        for chain in tried:
-            for begin, end, good in _stretches(words, chain, length.known):
-                old, new = "".join(words[begin:end]), "".join(good)
-                if old == new:
-                    continue
-                before, after = length(old), length(new) + (1 if chain.sure else CHAIN_COST)
-                # in a stretch of a few words the margin would hide the gain; there words that become known decide
-                pairs = [(a, b) for a, b in zip(words[begin:end:2], good[::2]) if a != b]
-                learnt = sum(b.strip(_SIGNS).lower() in length.known and a.strip(_SIGNS).lower() not in length.known for a, b in pairs)
-                plain = chain.sure or (learnt >= 2 and learnt >= 0.75 * len(pairs))
-                if after < before - (0 if chain.sure else -CHAIN_COST - 1 if plain else max(2, MARGIN * before)):
-                    options.append((chain.sure, before - after, chain.name, begin, end, good))
+        options = _options(words, length)
         if not options:
             break
         taken = [False] * len(words)
-        sure = any(o[0] for o in options)
-        for _, _gain, name, begin, end, good in sorted((o for o in options if o[0] == sure), key=lambda o: (-o[1], o[2], o[3])):
+        for _gain, name, begin, end, good in sorted(options, key=lambda o: (-o[0], o[1], o[2])):
             if not any(taken[begin:end]):
                 words[begin:end] = good
                 taken[begin:end] = [True] * (end - begin)
@@ -283,18 +301,11 @@ def restore(text: str, length: Lengths) -> tuple[str, list[str]]:
 
 
 #: Letters, digits and signs of clean text in the languages of the dictionaries.
-_LETTERS = r"\x09-\x7e°–—…“”‘’«»àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđçîûïëœÀÁẢÃẠĂẰẮẲẴẶÂẦẤẨẪẬÈÉẺẼẸÊỀẾỂỄỆÌÍỈĨỊÒÓỎÕỌÔỒỐỔỖỘƠỜỚỞỠỢÙÚỦŨỤƯỪỨỬỮỰỲÝỶỸỴĐÇñ\x{4e00}-\x{9fff}，。；：？！、（）「」《》"
+_LETTERS = r"\x09-\x7e°•–—…“”‘’«»àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđçîûïëœÀÁẢÃẠĂẰẮẲẴẶÂẦẤẨẪẬÈÉẺẼẸÊỀẾỂỄỆÌÍỈĨỊÒÓỎÕỌÔỒỐỔỖỘƠỜỚỞỠỢÙÚỦŨỤƯỪỨỬỮỰỲÝỶỸỴĐÇñ\x{4e00}-\x{9fff}，。；：？！、（）「」《》"
 _CLEAN, _ODD = f"^[{_LETTERS}]+$", re.compile(f"[^{re.sub(r'.x.4e00.-.x.9fff.', '一-鿿', _LETTERS)}]")
 _KIND = {"vi": r"[ạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹđ]", "zh": r"[\x{4e00}-\x{9fff}]{4}", "fr": r"\b(?:les|des|une|dans|est|qui)\b", "en": r"\b(?:the|of|and|with)\b"}
 
 
-#: What text in a wrong single-byte reading has besides: signs no clean text has, capitals behind small letters, ...
-_GATES = {
-    "vni": re.compile("[øûïåäëüöñØÛÏÅÄËÜÖÑ]"),
-    "": re.compile(f"{_ODD.pattern}|[a-zà-ỹ][À-ß]|[ðÞÐ«»][a-zà-ỹ]|[aâeêiouyôãýõ][ìò]|(?<= )[óñ](?= )|[a-z]{{3}}ís\\b|\\b[ldnsj]í[a-zà-ỹ]{{2}}"),
-}
-
-
 def dictionaries(df: DataFrame, key: str, text: str) -> dict[str, bytes]:
     """A dictionary a language from a bounded sample of texts that show only its own letters.
 

@@ -149,7 +149,7 @@ class Lexicon:
         order = np.argsort(keys, kind="stable")
         self.keys, self.numbers = keys[order], np.repeat(np.arange(len(spread_), dtype=np.int32), [len(d) for d in spread_])[order]
         self.cache: dict[tuple[str, float], list[tuple[float, str]]] = {}
-        self.seen: dict[str, tuple[bool, tuple[int, int]]] = {}
+        self.seen: dict[str, tuple[bool, tuple[int, int], list[str]]] = {}
 
     def near(self, word: str) -> list[str]:
         """Words that share a delete."""
@@ -178,12 +178,15 @@ class Lexicon:
         h, last = xxhash.xxh3_64_intdigest(word), 8 * len(self.genuine) - 1
         return all(self.genuine[spot >> 3] >> (spot & 7) & 1 for spot in (h & last, (h >> 32) & last))
 
-    def looked_up(self, word: str) -> tuple[bool, tuple[int, int]]:
-        """(no word to judge, (frequency, place) of the best cut into two known words that follow one another)."""
+    def looked_up(self, word: str) -> tuple[bool, tuple[int, int], list[str]]:
+        """(no word to judge, (frequency, place) of the best cut into two known words that follow one another, better known words
+        that a known word may be misread from)."""
         found = self.seen.get(word)
         if found is None:
             apart = max(((self.pairs.get((word[:i], word[i:]), 0), i) for i in range(1, len(word)) if word[:i] in self.words and word[i:] in self.words), default=(0, 0))
-            found = (word.isdigit() or bool(_OTHER_SCRIPT.search(word)), apart)
+            count = self.words.get(word, 0)
+            better = [c for _, c in self.candidates(word, KNOWN_COST) if self.words[c] > count] if count and len(word) > 1 else []
+            found = (word.isdigit() or bool(_OTHER_SCRIPT.search(word)), apart, better)
             if len(self.seen) > 300_000:
                 self.seen.clear()
             self.seen[word] = found
@@ -276,7 +279,7 @@ def _words(text: str, lexicon: Lexicon, kinds: set[str], spoiled: frozenset[str]
         w, m = low[k], found[k]
         before, after = low[k - 1] if k else "", low[k + 1] if k + 1 < n else ""
         count = known.get(w, 0)
-        other, apart = lexicon.looked_up(w)
+        other, apart, forms = lexicon.looked_up(w)
         if other or (spoiled and (w in spoiled or before in spoiled or after in spoiled)) or (lost and "�" in text[max(0, m.start() - 1) : m.end() + 1]):
             k += 1
             continue
@@ -293,11 +296,9 @@ def _words(text: str, lexicon: Lexicon, kinds: set[str], spoiled: frozenset[str]
                 edits.append((m.start() + apart[1], m.start() + apart[1], " "))
                 k += 1
                 continue
-            own = lexicon.context(before, w, after)
-            if len(w) > 1:
-                better = [(lexicon.context(before, c, after), c) for _, c in lexicon.candidates(w, KNOWN_COST) if known[c] > count]
-                best = max(better, default=(0, ""))
-                if best[0] >= care * CONTEXT_RATIO * max(own, 1) and pairs.get((before, best[1])) and pairs.get((best[1], after)):
+            if forms:
+                best = max((lexicon.context(before, c, after), c) for c in forms)
+                if best[0] >= care * CONTEXT_RATIO * max(lexicon.context(before, w, after), 1) and pairs.get((before, best[1])) and pairs.get((best[1], after)):
                     kinds.add("misread")
                     edits.append((m.start(), m.end(), _like(m.group(), best[1])))
             k += 1
@@ -335,7 +336,7 @@ def _words(text: str, lexicon: Lexicon, kinds: set[str], spoiled: frozenset[str]
 
 def _spoiled(text: str, restored: str) -> frozenset[str]:
     """The words of a restored text that its stored text does not have, and those that still look wrongly decoded."""
-    left = {w.lower() for w in _TOKEN.findall(restored) if any(gate.search(w) for gate in mojibake._GATES.values())}
+    left = {w.lower() for w in _TOKEN.findall(restored) if mojibake._odd(w)}
     return frozenset(left | set(_TOKEN.findall(restored.lower())) - set(_TOKEN.findall(text.lower())))
 
 
