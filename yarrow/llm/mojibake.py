@@ -225,7 +225,7 @@ class Lengths:
             found = {}
             for n, chain in enumerate(chains()):
                 new = chain.convert(word)
-                if (new is None or not chain.utf8) and not any(map(str.isalpha, word)):
+                if (new is None or not (chain.utf8 or _odd(word))) and not any(map(str.isalpha, word)):
                     new = word  # signs alone belong to any reading
                 if new is not None and new != word and not chain.utf8:
                     bare = word.strip(_SIGNS).lower()
