@@ -65,7 +65,8 @@ def test_alikes():
         assert r(form) == VI[0]
     for same in ["женьшень", "ЖЕНЬШЕНЬ", "γλυκόριζα", "α-Calantha và β-Ramethra", "当归、甘草，白芍（酒炒）。", "“½ thìa” – cm²… 42 ℃", "👩🏽‍🌾 vườn", "", "a\tb\nc"]:
         assert r(same) == same
-    assert r("siﬂora Ɖào") == "siflora Đào" and alikes.comparable("Ｔhuốc  ½") == alikes.comparable("thuốc ½")
+    assert r("ᎪrՏenic") == "ArSenic" and r("a\u180eb\u2063c\u115fd") == "abcd" and r("𝐍gười ﬃ ｽ № ℃ ①") == "Người ffi ｽ № ℃ ①"
+    assert r("siﬂora Ɖào") == "siflora Đào" and alikes.comparable(r("Ｔhuốc  ½")) == alikes.comparable(r("thuốc ½"))
 
 
 def test_alikes_frame(spark):

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yarrow.common import running_before, table
+from yarrow.common import running_before, spread, table
 
 LIMIT, LEAST, OVERLAP = 1500, 500, (100, 200)
 #: Width of the rolling hash, and how far a landmark may move to a boundary.
@@ -77,8 +77,6 @@ def cuts(text: str, limit: int = LIMIT, least: int = LEAST, overlap: tuple[int,
     return out
 
 
-
-
 def split_texts(df: DataFrame, text: str, keys: list[str], limit: int = LIMIT, least: int = LEAST, overlap: tuple[int, int] = OVERLAP) -> DataFrame:
     """Pieces (keys, piece_no, n_pieces, start_char, piece) of every row.
 
@@ -91,12 +89,22 @@ def split_texts(df: DataFrame, text: str, keys: list[str], limit: int = LIMIT, l
         *keys, F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start_char"), F.col("_text").alias("piece")
     )
 
-    @F.pandas_udf("array<struct<start_char:int,end_char:int>>")
-    def ranges(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start_char": a, "end_char": b} for a, b in cuts(t, limit, least, overlap)])
-
-    long = base.where(F.length("_text") > limit).withColumn("_r", ranges("_text")).select(*keys, "_text", F.size("_r").alias("n_pieces"), F.posexplode("_r").alias("piece_no", "_p"))
-    long = long.select(*keys, "piece_no", "n_pieces", "_p.start_char", F.substring("_text", F.col("_p.start_char") + 1, F.col("_p.end_char") - F.col("_p.start_char")).alias("piece"))
+    def run(batches):
+        for b in batches:
+            rows, numbers, sizes, starts, pieces = [], [], [], [], []
+            for row, t in enumerate(b.column(len(keys)).to_pylist()):
+                spans = cuts(t, limit, least, overlap)
+                rows += [row] * len(spans)
+                numbers += range(len(spans))
+                sizes += [len(spans)] * len(spans)
+                starts += [a for a, _ in spans]
+                pieces += [t[a:e] for a, e in spans]
+            at = pa.array(rows, pa.int64())
+            made = [pa.array(x, pa.int32()) for x in (numbers, sizes, starts)]
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(len(keys))], *made, pa.array(pieces, pa.string())], names=[*keys, "piece_no", "n_pieces", "start_char", "piece"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    long = spread(base.where(F.length("_text") > limit)).mapInArrow(run, f"{kinds}, piece_no int, n_pieces int, start_char int, piece string")
     return short.unionByName(long)
 
 
@@ -113,8 +121,20 @@ def renumbered(df: DataFrame, pieces: DataFrame, key: str, parent: str, order: l
 
 
 def p3_found(spark, sf_dir):
-    """ord of the chunks that the splitter cuts: one row each, at its first piece."""
-    return split_texts(table(spark, sf_dir, "chunks").where(F.length("text") > LIMIT), "text", ["ord"]).where("n_pieces > 1 AND piece_no = 0").select("ord")
+    """ord of the chunks that the splitter cuts into several pieces, one row each."""
+    return split_texts(table(spark, sf_dir, "chunks"), "text", ["ord"]).where("n_pieces > 1 AND piece_no = 0").select("ord")
+
+
+def p3_rebuilt(spark, sf_dir):
+    """ord, n_chars, bad of every chunk with text, from its pieces alone: bad counts pieces that are too long, overlap wrongly or are not
+    what the text has there; n_chars is the length that they cover without a gap."""
+    chunks = table(spark, sf_dir, "chunks")
+    pieces = split_texts(chunks, "text", ["ord"]).where("piece IS NOT NULL").select("ord", "piece_no", "start_char", "piece")
+    placed = pieces.join(chunks.select("ord", "text"), "ord")
+    row = F.struct("piece_no", "start_char", (F.col("start_char") + F.length("piece")).alias("end_char"), ((F.length("piece") > LIMIT) | (F.col("piece") != F.expr("substring(text, start_char + 1, length(piece))"))).alias("bad"))
+    state = "struct<upto:int,bad:int>"
+    fold = f"aggregate(array_sort(r), CAST(named_struct('upto', 0, 'bad', 0) AS {state}), (s, x) -> named_struct('upto', x.end_char, 'bad', s.bad + IF(x.bad OR (x.piece_no = 0 AND x.start_char <> 0) OR (x.piece_no > 0 AND s.upto - x.start_char NOT BETWEEN {OVERLAP[0]} AND {OVERLAP[1]}), 1, 0)))"
+    return placed.groupBy("ord").agg(F.collect_list(row).alias("r")).select("ord", F.expr(fold).alias("s")).select("ord", F.col("s.upto").cast("bigint").alias("n_chars"), F.col("s.bad").cast("bigint").alias("bad"))
 
 
 def p3_pieces(spark, sf_dir):
@@ -124,5 +144,8 @@ def p3_pieces(spark, sf_dir):
     return renumbered(chunks, pieces, "ord", "parent_id", ["child_index", "ord"]).select("parent_id", "child_index", "ord", "piece_no", "start_char", "piece")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
-SQL = {"p3_found": "SELECT ord FROM chunks WHERE length(text) > 1500"}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rebuilt": p3_rebuilt}
+SQL = {
+    "p3_found": "SELECT ord FROM chunks WHERE length(text) > 1500",
+    "p3_rebuilt": "SELECT ord, length(text) n_chars, 0::BIGINT bad FROM chunks WHERE text IS NOT NULL",
+}
