@@ -80,7 +80,7 @@ def test_tokens_match_the_library():
 
     library = Tokenizer.from_file(encoding.tokenizer_path())
     library.encode_special_tokens = True
-    machine = encoding.automaton(encoding.tokenizer_path())
+    machine = encoding.automaton(encoding.vocabulary())
     rnd = random.Random(7)
     texts = [*VI[:3], *FR[:3], "<|endoftext|> it's   we'll\n\n x", "a" * 3000, " " * 50, "日本の中ー" * 40, "👩🏽‍🌾🌿", ""]
     texts += ["".join(rnd.choice(rnd.choice(["aab ", "etaoin", "ạảấ đ", "中の", "\n\t ", "!?.…", "กขค", "0129"])) for _ in range(rnd.randrange(60))) for _ in range(500)]
@@ -89,6 +89,34 @@ def test_tokens_match_the_library():
         assert ids == library.encode(t, add_special_tokens=False).ids and machine.decode(ids).decode() == t
 
 
+def _merged(word, merges):
+    parts = list(word)
+    for a, b in merges:
+        out = []
+        while parts:
+            x = parts.pop(0)
+            out.append(x + parts.pop(0) if x == a and parts and parts[0] == b else x)
+        parts = out
+    return parts
+
+
+def test_the_automaton_accepts_just_what_merging_in_order_gives():
+    import json
+
+    rnd = random.Random(11)
+    for _ in range(60):
+        labels, merges = ["a", "b", "c"], []
+        while len(merges) < 7:
+            a, b = rnd.choice(labels), rnd.choice(labels)
+            if a + b not in labels:
+                merges.append((a, b))
+                labels.append(a + b)
+        machine = encoding.Automaton(json.dumps({"model": {"vocab": {x: i for i, x in enumerate(labels)}, "merges": [f"{a} {b}" for a, b in merges]}}).encode())
+        for _ in range(60):
+            word = "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 9)))
+            assert [machine.labels[i].decode() for i in machine.run(word)] == _merged(word, merges)
+
+
 def test_tokens_frame(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "hi there", 1), (3, "hi there", 1), (4, "x" * 50_000, 1)], "doc_id bigint, text string, ids int")
     got = sorted((r.doc_id, len(r.ids)) for r in encoding.encoded(df, "doc_id", "text").collect())

@@ -18,8 +18,8 @@ from yarrow.common import spread, table
 
 #: Fixed value: the public pattern that splits a text before the merges of a byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct words kept with their ids by a worker; it starts anew beyond that.
-CACHE = 400_000
+#: Distinct words kept with their ids, and transitions kept with their answers, by a worker; it starts anew beyond that.
+CACHE, TABLE = 400_000, 2_000_000
 FOREVER = 1 << 30
 
 
@@ -54,8 +54,8 @@ class Automaton:
     longer parts existed; ``_arc`` evaluates that, and the answers fill the transition table.
     """
 
-    def __init__(self, path: str) -> None:
-        model = json.load(open(path, encoding="utf-8"))["model"]
+    def __init__(self, file: bytes) -> None:
+        model = json.loads(file)["model"]
         letters = _byte_letters()
         self.ids = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if all(c in letters for c in t)}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -112,6 +112,8 @@ class Automaton:
                     continue
                 allowed = table.get((state, label))
                 if allowed is None:
+                    if len(table) > TABLE:
+                        table.clear()
                     allowed = table[(state, label)] = self._arc(state, label)
                 if not allowed:
                     continue
@@ -191,21 +193,27 @@ class _Stretches(dict):
 
 
 @lru_cache(maxsize=4)
-def automaton(path: str) -> Automaton:
-    return Automaton(path)
+def automaton(file: bytes) -> Automaton:
+    return Automaton(file)
+
+
+def vocabulary(path: str | None = None) -> bytes:
+    """The file of a vocabulary, read on the driver: the tasks get its bytes, so that no other machine needs the file."""
+    with open(path or tokenizer_path(), "rb") as f:
+        return f.read()
 
 
 def encoded(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, ids) of every row; null and empty texts have the empty list, repeated rows come out each.
 
-    Marker-like strings are plain text. One narrow stage without a shuffle: each Python worker compiles the
-    automaton once. Columns other than ``key`` and ``text`` are never read.
+    Marker-like strings are plain text. One narrow stage without a shuffle: the vocabulary, a few MB, is broadcast and each
+    Python worker compiles the automaton once. Columns other than ``key`` and ``text`` are never read.
     """
-    path = path or tokenizer_path()
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
     kind = df.schema[key].dataType
 
     def run(batches):
-        machine = automaton(path)
+        machine = automaton(shared.value)
         for batch in batches:
             coded = [machine.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             ends = array("i", [0, *accumulate(len(c) // 4 for c in coded)])
