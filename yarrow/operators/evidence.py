@@ -84,8 +84,11 @@ def context(results: DataFrame, children: DataFrame, width: int = 1, parents_kep
 def hits(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """The first rank that hits a gold item, hit at k, reciprocal rank; a query without a hit counts with zeros."""
     first = results.join(gold, ["query_id", "item"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    out = gold.select("query_id").distinct().join(first, "query_id", "left")
-    return out.select("query_id", F.col("first").cast("bigint").alias("first_rank"), *[F.when(F.col("first") < k, 1.0).otherwise(0.0).alias(f"hit{k}") for k in ks], F.coalesce(1.0 / (F.col("first") + 1), F.lit(0.0)).alias("rr"))
+    return _graded(gold.select("query_id").distinct().join(first, "query_id", "left"), ["query_id"], ks)
+
+
+def _graded(out: DataFrame, keys: list[str], ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    return out.select(*keys, F.col("first").cast("bigint").alias("first_rank"), *[F.when(F.col("first") < k, 1.0).otherwise(0.0).alias(f"hit{k}") for k in ks], F.coalesce(1.0 / (F.col("first") + 1), F.lit(0.0)).alias("rr"))
 
 
 def hit_summary(per_query: DataFrame, by: list[str]) -> DataFrame:
@@ -144,27 +147,27 @@ def d10_neighbours(spark, d):
     return r.join(kids, "parent_id").where(F.col("c").between(F.col("child_index") - 1, F.col("child_index") + 1)).groupBy("query_id").agg(F.countDistinct("ord").alias("n_near"))
 
 
-def _gold(spark, d, what):
-    q = table(spark, d, "test_questions").where("gold_relevant_ids IS NOT NULL").select(F.col("id").alias("query_id"), F.explode(T.id_list(F.col("gold_relevant_ids"))).alias("chunk_id"))
-    if what == "chunk_id":
-        return q.select("query_id", F.col("chunk_id").alias("item")).distinct()
-    ids = table(spark, d, "chunks").select("chunk_id", what).distinct()
-    return q.join(ids, "chunk_id").select("query_id", F.col(what).alias("item")).distinct()
+LEVELS = ("chunk_id", "parent_id", "source_id")
+
+
+def _gold(spark, d):
+    return table(spark, d, "test_questions").where("gold_relevant_ids IS NOT NULL").select(F.col("id").alias("query_id"), F.explode(T.id_list(F.col("gold_relevant_ids"))).alias("chunk_id")).distinct()
 
 
 def e15_hits(spark, d):
-    """Hit@k and MRR of chunks, parents and sources over all questions with gold items."""
-    out = None
-    for what in ("chunk_id", "parent_id", "source_id"):
-        r = _results(spark, d).select("query_id", "rank", F.col(what).alias("item"))
-        s = hit_summary(hits(r, _gold(spark, d, what)).withColumn("level", F.lit(what)), ["level"])
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Hit@k and MRR of chunks, parents and sources over all questions with gold items; each table is read once, the level being a column."""
+    level = lambda *names: F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(n).alias("item")) for n in names])).alias("x")
+    where = table(spark, d, "chunks").select("chunk_id", "parent_id", "source_id").distinct()
+    # a gold chunk that is in no table any more still counts as a chunk
+    gold = _gold(spark, d).join(where, "chunk_id", "left").select("query_id", level(*LEVELS)).select("query_id", "x.level", "x.item").where("item IS NOT NULL").distinct()
+    found = _results(spark, d).select("query_id", "rank", level(*LEVELS)).select("query_id", "rank", "x.level", "x.item")
+    first = found.join(gold, ["query_id", "level", "item"]).groupBy("query_id", "level").agg(F.min("rank").alias("first"))
+    return hit_summary(_graded(gold.select("query_id", "level").distinct().join(first, ["query_id", "level"], "left"), ["query_id", "level"]), ["level"])
 
 
 def e16_first_hits(spark, d):
     r = _results(spark, d).select("query_id", "rank", F.col("chunk_id").alias("item"))
-    return hits(r, _gold(spark, d, "chunk_id")).select("query_id", "first_rank", F.round("rr", 6).alias("rr"))
+    return hits(r, _gold(spark, d).select("query_id", F.col("chunk_id").alias("item"))).select("query_id", "first_rank", F.round("rr", 6).alias("rr"))
 
 
 def o1_failures(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yarrow.common import table
+from yarrow.common import spread, table
 from yarrow.functions import text as T
 
 STOP = ["la", "va", "cua", "cho", "co", "khong", "the", "nao", "gi", "o", "khi", "thi", "de", "voi", "cac", "mot"]
@@ -83,12 +83,12 @@ def b4_category(spark, d):
 
 
 def b6_clean(spark, d):
-    r = table(spark, d, "raw_passages")
+    r = spread(table(spark, d, "raw_passages").select("ord", "text", "ocr_confidence"))
     return r.select("ord", F.md5(T.clean_passage(F.col("text"))).alias("digest"), (F.col("ocr_confidence") < 0.75).alias("low_confidence"))
 
 
 def b8_clean_chunks(spark, d):
-    c = table(spark, d, "chunks")
+    c = spread(table(spark, d, "chunks").select("ord", "text", "doc_type"))
     return c.select("ord", F.md5(T.clean_chunk(F.col("text"), F.col("doc_type"))).alias("digest"), T.chunk_is_noise(F.col("text"), F.col("doc_type")).alias("is_noise"))
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yarrow.common import cut, table
+from yarrow.common import cut, spread, table
 from yarrow.functions import text as T
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Numbers of the query vectors that are broadcast at once.
+QUERY_VALUES = 4_000_000
 #: Rows of (query, term) that may be broadcast, some tens of bytes each.
 BROADCAST_TERMS = 200_000
 
@@ -24,33 +31,58 @@ def searchable(chunks: DataFrame, text: str = "text") -> DataFrame:
 def bm25_index(docs: DataFrame, key: str, tokens: str = "tokens") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings with tf and document length, terms with idf, one row of corpus statistics).
 
-    Terms in more than half of the documents get EPSILON times the mean idf instead of a negative one.
+    Postings and terms are written once to the session's shared folder; whatever is asked of the index reads those. Terms in more than half of the documents get EPSILON times the mean idf instead of a negative one.
     """
     # all postings of a document stay in its partition: neither the term frequencies nor, behind a broadcast of the
     # query terms, the scores need another exchange
     placed = docs.select(key, F.size(tokens).alias("dl"), F.col(tokens).alias("_tokens")).repartition(key)
     postings = placed.select(key, "dl", F.explode("_tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
+    postings = cut(postings)
+    # documents without tokens are not searchable, so every document has a posting
+    stats = postings.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
     terms = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    terms = cut(terms)
     mean = terms.agg(F.avg("raw").alias("mean"))
     terms = terms.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
     return postings, terms.select("term", "df", "idf", "avgdl"), stats
 
 
+def stored_index(docs: DataFrame, key: str, folder: str, tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """The index as tables in ``folder``, which all executors share: postings in partitions by term hash, and terms.
+
+    Built anew only if the documents' signature (their number and a sum of hashes of keys and tokens, one cheap pass) is not that
+    of the stored index.
+    """
+    spark = docs.sparkSession
+    now = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(key, tokens).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h"))
+    signature = "|".join(map(str, now.first()))
+    try:
+        fresh = spark.read.parquet(f"{folder}/signature").first()[0] == signature
+    except AnalysisException:  # nothing stored yet
+        fresh = False
+    if not fresh:
+        postings, terms, _ = bm25_index(docs, key, tokens)
+        postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(64))).repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
+        terms.write.mode("overwrite").parquet(f"{folder}/terms")
+        spark.createDataFrame([(signature,)], "signature string").write.mode("overwrite").parquet(f"{folder}/signature")
+    return spark.read.parquet(f"{folder}/postings").drop("part"), spark.read.parquet(f"{folder}/terms")
+
+
 def top(df: DataFrame, group: str, score: Column, k: int, *ties: str) -> DataFrame:
     """The k best rows of each group with a 0-based rank; the limit runs before the exchange as well."""
     w = Window.partitionBy(group).orderBy(score.desc(), *ties)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).withColumn("rank", (F.col("_rn") - 1).cast("bigint")).drop("_rn")
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: float = K1, b: float = B, kind: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, rank, key, bm25_score) for all queries at once; scores of zero or less have no rank.
 
-    Only postings of terms that some query has are scored; the k best of each query leave a task.
+    Only postings of terms that some query has are scored; the k best of each query leave a task. ``kind``: a doc_type that
+    results must have, applied behind the scoring, so that document frequencies stay those of the corpus. ``index``: a stored one.
     """
-    postings, terms, _ = bm25_index(docs, key)
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    postings, terms = index or bm25_index(docs, key)[:2]
+    asked = cut(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     weighted = asked.join(terms, "term")
     # the query terms are broadcast only if they are few; more are joined by a shuffle on the term
     if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
@@ -58,17 +90,70 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: fl
     length = 1 - b + b * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
     scores = weighted.join(postings, "term").groupBy("query_id", key).agg(F.sum(part).alias("s")).where("s > 0").withColumn("bm25_score", F.round("s", 6))
+    if kind:
+        scores = scores.join(docs.where(F.col("doc_type") == kind).select(key), key, "left_semi")
     return top(scores, "query_id", F.col("bm25_score"), k, key).select("query_id", "rank", key, "bm25_score")
 
 
+def searchable_points(points: DataFrame, kind: str | None = None) -> DataFrame:
+    """C4: points that are surely no noise (a missing flag excludes them), of one doc_type if given; both reach the scan."""
+    df = points.where(F.col("is_noise") == F.lit(False))
+    return df.where(F.col("doc_type") == kind) if kind else df
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    x = np.array(column.to_pylist(), dtype=np.float64)
+    return x.reshape(len(column), -1)
+
+
 def vector_topk(queries: DataFrame, points: DataFrame, key: str, k: int = 40, exclude_self: bool = False) -> DataFrame:
-    """Exact cosine search of a stated query set (query_id, qv) against all points (key, v).
+    """Exact cosine search of a stated query set (query_id, qv) against all points (key, v).
 
-    The query set is small and broadcast by the planner's own size check; per query only k rows leave a task.
+    Queries meet the points in blocks of QUERY_VALUES numbers, the only thing broadcast: one matrix product for each block and Arrow
+    batch of points, of which the k best a query leave the task. Rows without a vector, or of another length than
+    the first query's, have no score.
     """
-    near = queries.join(points, F.col("query_id") != F.col(key) if exclude_self else F.lit(True))
-    scored = near.select("query_id", key, F.round(T.cosine(F.col("qv"), F.col("v")), 6).alias("vector_score"))
-    return top(scored, "query_id", F.col("vector_score"), k, key).select("query_id", "rank", key, "vector_score")
+    spark = points.sparkSession
+    first = queries.where(F.size("qv") > 0).select(F.size("qv")).first()
+    id_kind, key_kind = queries.schema["query_id"].dataType.simpleString(), points.schema[key].dataType.simpleString()
+    schema = f"query_id {id_kind}, `{key}` {key_kind}, vector_score double"
+    if first is None:
+        return spark.createDataFrame([], f"query_id {id_kind}, rank bigint, `{key}` {key_kind}, vector_score double")
+    dim = first[0]
+    good = lambda c: (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull())
+    asked = queries.where(good("qv")).select("query_id", "qv")
+    blocks = -(-asked.count() * dim // QUERY_VALUES)
+    base = spread(points.where(good("v")).select(key, "v"))
+    scored = []
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow()
+        q = _matrix(part["qv"].combine_chunks()) if part.num_rows else np.zeros((0, dim))
+        shared = spark.sparkContext.broadcast((part["query_id"].combine_chunks(), q, np.sqrt((q * q).sum(axis=1))))
+
+        def run(batches, shared=shared):
+            ids, q, lengths = shared.value
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                x = _matrix(b.column(1))
+                # B37's small term keeps zero vectors from dividing by zero
+                sims = np.round((q @ x.T) / (lengths[:, None] * np.sqrt((x * x).sum(axis=1))[None, :] + 1e-12), 6)
+                if exclude_self:
+                    own = pc.index_in(ids, value_set=b.column(0)).to_numpy(zero_copy_only=False)
+                    at = np.flatnonzero(~np.isnan(own.astype(float)))
+                    sims[at, own[at].astype(int)] = -np.inf
+                # equal scores at the border all go on: their order is decided behind the exchange
+                least = np.partition(-sims, min(k, sims.shape[1]) - 1, axis=1)[:, min(k, sims.shape[1]) - 1]
+                r, c = np.nonzero((-sims <= least[:, None]) & (sims > -np.inf))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), b.column(0).take(pa.array(c)), pa.array(sims[r, c])], names=["query_id", key, "vector_score"])
+
+        scored.append(base.mapInArrow(run, schema))
+    return top(reduce(DataFrame.unionByName, scored), "query_id", F.col("vector_score"), k, key).select("query_id", "rank", key, "vector_score")
+
+
+def vector_topk_of_texts(queries: DataFrame, points: DataFrame, key: str, embed: Callable[[DataFrame], DataFrame], k: int = 40) -> DataFrame:
+    """Search from texts: ``embed`` turns (query_id, query) into (query_id, vector); queries without a vector have no rows."""
+    return vector_topk(embed(queries).where("vector IS NOT NULL").select("query_id", F.col("vector").alias("qv")), points, key, k)
 
 
 def rrf(lists: dict[str, DataFrame], key: str, k: int = RRF_K, final: int = 40) -> DataFrame:

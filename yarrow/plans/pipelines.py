@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yarrow.common import cut
 from yarrow.functions import text as T
 from yarrow.operators import answers, chunking, evidence, retrieval
 
@@ -30,7 +31,9 @@ def ask(questions: DataFrame, chunks: DataFrame, k: int = 40) -> DataFrame:
     """
     docs = retrieval.searchable(chunks)
     found = retrieval.bm25_topk(questions, docs, "ord", k)
+    # gate, evidence and context all read the few best rows of each question, so these are written once
     rows = found.join(chunks.select("ord", "chunk_id", "parent_id", "source_id", "child_index", "text"), "ord").withColumn("score", 1.0 / (61 + F.col("rank")))
+    rows = cut(rows)
     decided = evidence.gate(rows, questions)
     cites = rows.where("rank < 4").select("query_id", F.concat(F.lit("E"), (F.col("rank") + 1).cast("string")).alias("citation_id"), "chunk_id", T.snippet(F.col("text"), 160).alias("snippet"))
     said = answers.extractive_answers(cites)
