@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from yarrow import queries
 from yarrow.common import running_before
-from yarrow.operators import answers, chunking, evidence, retrieval
+from yarrow.operators import answers, chunking, evidence, retrieval, structure
 from yarrow.plans import pipelines
 from yarrow.sources import files
 from yarrow.streaming import ingest
@@ -137,3 +137,48 @@ def test_running_before_is_a_prefix_sum(spark):
     for k, o, w in sorted(rows, key=lambda r: (r[0], r[1])):
         assert got[(k, o)] == sums.get(k, 0)
         sums[k] = sums.get(k, 0) + w
+
+
+PASSAGE = "source_id string, doc_type string, ord bigint, text string, page int, para_idx int, element_idx int, locator string, heading_path string, section_heading string"
+
+
+def _tokens(t):
+    import regex
+
+    return len(regex.findall(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]", t))
+
+
+def test_heading_blocks_pack_rows_and_children(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(50)}" for _ in range(rnd.randrange(31, 60))) for _ in range(25)]
+    rows = [("s", "docx", i, t, None, i, i, None, "A" if i < 20 else "B", None) for i, t in enumerate(texts)] + [("s", "docx", 99, "ngắn", None, 99, 99, None, "A", None), ("s", "docx", 98, None, None, 98, 98, None, "A", None)]
+    df = spark.createDataFrame(rows, PASSAGE)
+    got = {}
+    for r in structure.heading_blocks(structure._rows(df), 200, 80, 40).collect():
+        got.setdefault(r.parent_id, {})[r.child_index] = (r.text, r.para_min, r.para_max)
+    want = []
+    for lo, hi in ((0, 20), (20, 25)):
+        at = lo
+        for block in _pack([_tokens(t) for t in texts[lo:hi]], 200, 0):
+            part = texts[at : at + len(block)]
+            want.append((at, at + len(block) - 1, _pack([_tokens(t) for t in part], 80, 40)))
+            at += len(block)
+    assert sorted((k[0][1], k[0][2], len(k)) for k in got.values()) == sorted((a, b, len(kids)) for a, b, kids in want)
+    assert len([p for p in got if ":b" in p]) == len(want) - (1 if len(_pack([_tokens(t) for t in texts[20:]], 200, 0)) == 1 else 0)
+    assert structure.heading_blocks(structure._rows(df.limit(0))).count() == 0
+
+
+def test_entries_know_their_pages(spark):
+    pages = ["Lời mở đầu của cuốn sách cũ này rất dài.\n1. Mục một nói về quế chi và gừng tươi.", "Vẫn còn là mục một, ở sang trang thứ hai.", "17\n2. Mục hai nói về nghệ vàng và mật ong.\n3. Mục ba nói về tía tô, kinh giới."]
+    df = spark.createDataFrame([("s", "pdf", i, t, i + 5, None, i, None, None, None) for i, t in enumerate(pages)], PASSAGE)
+    rows = structure._rows(df)
+    assert [r.source_id for r in structure.entry_sources(rows).collect()] == ["s"]
+    got = sorted((r.parent_id, r.page_min, r.page_max, r.text.split()[0]) for r in structure.pdf_entries(rows).collect())
+    assert got == [("s:e:0", 5, 5, "Lời"), ("s:e:1", 5, 6, "1."), ("s:e:2", 7, 7, "2."), ("s:e:3", 7, 7, "3.")]
+    assert sorted((r.page_min, r.page_max) for r in structure.pdf_pages(rows).collect()) == [(5, 6), (7, 7)]
+
+
+def test_long_images_are_split_and_numbered(spark):
+    df = spark.createDataFrame([("s", "image", 1, " ".join(["chữ"] * 90), 1, None, 0, "anh.png", None, None), ("s", "image", 2, "một ảnh ngắn", 1, None, 0, "b.png", None, None), ("s", "image", 3, "ab", 1, None, 0, "c.png", None, None)], PASSAGE)
+    got = sorted((r.locator, r.child_index, r.n_tokens) for r in structure.images(structure._rows(df), 40).collect())
+    assert got == [("anh.png#part1", 0, 40), ("anh.png#part2", 1, 40), ("anh.png#part3", 2, 10), ("b.png", 0, 3)]
