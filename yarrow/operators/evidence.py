@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from yarrow.common import table
 from yarrow.functions import text as T
 
-# Parameters of the gate; the wordings are ours and replaceable.
-HIGH_RISK = [r"(?:liều|lieu) ?(?:lượng|luong|dùng|dung)?", r"trẻ|tre em|children|enfants", r"thai|pregnan|enceinte", r"ung thư|cancer", r"(?:bao nhiêu|bao nhieu|how much|combien)"]
-ABSOLUTE = [r"khỏi hẳn|khoi han|dứt hẳn", r"100 ?%", r"mọi bệnh|moi benh|every illness", r"always cure|guérit toujours"]
-COUNTER = [r"có thể gặp|co the gap|sometimes reported|signalent parfois", r"kỵ với|ky voi", r"tái phát|tai phat", r"không giảm|khong giam"]
+# Parameters of the gate: wordings of our own, in the languages of the corpus, all replaceable.
+HIGH_RISK = [
+    r"(?:liều|lieu) ?(?:lượng|luong|dùng|dung)?", r"trẻ|tre em|children|enfants", r"thai|pregnan|enceinte", r"ung thư|cancer", r"(?:bao nhiêu|bao nhieu|how much|combien)",
+    r"cho con bú|breast-?feed|allait", r"chống chỉ định|contraindic|contre-indic", r"tác dụng phụ|side effect|effets? secondaire", r"ngộ độc|poison|intoxic", r"quá liều|overdos|surdos",
+    r"tương tác|interact", r"suy gan|liver failure|insuffisance hépatique", r"suy thận|kidney failure|insuffisance rénale", r"huyết áp|blood pressure|tension artérielle", r"tim mạch|heart|cardia",
+    r"tiểu đường|diabet", r"phẫu thuật|surgery|chirurg", r"cấp cứu|emergency|urgence", r"dị ứng|allerg", r"thay thuốc|instead of medicine|à la place",
+]
+ABSOLUTE = [
+    r"khỏi hẳn|khoi han|dứt hẳn", r"100 ?%", r"mọi bệnh|moi benh|every illness", r"always cure|guérit toujours", r"chắc chắn|certainly|certainement", r"hoàn toàn|completely|complètement",
+    r"vĩnh viễn|for ever|définitive", r"không bao giờ|never|jamais", r"an toàn tuyệt đối|perfectly safe|sans aucun risque",
+]
+COUNTER = [
+    r"có thể gặp|co the gap|sometimes reported|signalent parfois", r"kỵ với|ky voi", r"tái phát|tai phat", r"không giảm|khong giam", r"thận trọng|with caution|prudence", r"chưa rõ|unclear|mal connu",
+    r"tùy (?:người|thể trạng)|depends on|selon", r"không nên|should not|ne doit pas", r"ngừng thuốc|stop taking|arrêter", r"nặng thêm|worsen|aggrav", r"chưa đủ|insufficient|insuffisant", r"đôi khi|sometimes|parfois",
+]
+#: Patterns of an absolute claim that one text must hold to support it.
+SUPPORT = 2
 
 
 def any_of(column, patterns):
@@ -19,6 +32,11 @@ def any_of(column, patterns):
     return F.coalesce(column.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
+def number_of(column, patterns):
+    """C11: how many of the patterns a text holds."""
+    return sum(F.coalesce(column.rlike(f"(?i){p}").cast("int"), F.lit(0)) for p in patterns)
+
+
 def strong_rows(results: DataFrame, topk: int = 8, ratio: float = 0.8, floor: float = 0.012) -> DataFrame:
     """Of the first topk rows of a query those near the best score; one window over the query's few rows."""
     head = results.where(F.col("rank") < topk)
@@ -26,28 +44,38 @@ def strong_rows(results: DataFrame, topk: int = 8, ratio: float = 0.8, floor: fl
 
 
 def gate(results: DataFrame, queries: DataFrame, topk: int = 8, ratio: float = 0.8, floor: float = 0.012, least: int = 2, cites: int = 4) -> DataFrame:
-    """E14, section L: one decision a query from (query_id, rank, chunk_id, parent_id, source_id, score, text).
+    """E14, F3, section L: one decision a query from (query_id, rank, chunk_id, parent_id, source_id, score, text).
 
-    Queries without results fail with the reason 'no results'.
+    Rows without a parent or source agree with no other. Claims are looked for in the strong rows, or in all of the first if none is
+    strong: one text must hold SUPPORT of the patterns, and none a counter-signal. Queries without results fail with the reason 'no results'.
     """
     rows = strong_rows(results, topk, ratio, floor)
     s = F.col("strong")
-    by_parent = rows.where("strong").groupBy("query_id", "parent_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
-    parents = by_parent.groupBy("query_id").agg(F.max("n").alias("most_in_parent"), F.max_by("parent_id", F.struct("s", "parent_id")).alias("top_parent"))
+    rows = rows.withColumn("seen", s | ~F.max("strong").over(Window.partitionBy("query_id")))
+
+    def by(what: str) -> DataFrame:
+        one = rows.where(s & F.col(what).isNotNull()).groupBy("query_id", what).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 9).alias("s"))
+        return one.groupBy("query_id").agg(F.max("n").alias(f"most_{what}"), F.max("s").alias(f"sum_{what}"), F.min_by(what, F.struct(-F.col("s"), F.col(what))).alias(f"top_{what}"))
+
     facts = rows.groupBy("query_id").agg(
-        F.count_if(s).alias("evidence"), F.countDistinct(F.when(s, F.col("source_id"))).alias("sources"), F.max("score").alias("top1"), F.round(F.avg(F.when(s, F.col("score"))), 6).alias("mean_strong"),
-        F.max(F.when(s, any_of(F.col("text"), ABSOLUTE))).alias("supported"), F.count_if(s & any_of(F.col("text"), COUNTER)).alias("counter"),
+        F.count_if(s).alias("evidence"), F.countDistinct(F.when(s, F.col("source_id"))).alias("sources"), F.countDistinct(F.when(s, F.col("parent_id"))).alias("n_parents"),
+        F.max("score").alias("top1"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top2"), F.round(F.avg(F.when(s, F.col("score"))), 6).alias("mean_strong"), F.round(F.sum(F.when(s, F.col("score"))), 9).alias("total"),
+        F.max(F.col("seen") & (number_of(F.col("text"), ABSOLUTE) >= SUPPORT)).alias("supported"), F.count_if(F.col("seen") & any_of(F.col("text"), COUNTER)).alias("counter"),
         F.slice(F.transform(F.array_sort(F.collect_list(F.when(s, F.struct("rank", "chunk_id")))), lambda x: x["chunk_id"]), 1, cites).alias("selected"),
     )
     q = queries.select("query_id", any_of(F.col("query"), HIGH_RISK).alias("high_risk"), any_of(F.col("query"), ABSOLUTE).alias("absolute"))
-    out = q.join(facts, "query_id", "left").join(parents, "query_id", "left")
+    out = q.join(facts, "query_id", "left").join(by("parent_id"), "query_id", "left").join(by("source_id"), "query_id", "left")
     needed = F.greatest(F.lit(least), F.when(F.col("high_risk"), 3).otherwise(2))
     n = F.coalesce("evidence", F.lit(0))
-    agree = (F.coalesce("most_in_parent", F.lit(0)) >= 2) | (F.coalesce("sources", F.lit(0)) >= 2)
+    agree = (F.coalesce("most_parent_id", F.lit(0)) >= 2) | (F.coalesce("sources", F.lit(0)) >= 2)
     mismatch = F.col("absolute") & (~F.coalesce("supported", F.lit(False)) | (F.coalesce("counter", F.lit(0)) > 0))
     passes = (n >= needed) & (F.least(F.lit(cites), n) >= 2) & agree & ~mismatch
     reason = F.when(F.col("evidence").isNull(), "no results").when(mismatch, "claim not supported").when(passes, "pass").when(n < needed, "too little evidence").otherwise("evidence disagrees")
-    return out.select("query_id", passes.alias("passes"), reason.alias("reason"), n.cast("bigint").alias("evidence"), F.coalesce("sources", F.lit(0)).cast("bigint").alias("sources"), F.least(F.lit(cites), n).cast("bigint").alias("predicted_citations"), "top_parent", F.coalesce("selected", F.array().cast("array<string>")).alias("selected"))
+    return out.select(
+        "query_id", passes.alias("passes"), reason.alias("reason"), n.cast("bigint").alias("evidence"), F.coalesce("sources", F.lit(0)).cast("bigint").alias("sources"), F.coalesce("n_parents", F.lit(0)).cast("bigint").alias("parents"),
+        F.least(F.lit(cites), n).cast("bigint").alias("predicted_citations"), "top1", F.round(F.col("top1") - F.col("top2"), 6).alias("gap"), "mean_strong", F.round(F.col("sum_parent_id") / F.nullif("total", F.lit(0.0)), 6).alias("concentration"),
+        F.col("top_parent_id").alias("top_parent"), F.col("top_source_id").alias("top_source"), F.coalesce("selected", F.array().cast("array<string>")).alias("selected"),
+    )
 
 
 def merged_windows(hits: DataFrame, keys: list[str], at: str, width: int = 1) -> DataFrame:
@@ -114,6 +142,22 @@ def l1_gate(spark, d):
     return gate(_results(spark, d), _queries(spark, d)).select("query_id", "passes", "reason", "evidence", "sources", "predicted_citations")
 
 
+def e14_gate_features(spark, d):
+    """What every question's decision rests on."""
+    g = gate(_results(spark, d), _queries(spark, d)).where("evidence > 0")
+    return g.select("query_id", "evidence", "sources", "parents", F.round("top1", 6).alias("top1"), "gap", "mean_strong", "concentration", "top_parent", "top_source")
+
+
+def e22_answer_rates(spark, d):
+    """Percentages of answered and abstained questions, and means over the decided ones; a missing value counts in none."""
+    g = gate(_results(spark, d), _queries(spark, d))
+    share = lambda c: F.round(100 * F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
+    return g.agg(
+        F.count(F.lit(1)).alias("questions"), share(F.col("passes")).alias("answered_pct"), share(~F.col("passes")).alias("abstained_pct"), share(F.col("passes") & (F.col("concentration") >= 0.5)).alias("focused_pct"),
+        F.round(F.avg("concentration"), 5).alias("mean_concentration"), F.round(F.avg(F.when(F.col("evidence") > 0, F.col("evidence"))), 6).alias("mean_evidence"),
+    )
+
+
 def e17_gate_summary(spark, d):
     g = gate(_results(spark, d), _queries(spark, d))
     return g.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("predicted_citations"), 6).alias("mean_citations"))
@@ -196,9 +240,16 @@ def _sql_any(column, patterns):
     return f"coalesce(regexp_matches({column}, '(?i)" + "|".join(f"(?:{p})" for p in patterns) + "'), false)"
 
 
+def _sql_number(column, patterns):
+    return "(" + " + ".join(f"coalesce(regexp_matches({column}, '(?i){p}')::INT, 0)" for p in patterns) + ")"
+
+
 _G = _S + f""",
-bp AS (SELECT query_id, parent_id, count(*) n FROM s WHERE strong GROUP BY ALL), p AS (SELECT query_id, max(n) mp FROM bp GROUP BY 1),
-f AS (SELECT query_id, count(*) FILTER (strong) evidence, count(DISTINCT source_id) FILTER (strong) sources, bool_or({_sql_any('text', ABSOLUTE)}) FILTER (strong) supported, count(*) FILTER (strong AND {_sql_any('text', COUNTER)}) counter FROM s GROUP BY 1),
+bp AS (SELECT query_id, parent_id, count(*) n, round(sum(score), 9) ps FROM s WHERE strong AND parent_id IS NOT NULL GROUP BY ALL), p AS (SELECT query_id, max(n) mp, max(ps) ps, arg_min(parent_id, (-ps, parent_id)) top_parent FROM bp GROUP BY 1),
+bs AS (SELECT query_id, source_id, round(sum(score), 9) ss FROM s WHERE strong AND source_id IS NOT NULL GROUP BY ALL), sr AS (SELECT query_id, arg_min(source_id, (-ss, source_id)) top_source FROM bs GROUP BY 1),
+s2 AS (SELECT *, strong OR NOT bool_or(strong) OVER (PARTITION BY query_id) seen FROM s),
+f AS (SELECT query_id, count(*) FILTER (strong) evidence, count(DISTINCT source_id) FILTER (strong) sources, count(DISTINCT parent_id) FILTER (strong) parents, max(score) top1, max(score) FILTER (rank = 1) top2, round(avg(score) FILTER (strong), 6) mean_strong, round(sum(score) FILTER (strong), 9) total,
+  bool_or({_sql_number('text', ABSOLUTE)} >= {SUPPORT}) FILTER (seen) supported, count(*) FILTER (seen AND {_sql_any('text', COUNTER)}) counter FROM s2 GROUP BY 1),
 q AS (SELECT id query_id, {_sql_any("coalesce(question, '')", HIGH_RISK)} hr, {_sql_any("coalesce(question, '')", ABSOLUTE)} ab FROM test_questions),
 x AS (SELECT q.query_id, evidence IS NULL nores, coalesce(evidence, 0) n, coalesce(sources, 0) sources, CASE WHEN hr THEN 3 ELSE 2 END needed, coalesce(mp, 0) >= 2 OR coalesce(sources, 0) >= 2 agree, ab AND (NOT coalesce(supported, false) OR coalesce(counter, 0) > 0) mm FROM q LEFT JOIN f USING (query_id) LEFT JOIN p USING (query_id)),
 g AS (SELECT query_id, n >= needed AND least(4, n) >= 2 AND agree AND NOT mm passes, CASE WHEN nores THEN 'no results' WHEN mm THEN 'claim not supported' WHEN n >= needed AND least(4, n) >= 2 AND agree THEN 'pass' WHEN n < needed THEN 'too little evidence' ELSE 'evidence disagrees' END reason, n evidence, sources, least(4, n) predicted_citations FROM x)
@@ -212,10 +263,15 @@ def _hits_sql(level):
 
 
 _E15 = _R + f", {_GOLD}, h AS (" + " UNION ALL ".join(_hits_sql(x) for x in ("chunk_id", "parent_id", "source_id")) + "), e AS (SELECT level, count(*) queries, " + ", ".join(f"round(avg(CASE WHEN fr < {k} THEN 1.0 ELSE 0.0 END::DOUBLE), 6) hit{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0::DOUBLE / (fr + 1), 0)), 6) mrr FROM h GROUP BY 1)"
-QUERIES = {f.__name__: f for f in (l1_gate, e17_gate_summary, c9_strong, f5_windows, m1_context, d1_parent_join, d10_neighbours, e15_hits, e16_first_hits, o1_failures, o10_melt, n3_evidence)}
+QUERIES = {f.__name__: f for f in (l1_gate, e14_gate_features, e22_answer_rates, e17_gate_summary, c9_strong, f5_windows, m1_context, d1_parent_join, d10_neighbours, e15_hits, e16_first_hits, o1_failures, o10_melt, n3_evidence)}
 SQL = {
     "c9_strong": _S + "SELECT query_id, count(*) n_strong FROM s WHERE strong GROUP BY 1",
     "l1_gate": _G + "SELECT query_id, passes, reason, evidence, sources, predicted_citations FROM g",
+    "e14_gate_features": _G + "SELECT query_id, f.evidence, f.sources, f.parents, round(top1, 6) top1, round(top1 - top2, 6) gap, mean_strong, round(ps / nullif(total, 0), 6) concentration, top_parent, top_source FROM f LEFT JOIN p USING (query_id) LEFT JOIN sr USING (query_id) WHERE f.evidence > 0 AND query_id IN (SELECT id FROM test_questions)",
+    "e22_answer_rates": _G + """, c AS (SELECT g.*, round(ps / nullif(total, 0), 6) concentration FROM g LEFT JOIN f USING (query_id) LEFT JOIN p USING (query_id))
+SELECT count(*) questions, round(100 * avg(CASE WHEN passes THEN 1.0 ELSE 0.0 END::DOUBLE), 4) answered_pct, round(100 * avg(CASE WHEN NOT passes THEN 1.0 ELSE 0.0 END::DOUBLE), 4) abstained_pct, round(100 * avg(CASE WHEN passes AND concentration >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE), 4) focused_pct, round(avg(concentration), 5) mean_concentration, round(avg(CASE WHEN evidence > 0 THEN evidence END), 6) mean_evidence FROM c""",
+    "n3_evidence": _R + r"""SELECT query_id, 'E' || (rank + 1) citation_id, chunk_id, CASE WHEN length(t) > 120 THEN regexp_replace(left(t, 117), '\s+$', '') || '...' ELSE t END snippet
+FROM (SELECT *, regexp_replace(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g') t FROM r WHERE rank < 4)""".replace("\\\\", "\\"),
     "e17_gate_summary": _G + "SELECT reason, count(*) n, round(avg(predicted_citations), 6) mean_citations FROM g GROUP BY 1",
     "f5_windows": _R + """, w AS (SELECT DISTINCT query_id, parent_id, greatest(child_index::BIGINT - 1, 0) lo, child_index::BIGINT + 2 hi FROM r),
 n AS (SELECT *, CASE WHEN coalesce(max(hi) OVER (PARTITION BY query_id, parent_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < lo, true) THEN 1 ELSE 0 END nw FROM w),

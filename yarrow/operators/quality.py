@@ -94,7 +94,7 @@ def quality_report(raw: DataFrame, chunks: DataFrame, points: DataFrame) -> Data
     r = raw.agg(F.count(F.lit(1)).alias("passages"), F.countDistinct("source_id").alias("sources"), F.count_if(F.col("text").isNull() | (F.length(F.trim("text")) == 0)).alias("blank"))
     c = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("chunk_id").alias("unique_chunks"), F.count_if("is_noise").alias("noise"), F.round(F.count_if("is_noise") / F.count(F.lit(1)), 4).alias("noise_ratio"))
     p = points.agg(F.countDistinct("chunk_id").alias("points"))
-    return r.crossJoin(c).crossJoin(p).withColumn("status", F.when(F.col("points") >= F.col("unique_chunks"), "ok").otherwise("fail"))
+    return r.crossJoin(c).crossJoin(p).withColumn("status", F.when(F.col("points") == F.col("unique_chunks"), "ok").otherwise("fail"))
 
 
 # --- queries ------------------------------------------------------------------------------------------------------
@@ -150,7 +150,7 @@ def o12_window_hits(spark, d):
 
 QUERIES = {f.__name__: f for f in (o4_report, f8_headings, e20_nearest_stats, b39_rejoined, k3_phrases, e8_defects, o12_window_hits)}
 SQL = {
-    "o4_report": "WITH r AS (SELECT count(*) passages, count(DISTINCT source_id) sources, count(*) FILTER (text IS NULL OR length(trim(text)) = 0) blank FROM raw_passages), c AS (SELECT count(*) chunks, count(DISTINCT chunk_id) unique_chunks, count(*) FILTER (is_noise) noise, round(count(*) FILTER (is_noise) / count(*)::DOUBLE, 4) noise_ratio FROM chunks), p AS (SELECT count(DISTINCT chunk_id) points FROM points) SELECT *, CASE WHEN points >= unique_chunks THEN 'ok' ELSE 'fail' END status FROM r, c, p",
+    "o4_report": "WITH r AS (SELECT count(*) passages, count(DISTINCT source_id) sources, count(*) FILTER (text IS NULL OR length(trim(text)) = 0) blank FROM raw_passages), c AS (SELECT count(*) chunks, count(DISTINCT chunk_id) unique_chunks, count(*) FILTER (is_noise) noise, round(count(*) FILTER (is_noise) / count(*)::DOUBLE, 4) noise_ratio FROM chunks), p AS (SELECT count(DISTINCT chunk_id) points FROM points) SELECT *, CASE WHEN points = unique_chunks THEN 'ok' ELSE 'fail' END status FROM r, c, p",
     "f8_headings": "WITH r AS (SELECT source_id, ord, section_heading t, CASE WHEN section_heading IS NULL THEN NULL WHEN contains(section_heading, ' của ') THEN 2 ELSE 1 END lv FROM raw_passages WHERE doc_type = 'docx'), w AS (SELECT ord, last_value(CASE WHEN lv = 1 THEN t END IGNORE NULLS) OVER x h1, last_value(CASE WHEN lv = 2 THEN t WHEN lv < 2 THEN '' END IGNORE NULLS) OVER x h2 FROM r WINDOW x AS (PARTITION BY source_id ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT ord, concat_ws(' > ', nullif(h1, ''), nullif(h2, '')) heading_path FROM w",
     "e20_nearest_stats": "WITH s AS (SELECT a.vec_id, max(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)) v FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1) SELECT count(*) n, round(quantile_cont(v, 0.25), 5) p25, round(quantile_cont(v, 0.5), 5) p50, round(quantile_cont(v, 0.95), 5) p95, quantile_cont(v, 0.95) > 0.93 near_copies FROM s",
     "o12_window_hits": "WITH r0 AS (SELECT query_id, chunk_id, max(fused_score) score, min(parent_id) parent_id, min(child_index) child_index FROM retrieval_results GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 rank FROM r0), near AS (SELECT DISTINCT query_id, c.chunk_id item FROM r JOIN chunks c USING (parent_id) WHERE rank < 10 AND c.child_index BETWEEN r.child_index - 1 AND r.child_index + 1), gc AS (SELECT DISTINCT id query_id, trim(unnest(string_split(gold_relevant_ids, '|'))) item FROM test_questions WHERE gold_relevant_ids IS NOT NULL), g AS (SELECT * FROM gc WHERE length(item) > 0), h AS (SELECT g.query_id, max(CASE WHEN n.item IS NULL THEN 0 ELSE 1 END) hit FROM g LEFT JOIN near n ON n.query_id = g.query_id AND n.item = g.item GROUP BY 1) SELECT count(*) queries, round(avg(hit), 6) hit_rate FROM h",
