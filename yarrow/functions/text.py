@@ -92,6 +92,11 @@ def normalise_query_plain(t: Column) -> Column:
     return fold_accents(normalise_query(t))
 
 
+def explained(t: Column) -> Column:
+    """Every stage of B25."""
+    return F.struct(t.alias("original"), nfc(t).alias("composed"), F.lower(nfc(t)).alias("lowered"), normalise_query(t).alias("normalised"), normalise_query_plain(t).alias("folded"))
+
+
 def tokens(t: Column) -> Column:
     """B28 without phrases: folded, split at white space, punctuation kept; an empty array for blank text."""
     return F.filter(F.split(fold_accents(F.lower(t)), f"{WS}+"), lambda x: F.length(x) > 0)

@@ -31,43 +31,6 @@ def heading_paths(elements: DataFrame, source: str, order: str, levels: int = 6)
     return elements.withColumn("heading_path", path).drop(*[f"_h{n}" for n in range(1, levels + 1)])
 
 
-def restore_phrases(query: Column, phrases: dict[str, str]) -> Column:
-    """K3: folded phrases of a lexicon replaced by their accented forms, the longest first, without overlaps.
-
-    ``phrases`` is a dimension of some hundred entries; the pattern is compiled once a batch.
-    """
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        import re
-        import unicodedata
-
-        fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").replace("đ", "d").replace("Đ", "D")
-        known = {fold(k.lower()): v for k, v in phrases.items()}
-        pattern = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")(?!\w)") if known else None
-
-        def fix(t: str) -> str:
-            t = unicodedata.normalize("NFC", t)
-            plain = fold(t)
-            if pattern is None or len(plain) != len(t):
-                return t
-            out, at = [], 0
-            for m in pattern.finditer(plain.lower()):
-                out += [t[at : m.start()], known[m.group()]]
-                at = m.end()
-            return "".join([*out, t[at:]])
-
-        return s.map(fix, na_action="ignore")
-
-    return run(query)
-
-
-def phrase_confidence(n_one: Column, n_two: Column, n_three: Column) -> Column:
-    """K4: confidence from the numbers of restored phrases of one, two and three or more words."""
-    raw = 0.10 + 0.12 * F.least(n_one, F.lit(3)) + 0.30 * F.least(n_two, F.lit(3)) + 0.42 * F.least(n_three, F.lit(2))
-    floor = F.when(n_three > 0, 0.70).when(n_two > 0, 0.36).otherwise(0.0)
-    return F.when(n_one + n_two + n_three == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(raw, floor)))
-
-
 @F.pandas_udf(StringType())
 def rejoin_latin(s: pd.Series) -> pd.Series:
     """Pieces of a Latin name are joined, within a line and over a break, until nothing changes."""
@@ -124,12 +87,6 @@ def b39_rejoined(spark, d):
     return r.select("ord", F.md5(rejoin_latin(F.col("text"))).alias("digest"))
 
 
-def k3_phrases(spark, d):
-    q = table(spark, d, "test_questions").where("question IS NOT NULL")
-    lexicon = {"bac ha": "bạc hà", "hoang ky": "hoàng kỳ", "cam thao": "cam thảo", "duong quy": "đương quy", "hoa mat chong mat": "hoa mắt chóng mặt"}
-    return q.select("id", restore_phrases(F.col("question"), lexicon).alias("restored"))
-
-
 def e8_defects(spark, d):
     """Defects before and after cleaning, by document type."""
     r = table(spark, d, "raw_passages").where("text IS NOT NULL").select("doc_type", "text", T.clean_passage(F.col("text")).alias("clean"))
@@ -148,7 +105,7 @@ def o12_window_hits(spark, d):
     return hit.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("hit"), 6).alias("hit_rate"))
 
 
-QUERIES = {f.__name__: f for f in (o4_report, f8_headings, e20_nearest_stats, b39_rejoined, k3_phrases, e8_defects, o12_window_hits)}
+QUERIES = {f.__name__: f for f in (o4_report, f8_headings, e20_nearest_stats, b39_rejoined, e8_defects, o12_window_hits)}
 SQL = {
     "o4_report": "WITH r AS (SELECT count(*) passages, count(DISTINCT source_id) sources, count(*) FILTER (text IS NULL OR length(trim(text)) = 0) blank FROM raw_passages), c AS (SELECT count(*) chunks, count(DISTINCT chunk_id) unique_chunks, count(*) FILTER (is_noise) noise, round(count(*) FILTER (is_noise) / count(*)::DOUBLE, 4) noise_ratio FROM chunks), p AS (SELECT count(DISTINCT chunk_id) points FROM points) SELECT *, CASE WHEN points = unique_chunks THEN 'ok' ELSE 'fail' END status FROM r, c, p",
     "f8_headings": "WITH r AS (SELECT source_id, ord, section_heading t, CASE WHEN section_heading IS NULL THEN NULL WHEN contains(section_heading, ' của ') THEN 2 ELSE 1 END lv FROM raw_passages WHERE doc_type = 'docx'), w AS (SELECT ord, last_value(CASE WHEN lv = 1 THEN t END IGNORE NULLS) OVER x h1, last_value(CASE WHEN lv = 2 THEN t WHEN lv < 2 THEN '' END IGNORE NULLS) OVER x h2 FROM r WINDOW x AS (PARTITION BY source_id ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT ord, concat_ws(' > ', nullif(h1, ''), nullif(h2, '')) heading_path FROM w",

@@ -22,10 +22,11 @@ QUERY_VALUES = 4_000_000
 BROADCAST_TERMS = 200_000
 
 
-def searchable(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """Not noise (a missing flag counts as none) and with at least one token."""
+def searchable(chunks: DataFrame, text: str = "text", phrases: list[str] | None = None) -> DataFrame:
+    """Not noise (a missing flag counts as none) and with at least one token; B29: a known phrase is a token besides its words."""
     df = chunks.where(~F.coalesce(F.col("is_noise"), F.lit(False)) & F.col(text).isNotNull())
-    return df.withColumn("tokens", T.tokens(F.col(text))).where(F.size("tokens") > 0)
+    df = df.withColumn("tokens", T.tokens(F.col(text))).where(F.size("tokens") > 0)
+    return df.withColumn("tokens", T.with_phrases(F.col("tokens"), phrases)) if phrases else df
 
 
 def bm25_index(docs: DataFrame, key: str, tokens: str = "tokens") -> tuple[DataFrame, DataFrame, DataFrame]:
