@@ -195,7 +195,20 @@ def o14_kmeans(spark, d):
 _R = """WITH r0 AS (SELECT query_id, chunk_id, max(fused_score) score, min(parent_id) parent_id FROM retrieval_results GROUP BY ALL),
 b AS (SELECT query_id, parent_id, list_sort(list(score), 'DESC') l, max(score) m, count(*) n FROM r0 GROUP BY ALL) """
 QUERIES = {f.__name__: f for f in (c7_question_noise, e13_parent_scores, g3_top_parents, b33_scores, e25_dominant_terms, n1_embedded, n2_answers, n6_questions, b34_json, o14_kmeans)}
+_COUNT = "len(regexp_extract_all(question, '{0}')) / greatest(length(question), 1)"
+_FOLD = "replace(replace(strip_accents(lower({0})), 'đ', 'd'), 'Đ', 'D')"
+_TOP4 = """WITH r0 AS (SELECT query_id, chunk_id, max(fused_score) score, min(text) text FROM retrieval_results GROUP BY ALL), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 rank FROM r0) WHERE rank < 4)"""
 SQL = {
+    "c7_question_noise": f"SELECT id, coalesce(length(question) < 12 OR regexp_matches(question, '[Ѐ-ӿ]') OR {_COUNT.format('[�¤¦§¬±µ¶]')} > 0.03 OR {_COUNT.format('[一-鿿]')} > 0.15 OR {_COUNT.format(chr(92) + 'p{Latin}')} < 0.4, true) noisy FROM test_questions",
+    "e25_dominant_terms": _TOP4 + f""", q AS (SELECT id query_id, regexp_extract_all({_FOLD.format('question')}, '[\\p{{L}}\\p{{N}}_]+') l FROM test_questions WHERE question IS NOT NULL),
+t0 AS (SELECT query_id, unnest(l) term, unnest(range(len(l))) i FROM q), t AS (SELECT query_id, term, min(i) i FROM t0 WHERE length(term) >= 2 AND term NOT IN ({", ".join(repr(x) for x in ["la", "va", "cua", "cho", "co", "khong", "the", "nao", "gi", "o", "khi", "thi", "de", "voi", "cac", "mot"])}) GROUP BY 1, 2),
+h AS (SELECT t.query_id, term, i, count(*) FILTER (contains({_FOLD.format('r.text')}, term)) n FROM t LEFT JOIN r USING (query_id) GROUP BY ALL)
+SELECT query_id, max(n) n, arg_min(term, (-n, i)) term FROM h GROUP BY 1""",
+    "n6_questions": r"""WITH c AS (SELECT ord, chunk_id, list_transform(regexp_extract_all(text, '\p{L}{3,}'), lambda x: lower(x)) l FROM chunks WHERE NOT coalesce(is_noise, false) AND length(text) >= 30),
+w AS (SELECT ord, unnest(l) w, unnest(range(len(l))) i FROM c), d AS (SELECT ord, w, min(i) i FROM w GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY length(w) DESC, i) n FROM d),
+s AS (SELECT ord, string_agg(w, ' ' ORDER BY n) s FROM k WHERE n <= 3 GROUP BY 1)
+SELECT ord, chunk_id, replace([""" + ", ".join(f"'{t}'" for t in TEMPLATES) + "][ord % 5 + 1], '{}', coalesce(s, '')) question FROM c LEFT JOIN s USING (ord)",
+    "n2_answers": _TOP4 + "SELECT query_id, count(*) cites, count(*) n_evidence FROM r GROUP BY 1",
     "e13_parent_scores": _R + "SELECT query_id, parent_id, round(l[1] + coalesce(l[2], 0), 6) score, n FROM b",
     "g3_top_parents": _R + ", p AS (SELECT *, round(m, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY round(m, 6) DESC, parent_id) p, max(round(m, 6)) OVER (PARTITION BY query_id) best FROM b), x AS (SELECT *, max(CASE WHEN p > 3 AND n >= 2 AND score >= 0.9 * best THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) e FROM p) SELECT query_id, parent_id, p FROM x WHERE p <= 3 + e",
     "b33_scores": "SELECT query_id, round(sum(coalesce(bm25_score, vector_score, fused_score, 0)), 4) s, round(sum(coalesce(nullif(bm25_score, 0), nullif(vector_score, 0), nullif(fused_score, 0), 0)), 4) t FROM retrieval_results GROUP BY 1",

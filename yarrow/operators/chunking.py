@@ -150,6 +150,8 @@ def h2_longest_wins(spark, d):
 QUERIES = {f.__name__: f for f in (a15_paragraphs, i3_children, i4_groups, f9_page_groups, i6_entries, e2_parents, e3_children_stats, e21_integrity, d4_noise_sources, d11_not_embedded, h1_first_wins, h2_longest_wins)}
 _WS = r"[ \t\n\r\f\x0B]+"
 SQL = {
+    "i6_entries": r"""WITH m AS (SELECT ord, string_split(regexp_replace(text, '(?m)^((?:[0-9]{1,3}\.|[IVX]{1,5}\.)\s)', chr(1) || '\1', 'g'), chr(1)) l FROM raw_passages WHERE text IS NOT NULL),
+f AS (SELECT ord, list_filter(l, lambda x: length(trim(x)) > 0) l FROM m) SELECT ord, unnest(range(len(l)))::INT entry, unnest(list_transform(l, lambda x: length(x))) n_chars FROM f""",
     "a15_paragraphs": rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: regexp_replace(regexp_replace(x, '{_WS}', ' ', 'g'), '^ | $', '', 'g')), lambda x: length(x) >= 30) l FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, unnest(range(1, len(l) + 1)) para_idx, unnest(list_transform(l, lambda x: length(x))) n_chars FROM p""",
     "i4_groups": "SELECT source_id, coalesce(CASE WHEN doc_type = 'docx' AND length(trim(heading_path)) > 0 THEN heading_path END, CASE WHEN length(trim(section_heading)) > 0 THEN section_heading END, '__no_heading__') g, count(*) n, min(para_idx)::BIGINT para_min, max(para_idx)::BIGINT para_max FROM raw_passages GROUP BY 1, 2",

@@ -272,6 +272,13 @@ SQL = {
 SELECT count(*) questions, round(100 * avg(CASE WHEN passes THEN 1.0 ELSE 0.0 END::DOUBLE), 4) answered_pct, round(100 * avg(CASE WHEN NOT passes THEN 1.0 ELSE 0.0 END::DOUBLE), 4) abstained_pct, round(100 * avg(CASE WHEN passes AND concentration >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE), 4) focused_pct, round(avg(concentration), 5) mean_concentration, round(avg(CASE WHEN evidence > 0 THEN evidence END), 6) mean_evidence FROM c""",
     "n3_evidence": _R + r"""SELECT query_id, 'E' || (rank + 1) citation_id, chunk_id, CASE WHEN length(t) > 120 THEN regexp_replace(left(t, 117), '\s+$', '') || '...' ELSE t END snippet
 FROM (SELECT *, regexp_replace(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g') t FROM r WHERE rank < 4)""".replace("\\\\", "\\"),
+    "m1_context": _R + r""", sc AS (SELECT query_id, parent_id, max(score) s, count(*) n FROM r GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s + 0.02 * least(3, n - 1), 6) DESC, parent_id) p FROM sc),
+w AS (SELECT DISTINCT r.query_id, r.parent_id, p, greatest(child_index - 1, 0) lo, child_index + 2 hi FROM r JOIN rk USING (query_id, parent_id) WHERE p <= 3),
+t AS (SELECT DISTINCT w.query_id, p, c.child_index ci, c.ord, c.text FROM w JOIN chunks c ON c.parent_id = w.parent_id AND c.child_index >= w.lo AND c.child_index < w.hi WHERE c.text IS NOT NULL),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY p, ci, ord) k FROM t) WHERE k = 1),
+u AS (SELECT *, len(string_split(regexp_replace(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g'), ' ')) words FROM f),
+b AS (SELECT *, sum(words) OVER (PARTITION BY query_id ORDER BY p, ci, ord ROWS UNBOUNDED PRECEDING) used FROM u)
+SELECT query_id, sum(words)::BIGINT words_used, count(*) blocks, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p, ci, ord)) digest FROM b WHERE used <= 600 GROUP BY 1""".replace("\\\\", "\\"),
     "e17_gate_summary": _G + "SELECT reason, count(*) n, round(avg(predicted_citations), 6) mean_citations FROM g GROUP BY 1",
     "f5_windows": _R + """, w AS (SELECT DISTINCT query_id, parent_id, greatest(child_index::BIGINT - 1, 0) lo, child_index::BIGINT + 2 hi FROM r),
 n AS (SELECT *, CASE WHEN coalesce(max(hi) OVER (PARTITION BY query_id, parent_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < lo, true) THEN 1 ELSE 0 END nw FROM w),

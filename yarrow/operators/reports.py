@@ -188,7 +188,7 @@ def g4_sample(spark, d):
 def g7_error_samples(spark, d):
     """The first twenty passages of each kind of defect with the text around it; the limit runs before the exchange."""
     r = table(spark, d, "raw_passages").where("text IS NOT NULL")
-    kinds = F.filter(F.array(*[F.when(F.col("text").contains(sign), F.struct(F.lit(name).alias("kind"), F.locate(sign, F.col("text")).alias("at"))) for name, sign in (("lost", "�"), ("control", ""), ("bar", "|"))]), lambda x: x.isNotNull())
+    kinds = F.filter(F.array(*[F.when(F.col("text").contains(sign), F.struct(F.lit(name).alias("kind"), F.locate(sign, F.col("text")).alias("at"))) for name, sign in (("lost", "�"), ("page break", "\f"), ("bar", "|"))]), lambda x: x.isNotNull())
     rows = r.select("ord", "text", F.explode(kinds).alias("k")).select("ord", "k.kind", F.substring(F.col("text"), F.greatest(F.col("k.at") - 20, F.lit(1)), F.lit(41)).alias("around"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("ord"))).where("n <= 20").select("kind", "ord", "around")
 
@@ -197,7 +197,26 @@ _F = "replace(replace(strip_accents({0}), 'đ', 'd'), 'Đ', 'D')"
 _NQ = r"regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g')"
 QUERIES = {f.__name__: f for f in (e1_by_type, e5_distinct, e6_noise, e7_bad_ratio_top, b10_encoding_noise, b2_hashes, b3_point_check, b4_category, b6_clean, b8_clean_chunks, b11_noise, b20_legacy_fonts, b22_page_numbers, b24_normalised, b30_keywords, b31_terms, b32_snippets, b43_partly_folded, b44_gold_ids, e10_lexicon, k6_restored, o17_mined_pairs, e18_vector_norms, e19_group_cosine, o5_coverage, o11_case_studies, g4_sample, g7_error_samples)}
 _ODD = "�¤¦§¨©ª¬®¯°±²³´µ¶¸¹º¼½¾×÷"
+_NOISE = r"^[\p{P}\p{S}\s_]*([oO0][\p{P}\p{S}\s_0oO]*)?[\p{P}\p{S}\s_]*$"
+_STRIP = r"regexp_replace({0}, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
+_TERMS = _F.format("lower({0})")
 SQL = {
+    "b11_noise": f"SELECT ord FROM (SELECT ord, {_STRIP.format('text')} t FROM chunks WHERE text IS NOT NULL) WHERE length(t) < 4 OR regexp_matches(t, '{_NOISE}')",
+    "b22_page_numbers": r"""WITH l AS (SELECT ord, text, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*[-–—]*\s*[0-9]{1,4}\s*[-–—]*\s*$')) k FROM raw_passages WHERE text IS NOT NULL)
+SELECT ord, (length(text) - length(regexp_replace(array_to_string(k, chr(10)), '\n{4,}', chr(10) || chr(10) || chr(10), 'g')))::BIGINT dropped FROM l""",
+    "b30_keywords": r"""WITH w AS (SELECT id, unnest(l) w, unnest(range(len(l))) i FROM (SELECT id, list_transform(regexp_extract_all(question, '\p{L}{3,}'), lambda x: lower(x)) l FROM test_questions WHERE question IS NOT NULL)),
+d AS (SELECT id, w, min(i) i FROM w GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(w) DESC, i) n FROM d)
+SELECT q.id, coalesce((SELECT string_agg(w, ' ' ORDER BY n) FROM k WHERE k.id = q.id AND n <= 5), '') keywords FROM test_questions q WHERE question IS NOT NULL""",
+    "b31_terms": f"""WITH w AS (SELECT id, unnest(l) w, unnest(range(len(l))) i FROM (SELECT id, regexp_extract_all({_TERMS.format('question')}, '[\\p{{L}}\\p{{N}}_]+') l FROM test_questions WHERE question IS NOT NULL)),
+d AS (SELECT id, w, min(i) i FROM w WHERE length(w) >= 2 AND w NOT IN ({", ".join(repr(x) for x in STOP)}) GROUP BY 1, 2)
+SELECT q.id, coalesce((SELECT string_agg(w, ' ' ORDER BY i) FROM d WHERE d.id = q.id), '') terms FROM test_questions q WHERE question IS NOT NULL""",
+    "g7_error_samples": "WITH k AS (" + " UNION ALL ".join(f"SELECT ord, text, '{name}' AS kind, strpos(text, {sign}) pos FROM raw_passages WHERE contains(text, {sign})" for name, sign in (("lost", "'�'"), ("page break", "chr(12)"), ("bar", "'|'"))) + "), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ord) n FROM k) SELECT kind, ord, substring(text, greatest(pos - 20, 1), 41) around FROM n WHERE n <= 20",
+    "k6_restored": f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+')) word FROM chunks WHERE text IS NOT NULL), c AS (SELECT word, count(*) n, {_F.format('word')} folded FROM w GROUP BY ALL),
+x AS (SELECT folded, arg_min(word, (-n, word)) word FROM c GROUP BY 1), q AS (SELECT id query_id, unnest(l) w, unnest(range(len(l))) i FROM (SELECT id, string_split(regexp_replace(regexp_replace(lower(question), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '^ | $', '', 'g'), ' ') l FROM test_questions WHERE question IS NOT NULL)),
+j AS (SELECT query_id, i, w, CASE WHEN w = {_F.format('w')} THEN coalesce(word, w) ELSE w END new FROM q LEFT JOIN x ON folded = w),
+a AS (SELECT query_id, string_agg(new, ' ' ORDER BY i) restored, count(*) FILTER (new <> w) n_changed, count(*) n FROM j GROUP BY 1),
+s AS (SELECT query_id, restored, n_changed, round(CASE WHEN n_changed = 0 THEN 0.0 ELSE least(1.0, 0.20 + 0.65 * n_changed / n + 0.15 * least(n_changed / n, 0.4)) END, 6)::DOUBLE confidence FROM a)
+SELECT *, CASE WHEN confidence >= 0.65 THEN 'high' WHEN confidence >= 0.35 THEN 'medium' WHEN confidence > 0 THEN 'low' ELSE 'none' END band FROM s""",
     "e1_by_type": "SELECT doc_type, count(*) n FROM raw_passages GROUP BY 1",
     "e5_distinct": "SELECT count(*) n, count(DISTINCT chunk_id) chunk_ids, count(DISTINCT source_id) sources, count(DISTINCT parent_id) parents FROM chunks",
     "e6_noise": "SELECT doc_type, count(*) FILTER (is_noise) noise, round(count(*) FILTER (is_noise) / count(*)::DOUBLE, 4) noise_ratio, count(*) FILTER (is_noise IS NULL) unknown FROM chunks GROUP BY 1",
