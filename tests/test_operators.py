@@ -11,7 +11,7 @@ from yarrow import queries
 from yarrow.common import running_before
 from yarrow.operators import answers, chunking, evidence, retrieval, structure
 from yarrow.plans import pipelines
-from yarrow.sources import files
+from yarrow.sources import files, ingest as sources_ingest
 from yarrow.streaming import ingest
 
 
@@ -182,3 +182,74 @@ def test_long_images_are_split_and_numbered(spark):
     df = spark.createDataFrame([("s", "image", 1, " ".join(["chữ"] * 90), 1, None, 0, "anh.png", None, None), ("s", "image", 2, "một ảnh ngắn", 1, None, 0, "b.png", None, None), ("s", "image", 3, "ab", 1, None, 0, "c.png", None, None)], PASSAGE)
     got = sorted((r.locator, r.child_index, r.n_tokens) for r in structure.images(structure._rows(df), 40).collect())
     assert got == [("anh.png#part1", 0, 40), ("anh.png#part2", 1, 40), ("anh.png#part3", 2, 10), ("b.png", 0, 3)]
+
+
+def _docx(path, blocks):
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = "".join(f'<w:tbl>{"".join("<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>" for c in row) + "</w:tr>" for row in b)}</w:tbl>' if isinstance(b, list) else f'<w:p><w:pPr><w:pStyle w:val="{b[0]}"/></w:pPr><w:r><w:t>{b[1]}</w:t></w:r></w:p>' for b in blocks)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f'<w:styles {w}><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="H2"><w:name w:val="heading 2"/></w:style></w:styles>')
+
+
+def test_word_processor_files(spark, tmp_path):
+    long = "một đoạn văn đủ dài để được giữ lại"
+    _docx(tmp_path / "a.docx", [("H1", "Phần một"), ("", long + " 1"), ("H2", "Mục a"), ("", long + " 2"), ("", "ngắn"), ("H1", "Phần hai"), ("", long + " 3"), [["vị thuốc quế chi", "liều dùng 5 g", "dùng buổi sáng"]]])
+    (tmp_path / "b.docx").write_bytes(b"no zip")
+    rows = {(r.path[-6:], r.element_idx): (r.text, r.heading_path, r.error) for r in sources_ingest.read_docx_passages(spark, str(tmp_path)).collect()}
+    assert rows[("a.docx", 1)][1] == "Phần một" and rows[("a.docx", 3)][1] == "Phần một > Mục a" and rows[("a.docx", 6)][1] == "Phần hai" and "BadZipFile" in rows[("b.docx", 0)][2]
+    assert rows[("a.docx", 7)][0].split("\t")[1] == "liều dùng 5 g" and len(rows) == 5
+    (tmp_path / "c.txt").write_text(long + "\n\nngắn\n\n" + long)
+    manifest = spark.createDataFrame([("s1", "a.docx", None, "A"), ("s2", "b.docx", "DOCX", "B"), ("s3", "c.txt", "", "C"), ("s4", "d.txt", None, "D")], "source_id string, file_path string, doc_type string, title string")
+    passages, counts = sources_ingest.ingest(spark, manifest, str(tmp_path))
+    assert [(r.para_idx, r.doc_type) for r in passages.where("source_id = 's3'").collect()] == [(1, "txt"), (2, "txt")]
+    got = {r.source_id: (r.doc_type, r.passages, r.error) for r in counts.collect()}
+    assert got["s3"] == ("txt", 2, None) and got["s4"][2] == "missing file" and got["s2"][0] == "docx" and "BadZipFile" in got["s2"][2] and got["s1"][1] == 1
+    sources_ingest.write_manifest(manifest, str(tmp_path / "m"))
+    assert '- source_id: "s1"\n  file_path: "a.docx"\n  doc_type: null' in "\n".join(p.read_text() for p in sorted((tmp_path / "m").glob("part*")))
+
+
+def test_points_are_embedded_once_and_failures_set_aside(spark, tmp_path):
+    long = "đoạn văn đủ dài để được nhúng vào"
+    rows = [("c1", 1, long, False, "txt"), ("c1", 2, long + " hơn", False, "txt"), ("c2", 3, "ngắn", False, "txt"), ("c3", 4, long, True, "txt"), ("c4", 5, long + " lỗi", None, "pdf")]
+    df = spark.createDataFrame(rows, "chunk_id string, ord bigint, text string, is_noise boolean, doc_type string")
+
+    def embed(texts):
+        return [None if t.endswith("lỗi") else [float(len(t))] for t in texts]
+
+    assert sources_ingest.embed_points(df, str(tmp_path / "p"), embed) == {"asked": 2, "written": 1, "failed": 1}
+    assert [r.ord for r in spark.read.parquet(str(tmp_path / "p/all")).where("vector IS NOT NULL").collect()] == [2]
+    config = sources_ingest.RetrievalConfig.read("retrieval:\n  bm25_topk: 60  # more\n  other: 3\n")
+    assert (config.bm25_topk, config.rrf_k) == (60, 60) and sources_ingest.RetrievalConfig.read('{"window": 2}').window == 2
+    assert spark.range(1).select(sources_ingest.debug_name(F.lit("bm25"), F.lit("a")).alias("n")).first().n == "bm25_0cc175b9"
+
+
+def test_stored_index_is_built_anew_only_for_other_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c", "c"])], "ord bigint, tokens array<string>")
+    q = spark.createDataFrame([(1, "c b"), (2, "a"), (3, "")], "query_id bigint, query string")
+    want = sorted(map(tuple, retrieval.bm25_topk(q, docs, "ord").collect()))
+    index = retrieval.stored_index(docs, "ord", str(tmp_path / "i"))
+    assert sorted(map(tuple, retrieval.bm25_topk(q, docs, "ord", index=index).collect())) == want
+    stamp = next((tmp_path / "i/terms").glob("part*")).stat().st_mtime_ns
+    retrieval.stored_index(docs, "ord", str(tmp_path / "i"))
+    assert next((tmp_path / "i/terms").glob("part*")).stat().st_mtime_ns == stamp
+    more = docs.unionByName(spark.createDataFrame([(3, ["a"])], docs.schema))
+    assert retrieval.stored_index(more, "ord", str(tmp_path / "i"))[0].count() == 5
+
+
+def test_vector_search_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(60, 4)), 1)
+    x[10] = x[11]
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(90, None), (91, [1.0])], "id bigint, v array<double>")
+    queries = points.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    sims = np.round(x @ x.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :] + 1e-12), 6)
+    want = {(q, r): i for q in range(20) for r, i in enumerate(sorted((j for j in range(60) if j != q), key=lambda j: (-sims[q, j], j))[:5])}
+    for values in (4_000_000, 20):
+        monkeypatch.setattr(retrieval, "QUERY_VALUES", values)
+        assert {(r.query_id, r.rank): r.id for r in retrieval.vector_topk(queries, points, "id", 5, exclude_self=True).collect()} == want
+    assert retrieval.vector_topk(queries.limit(0), points, "id").count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,31 @@ def ask(questions: DataFrame, chunks: DataFrame, k: int = 40) -> DataFrame:
     return out.select("query_id", "passes", "reason", F.when(F.col("passes"), F.col("answer")).alias("answer"), "context", "selected")
 
 
+def ablation(questions: DataFrame, docs: DataFrame, points: DataFrame, key: str, gold: DataFrame, modes: tuple[str, ...] = ("bm25", "vector", "hybrid_rrf"), k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """O1, O2: (hit rates a mode, failed questions a mode). gold: (query_id, item), items being keys.
+
+    Each branch is searched once and written; the fusion reads those lists. Questions without a vector fail in the vector mode.
+    """
+    lists = {"bm25": cut(retrieval.bm25_topk(questions, docs, key, 4 * k)), "vector": cut(retrieval.vector_topk(questions, points, key, 4 * k))}
+    ranked = {"bm25": lists["bm25"], "vector": lists["vector"], "hybrid_rrf": retrieval.rrf(lists, key, final=k)}
+    rows = reduce(DataFrame.unionByName, [ranked[m].where(F.col("rank") < k).select(F.lit(m).alias("mode"), "query_id", "rank", F.col(key).alias("item")) for m in modes])
+    asked = gold.select("query_id").distinct().crossJoin(questions.sparkSession.createDataFrame([(m,) for m in modes], "mode string"))  # a row a mode
+    first = rows.join(gold, ["query_id", "item"]).groupBy("mode", "query_id").agg(F.min("rank").alias("first"))
+    graded = evidence._graded(asked.join(first, ["mode", "query_id"], "left"), ["mode", "query_id"])
+    return evidence.hit_summary(graded, ["mode"]), graded.where("first_rank IS NULL").select("mode", "query_id")
+
+
+def o1_ablation(spark, d):
+    """Hit rates of the three modes over questions made of the chunks' own vectors and keywords: every twentieth vector asks for its neighbour by number."""
+    from yarrow.common import table
+
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("v"))
+    q = table(spark, d, "test_questions").where("question IS NOT NULL").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
+    q = q.join(v.select(F.col("ord").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    docs = retrieval.searchable(table(spark, d, "chunks").select("ord", "text", "is_noise", "doc_type"))
+    return ablation(q, docs, v, "ord", q.select("query_id", F.col("query_id").alias("item")))[0]
+
+
 def o6_build(spark, d):
     from yarrow.common import table
 
@@ -55,5 +82,5 @@ def o8_ask(spark, d):
     return ask(q, table(spark, d, "chunks")).select("query_id", "passes", "reason", F.length("answer").alias("answer_chars"), F.length("context").alias("context_chars"))
 
 
-QUERIES = {f.__name__: f for f in (o6_build, o8_ask)}
+QUERIES = {f.__name__: f for f in (o1_ablation, o6_build, o8_ask)}
 SQL: dict[str, str] = {}
