@@ -50,3 +50,11 @@ def test_nulls_stay_null(spark):
 def test_lists(spark):
     row = spark.range(1).select(T.id_list(F.lit("a|b| a ||c")).alias("a"), T.citations(F.lit("x [E2] y [E1] [E2]")).alias("b"), T.with_phrases(F.array(*map(F.lit, ["cam", "thao", "cam", "thao"])), ["cam thao"]).alias("c"), T.json_object(F.lit('so: {"a": 1} end')).isNotNull().alias("d")).first()
     assert row.a == ["a", "b", "c"] and row.b == ["E2", "E1"] and row.c[4:] == ["cam_thao", "cam_thao"] and row.d
+
+
+def test_glued_words_are_parted_in_order(spark):
+    cases = {"rễĐem": "rễ Đem", "xong.Đem": "xong. Đem", "rễđem": "rễ đem", "phủtheo": "phủ theo", "rửasạch": "rửa sạch", "hoặcsao": "hoặc sao", "đắplên": "đắp lên", "sựẩn": "sự ẩn", "đồăn": "đồ ăn", "hương": "hương", "xuân": "xuân", "hoặc": "hoặc"}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [(r.c, r.want) for r in df.select(T.clean_passage(F.col("t")).alias("c"), "want").collect() if r.c != r.want] == []
+    rows = spark.createDataFrame([("a  b", 0.5), ("ab", None), (None, 0.9)], "t string, c double")
+    assert [tuple(r) for r in rows.select(*T.cleaned_record(F.col("t"), F.col("c"))).collect()] == [("a b", True, True), ("ab", False, False), (None, False, False)]

@@ -26,7 +26,7 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str]:
-    """Every letter of the basic plane that decomposes to one base and marks, with its base; built from the rule."""
+    """Every letter of the basic plane that decomposes to one base and marks, with its base, then the marks, which have none; built from the rule."""
     source, target = [], []
     for c in (*range(0xC0, 0xAC00), *range(0xF900, 0xFB00)):
         parts = unicodedata.normalize("NFD", chr(c))
@@ -34,12 +34,13 @@ def _folding() -> tuple[str, str]:
         if len(parts) > 1 and len(bases) == 1:
             source.append(chr(c))
             target.append(bases[0])
-    return "".join(source) + "đĐ", "".join(target) + "dD"
+    marks = (chr(c) for c in range(0x300, 0x110000) if unicodedata.category(chr(c)) == "Mn")
+    return "".join(source) + "đĐ" + "".join(marks), "".join(target) + "dD"
 
 
 def fold_accents(t: Column) -> Column:
     """Base letters without marks, đ as d."""
-    return F.regexp_replace(F.translate(t, *_folding()), r"\p{Mn}", "")
+    return F.translate(t, *_folding())
 
 
 def strip(t: Column) -> Column:
@@ -232,15 +233,44 @@ def garbled_legacy_font(t: Column, ratio: float = 0.02, strong: int = 10) -> Col
     return (marks > strong) | (marks / F.greatest(F.length(t), F.lit(1)) > ratio)
 
 
+#: Vietnamese syllables: all vowels, those with a mark, marked ones that no diphthong leads on from, and what a syllable begins with.
+_MARKED = "".join(c for c in _VI if c != "đ")
+_VOWEL = f"[aeiouy{_MARKED}]"
+_ONSET = "(?:ngh|ch|gh|gi|kh|ng|nh|ph|th|tr|qu|[bcdfghjklmnpqrstvwxzđ])"
+
+
+def _family(base: str) -> str:
+    """A vowel with each tone."""
+    return "".join(unicodedata.normalize("NFC", base + tone) for tone in ("", "\u0301", "\u0300", "\u0309", "\u0303", "\u0323"))
+
+
+#: B6's places where two words were glued together, in their order.
+GLUED = (
+    rf"(?<=[{_LOWER}])(?=[{_UPPER}])",
+    rf"(?<=[.)\]!?;:])(?=[{_LOWER}{_UPPER}])",
+    rf"(?iu)(?<=[{_MARKED}])(?={_ONSET}{_VOWEL})",
+    rf"(?iu)(?<=[aeiouy])(?={_ONSET}[{_MARKED}])",
+    rf"(?iu)(?<={_VOWEL}[cmnpt])(?=[bcdfghjklmnpqrstvwxzđ]{{1,2}}{_VOWEL})",
+    # ươ is one sound, so a plain ư parts nothing from the ơ family
+    rf"(?iu)(?<=[{_MARKED}])(?=[{_family('ă')}{_family('â')}{_family('ư')}])|(?<=[{_MARKED.replace('ư', '')}])(?=[{_family('ơ')}])",
+)
+
+
 def clean_passage(t: Column) -> Column:
     """Composed, control characters out, line ends unified, blanks collapsed, glued words parted, blank lines capped."""
     x = F.regexp_replace(nfc(t), r"[\p{C}&&[^\n\r\t]]", "")
     x = F.regexp_replace(F.regexp_replace(F.translate(x, "�", " "), "\r\n?", "\n"), r"[ \t]+", " ")
-    x = F.regexp_replace(x, rf"([{_LOWER}])([{_UPPER}])", "$1 $2")
-    x = F.regexp_replace(x, rf"([,;:!?])([{_LOWER}{_UPPER}])", "$1 $2")
+    for place in GLUED:
+        x = F.regexp_replace(x, place, " ")
     return tidy_lines(x)
 
 
+def cleaned_record(text: Column, confidence: Column, least: float = 0.75) -> list[Column]:
+    """The cleaned text, whether that changed it, and whether the scan's confidence is low; a null text stays as it is."""
+    clean = F.coalesce(clean_passage(text), text)
+    return [clean.alias("text"), (~clean.eqNullSafe(text)).alias("text_cleaned"), F.coalesce(confidence < least, F.lit(False)).alias("low_ocr_confidence")]
+
+
 def clean_chunk(t: Column, kind: Column, join_capitals: bool = True) -> Column:
     """The post-chunk normaliser; the noise flag is ``chunk_is_noise``."""
     x = F.regexp_replace(strip_hidden(nfkc(F.translate(t, "�", " "))), "\r\n?", "\n")
