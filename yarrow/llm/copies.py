@@ -177,4 +177,18 @@ def p4_records(spark, sf_dir):
 
 
 QUERIES = {"p4_found": p4_found, "p4_records": p4_records}
-SQL: dict[str, str] = {}
+_CANON = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
+_SQL_FIELD = r"(?s)^[^\p{L}\p{N}]*(\p{L}[\p{L}\p{M}\p{N}_ ./’''*()-]{0,60}?)[*_ ]*(?:[:：=＝\t]|\s[–—-]\s)(.*)$"
+_SIGNS = ("[;；]", "[|｜]", r"[\n\r]+")
+#: Fields by brute force: parts of each sign, all of them labelled, as canonical label and value.
+_ORACLE = (
+    r"WITH c AS (SELECT ord, text, " + _CANON.format("text") + " w FROM chunks WHERE text IS NOT NULL), k AS (SELECT * FROM c WHERE length(w) >= 20), p AS (SELECT ord, w, "
+    + ", ".join(f"list_filter(regexp_split_to_array(text, '{sign}'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}_]')) p{n}" for n, sign in enumerate(_SIGNS)) + " FROM k), g AS (SELECT ord, w, CASE "
+    + " ".join(f"WHEN len(p{n}) >= 2 AND len(list_filter(p{n}, lambda x: regexp_matches(x, '{_SQL_FIELD}'))) = len(p{n}) THEN p{n}" for n in range(3)) + " END f FROM p),\n"
+    + "t AS (SELECT ord, w, CASE WHEN f IS NOT NULL THEN array_to_string(list_sort(list_transform(f, lambda x: " + _CANON.format(f"regexp_extract(x, '{_SQL_FIELD}', 1)") + " || chr(1) || " + _CANON.format(f"regexp_extract(x, '{_SQL_FIELD}', 2)") + ")), chr(2)) END r FROM g),\n"
+    + "s AS (SELECT w, min(r) shown FROM t WHERE r IS NOT NULL GROUP BY 1), z AS (SELECT ord, coalesce(shown, w) r FROM t LEFT JOIN s USING (w))\n"
+)
+SQL = {
+    "p4_found": _ORACLE + "SELECT first_ord, ord copy_ord FROM (SELECT ord, min(ord) OVER (PARTITION BY r) first_ord FROM z) WHERE first_ord < ord",
+    "p4_records": _ORACLE + "SELECT min(ord) ord, count(*) n_copies FROM z GROUP BY r UNION ALL SELECT ord, 1 n_copies FROM chunks WHERE ord NOT IN (SELECT ord FROM z)",
+}
