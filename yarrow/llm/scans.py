@@ -286,7 +286,7 @@ def _words(text: str, lexicon: Lexicon, kinds: set[str], spoiled: frozenset[str]
         if count:
             # damage repeats, so a damaged form may be known itself; what it stands for is then known far better
             both, beyond = w + after, low[k + 2] if k + 2 < n else ""
-            if after and text[m.end() : found[k + 1].start()] == " " and known.get(both, 0) > CONTEXT_RATIO * pairs.get((w, after), 0) and lexicon.context(before, both, beyond) and not (pairs.get((before, w)) and pairs.get((after, beyond))) and not after.isdigit():
+            if after and both in known and known[both] > CONTEXT_RATIO * pairs.get((w, after), 0) and text[m.end() : found[k + 1].start()] == " " and lexicon.context(before, both, beyond) and not (pairs.get((before, w)) and pairs.get((after, beyond))) and not after.isdigit():
                 kinds.add("broken word")
                 edits.append((m.start(), found[k + 1].end(), m.group() + found[k + 1].group()))
                 k += 2
