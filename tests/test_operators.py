@@ -226,12 +226,14 @@ def test_points_are_embedded_once_and_failures_set_aside(spark, tmp_path):
     assert spark.range(1).select(sources_ingest.debug_name(F.lit("bm25"), F.lit("a")).alias("n")).first().n == "bm25_0cc175b9"
 
 
-def test_stored_index_is_built_anew_only_for_other_documents(spark, tmp_path):
+def test_stored_index_is_built_anew_only_for_other_documents(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c", "c"])], "ord bigint, tokens array<string>")
     q = spark.createDataFrame([(1, "c b"), (2, "a"), (3, "")], "query_id bigint, query string")
     want = sorted(map(tuple, retrieval.bm25_topk(q, docs, "ord").collect()))
     index = retrieval.stored_index(docs, "ord", str(tmp_path / "i"))
     assert sorted(map(tuple, retrieval.bm25_topk(q, docs, "ord", index=index).collect())) == want
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, retrieval.bm25_topk(q, docs, "ord").collect())) == want
     stamp = next((tmp_path / "i/terms").glob("part*")).stat().st_mtime_ns
     retrieval.stored_index(docs, "ord", str(tmp_path / "i"))
     assert next((tmp_path / "i/terms").glob("part*")).stat().st_mtime_ns == stamp

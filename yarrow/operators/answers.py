@@ -178,7 +178,7 @@ def n6_questions(spark, d):
 def b34_json(spark, d):
     """Tolerant JSON: the events' properties, wrapped in prose, still parse."""
     e = table(spark, d, "events").select("event_id", T.json_object(F.concat(F.lit("Answer: "), F.col("props"), F.lit(" done"))).alias("j"))
-    return e.where("j IS NOT NULL").select("event_id")
+    return e.where("j IS NOT NULL").select("event_id", F.try_variant_get("j", "$.k", "bigint").alias("k"))
 
 
 def o14_kmeans(spark, d):
@@ -212,5 +212,5 @@ SELECT ord, chunk_id, replace([""" + ", ".join(f"'{t}'" for t in TEMPLATES) + "]
     "e13_parent_scores": _R + "SELECT query_id, parent_id, round(l[1] + coalesce(l[2], 0), 6) score, n FROM b",
     "g3_top_parents": _R + ", p AS (SELECT *, round(m, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY round(m, 6) DESC, parent_id) p, max(round(m, 6)) OVER (PARTITION BY query_id) best FROM b), x AS (SELECT *, max(CASE WHEN p > 3 AND n >= 2 AND score >= 0.9 * best THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) e FROM p) SELECT query_id, parent_id, p FROM x WHERE p <= 3 + e",
     "b33_scores": "SELECT query_id, round(sum(coalesce(bm25_score, vector_score, fused_score, 0)), 4) s, round(sum(coalesce(nullif(bm25_score, 0), nullif(vector_score, 0), nullif(fused_score, 0), 0)), 4) t FROM retrieval_results GROUP BY 1",
-    "b34_json": "SELECT event_id FROM events WHERE json_valid(props)",
+    "b34_json": "SELECT event_id, json_extract(props, '$.k')::BIGINT k FROM events WHERE json_valid(props)",
 }

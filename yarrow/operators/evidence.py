@@ -102,7 +102,9 @@ def context(results: DataFrame, children: DataFrame, width: int = 1, parents_kep
     scored = scored.withColumn("relevance", F.round(F.col("s") + 0.02 * F.least(F.lit(3), F.col("n") - 1), 6))
     ranked = scored.withColumn("p", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "parent_id"))).where(F.col("p") <= parents_kept)
     windows = merged_windows(results, ["query_id", "parent_id"], "child_index", width).join(ranked.select("query_id", "parent_id", "p"), ["query_id", "parent_id"])
-    texts = windows.join(children, "parent_id").where((F.col("child_index") >= F.col("lo")) & (F.col("child_index") < F.col("hi")) & F.col("text").isNotNull())
+    # a window's few places are joined one by one, so a parent of many children and many windows makes no pair of each with each
+    places = windows.select("query_id", "parent_id", "p", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("child_index"))
+    texts = places.join(children.where("text IS NOT NULL"), ["parent_id", "child_index"])
     texts = texts.withColumn("_first", F.row_number().over(Window.partitionBy("query_id", F.xxhash64("text"), "text").orderBy("p", "child_index", "ord"))).where("_first = 1")
     texts = texts.withColumn("o", F.struct("p", "child_index", "ord")).withColumn("words", F.size(F.split(T.collapse(F.col("text")), " ")))
     kept = budgeted(texts, "query_id", "o", F.col("words"), budget)
@@ -186,9 +188,10 @@ def d1_parent_join(spark, d):
 
 def d10_neighbours(spark, d):
     """Range join: children of the same parent within one place of a retrieved child."""
-    kids = table(spark, d, "chunks").select("parent_id", F.col("child_index").alias("c"), "ord")
-    r = _results(spark, d).where("rank < 5").select("query_id", "parent_id", "child_index")
-    return r.join(kids, "parent_id").where(F.col("c").between(F.col("child_index") - 1, F.col("child_index") + 1)).groupBy("query_id").agg(F.countDistinct("ord").alias("n_near"))
+    kids = table(spark, d, "chunks").select("parent_id", "child_index", "ord")
+    r = _results(spark, d).where("rank < 5").select("query_id", "parent_id", F.explode(F.sequence(F.col("child_index") - 1, F.col("child_index") + 1)).alias("child_index"))
+    # the range is three places, so it is an equi join on parent and place
+    return r.join(kids, ["parent_id", "child_index"]).groupBy("query_id").agg(F.countDistinct("ord").alias("n_near"))
 
 
 LEVELS = ("chunk_id", "parent_id", "source_id")

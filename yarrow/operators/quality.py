@@ -98,8 +98,9 @@ def o12_window_hits(spark, d):
     """Whether a question's gold chunk lies within one place of a retrieved child of the same parent."""
     from yarrow.operators.evidence import _gold, _results
 
-    kids = table(spark, d, "chunks").select("chunk_id", "parent_id", F.col("child_index").alias("c"))
-    near = _results(spark, d).where("rank < 10").select("query_id", "parent_id", "child_index").join(kids, "parent_id").where("c BETWEEN child_index - 1 AND child_index + 1").select("query_id", F.col("chunk_id").alias("item")).distinct()
+    kids = table(spark, d, "chunks").select("chunk_id", "parent_id", "child_index")
+    around = F.explode(F.sequence(F.col("child_index") - 1, F.col("child_index") + 1)).alias("child_index")
+    near = _results(spark, d).where("rank < 10").select("query_id", "parent_id", around).join(kids, ["parent_id", "child_index"]).select("query_id", F.col("chunk_id").alias("item")).distinct()
     gold = _gold(spark, d).select("query_id", F.col("chunk_id").alias("item"))
     hit = gold.join(near.withColumn("hit", F.lit(1)), ["query_id", "item"], "left").groupBy("query_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return hit.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("hit"), 6).alias("hit_rate"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from yarrow.common import spread, table
 from yarrow.functions import text as T
 
+#: The part of the tables' paths behind which the category stands; a parameter of ``text.category``.
+ANCHOR = "TT_DUOC"
 STOP = ["la", "va", "cua", "cho", "co", "khong", "the", "nao", "gi", "o", "khi", "thi", "de", "voi", "cac", "mot"]
 
 
@@ -79,7 +81,7 @@ def b3_point_check(spark, d):
 
 def b4_category(spark, d):
     s = table(spark, d, "sources")
-    return s.select("source_id", T.category(F.col("file_path"), "TT_DUOC").alias("category"), T.doc_type(F.col("file_path")).alias("by_name"))
+    return s.select("source_id", T.category(F.col("file_path"), ANCHOR).alias("category"), T.doc_type(F.col("file_path")).alias("by_name"))
 
 
 def b6_clean(spark, d):

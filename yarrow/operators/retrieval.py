@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,8 +17,8 @@ from yarrow.common import cut, spread, table
 from yarrow.functions import text as T
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-#: Numbers of the query vectors that are broadcast at once.
-QUERY_VALUES = 4_000_000
+#: Numbers of the query vectors that are broadcast at once, and scores that a task holds at once.
+QUERY_VALUES, SCORES = 4_000_000, 4_000_000
 #: Rows of (query, term) that may be broadcast, some tens of bytes each.
 BROADCAST_TERMS = 200_000
 
@@ -29,24 +30,39 @@ def searchable(chunks: DataFrame, text: str = "text", phrases: list[str] | None
     return df.withColumn("tokens", T.with_phrases(F.col("tokens"), phrases)) if phrases else df
 
 
+def _listed(docs: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a row a document with its distinct terms and their frequencies, terms, statistics). A document's tokens lie in its row, so that
+    counting them moves nothing; only the terms' document frequencies cross an exchange."""
+    def run(batches):
+        for b in batches:
+            counts = [Counter(t) for t in b.column(1).to_pylist()]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counts], dtype=np.int64)]), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, pa.array([t for c in counts for t in c], pa.string()))
+            tf = pa.ListArray.from_arrays(ends, pa.array([n for c in counts for n in c.values()], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sum(c.values()) for c in counts], pa.int32()), terms, tf], names=[key, "dl", "terms", "tfs"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    listed = cut(spread(docs.select(key, tokens)).mapInArrow(run, f"`{key}` {kind}, dl int, terms array<string>, tfs array<int>"))
+    stats = listed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    terms = listed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
+    terms = cut(terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = terms.agg(F.avg("raw").alias("mean"))
+    terms = terms.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
+    return listed, terms.select("term", "df", "idf", "avgdl"), stats
+
+
+def _postings(listed: DataFrame, key: str) -> DataFrame:
+    return listed.select(key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(key, "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+
+
 def bm25_index(docs: DataFrame, key: str, tokens: str = "tokens") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings with tf and document length, terms with idf, one row of corpus statistics).
 
-    Postings and terms are written once to the session's shared folder; whatever is asked of the index reads those. Terms in more than half of the documents get EPSILON times the mean idf instead of a negative one.
+    Documents and terms are written once to the session's shared folder; whatever is asked of the index reads those. Terms in more than half
+    of the documents get EPSILON times the mean idf instead of a negative one.
     """
-    # all postings of a document stay in its partition: neither the term frequencies nor, behind a broadcast of the
-    # query terms, the scores need another exchange
-    placed = docs.select(key, F.size(tokens).alias("dl"), F.col(tokens).alias("_tokens")).repartition(key)
-    postings = placed.select(key, "dl", F.explode("_tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = cut(postings)
-    # documents without tokens are not searchable, so every document has a posting
-    stats = postings.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
-    terms = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    terms = cut(terms)
-    mean = terms.agg(F.avg("raw").alias("mean"))
-    terms = terms.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
-    return postings, terms.select("term", "df", "idf", "avgdl"), stats
+    listed, terms, stats = _listed(docs, key, tokens)
+    return _postings(listed, key), terms, stats
 
 
 def stored_index(docs: DataFrame, key: str, folder: str, tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
@@ -82,20 +98,73 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: fl
     Only postings of terms that some query has are scored; the k best of each query leave a task. ``kind``: a doc_type that
     results must have, applied behind the scoring, so that document frequencies stay those of the corpus. ``index``: a stored one.
     """
-    postings, terms = index or bm25_index(docs, key)[:2]
+    if index:
+        (postings, terms), listed = index, None
+    else:
+        listed, terms, _ = _listed(docs, key, "tokens")
+        postings = _postings(listed, key)
     asked = cut(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     weighted = asked.join(terms, "term")
-    # the query terms are broadcast only if they are few; more are joined by a shuffle on the term
-    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        weighted = F.broadcast(weighted)
-    length = 1 - b + b * F.col("dl") / F.col("avgdl")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    scores = weighted.join(postings, "term").groupBy("query_id", key).agg(F.sum(part).alias("s")).where("s > 0").withColumn("bm25_score", F.round("s", 6))
+    # the query terms are sent to the documents only if they are few; more are joined by a shuffle on the term
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if few and listed is not None:
+        scores = _scored(listed, key, weighted.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl"), queries.schema["query_id"].dataType.simpleString(), None if kind else k, k1, b)
+    else:
+        weighted = F.broadcast(weighted) if few else weighted
+        length = 1 - b + b * F.col("dl") / F.col("avgdl")
+        part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
+        scores = weighted.join(postings, "term").groupBy("query_id", key).agg(F.sum(part).alias("s")).where("s > 0").withColumn("bm25_score", F.round("s", 6))
     if kind:
         scores = scores.join(docs.where(F.col("doc_type") == kind).select(key), key, "left_semi")
     return top(scores, "query_id", F.col("bm25_score"), k, key).select("query_id", "rank", key, "bm25_score")
 
 
+def _scored(listed: DataFrame, key: str, weighted: DataFrame, id_kind: str, k: int | None, k1: float, b: float) -> DataFrame:
+    """(query_id, key, bm25_score): documents in blocks against all queries' terms, a sparse product each; of a block only what may be among
+    the k best of a query goes on, or everything with k = None."""
+    spark = listed.sparkSession
+    asked = weighted.toArrow().combine_chunks()
+    key_kind = listed.schema[key].dataType.simpleString()
+    ids, names = asked["query_id"].combine_chunks().dictionary_encode(), asked["term"].combine_chunks().dictionary_encode()
+    order = np.argsort(names.indices.to_numpy(), kind="stable")
+    starts = np.searchsorted(names.indices.to_numpy()[order], np.arange(len(names.dictionary) + 1))
+    mean = asked["avgdl"][0].as_py() if asked.num_rows else 1.0
+    shared = spark.sparkContext.broadcast((ids.dictionary, names.dictionary, starts, ids.indices.to_numpy()[order], asked["w"].to_numpy()[order]))
+
+    def run(batches):
+        ids, names, starts, query, weight = shared.value
+        n_queries = len(ids)
+        if not n_queries:
+            return
+        for batch in batches:
+            block = max(64, SCORES // n_queries)
+            for a in range(0, batch.num_rows, block):
+                part = batch.slice(a, block)
+                scores = np.zeros((part.num_rows, n_queries))
+                for c in range(0, part.num_rows, 512):
+                    some = part.slice(c, 512)
+                    at = pc.fill_null(pc.index_in(some.column(2).flatten(), value_set=names), -1).to_numpy()
+                    sizes = pc.list_value_length(some.column(2)).to_numpy()
+                    doc, tf = np.repeat(np.arange(some.num_rows), sizes), some.column(3).flatten().to_numpy().astype(float)
+                    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * some.column(1).to_numpy()[doc] / mean))
+                    known = np.flatnonzero(at >= 0)
+                    term = at[known]
+                    count = starts[term + 1] - starts[term]
+                    posting = np.repeat(known, count)
+                    entry = np.repeat(starts[term], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    cell = doc[posting] * n_queries + query[entry]
+                    scores[c : c + some.num_rows] += np.bincount(cell, weights=gain[posting] * weight[entry], minlength=some.num_rows * n_queries).reshape(-1, n_queries)
+                good = scores > 0
+                scores = np.round(scores, 6)
+                if k is not None and len(scores) > k:
+                    # equal scores at the border all go on: their order is decided behind the exchange
+                    good &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+                r, q = np.nonzero(good)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column(0).take(pa.array(r)), pa.array(scores[r, q])], names=["query_id", key, "bm25_score"])
+
+    return listed.mapInArrow(run, f"query_id {id_kind}, `{key}` {key_kind}, bm25_score double")
+
+
 def searchable_points(points: DataFrame, kind: str | None = None) -> DataFrame:
     """C4: points that are surely no noise (a missing flag excludes them), of one doc_type if given; both reach the scan."""
     df = points.where(F.col("is_noise") == F.lit(False))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from yarrow.common import running_before, table
 from yarrow.functions import text as T
-from yarrow.operators.chunking import entries, group_key, hard_split, packed, token_count
+from yarrow.operators.chunking import group_key, hard_split, packed, token_count
+from yarrow.operators.reports import ANCHOR
 
 #: Tokens of a parent block, of a child, and of what children share.
 PARENT, CHILD, OVERLAP = 2000, 500, 100
@@ -169,7 +170,7 @@ def i9_images(spark, d):
 
 def i10_chunked(spark, d):
     """Chunks of every source by strategy."""
-    c = chunked(table(spark, d, "raw_passages"), table(spark, d, "sources"), "docs")
+    c = chunked(table(spark, d, "raw_passages"), table(spark, d, "sources"), ANCHOR)
     return c.groupBy("source_id", "doc_type", "strategy", "category").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("parent_id").alias("parents"), F.count_if("is_noise").alias("noise"))
 
 
