@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from yarrow import queries
-from yarrow.common import running_before
+from yarrow.common import bit_field, running_before
 from yarrow.operators import answers, chunking, evidence, retrieval, structure
 from yarrow.plans import pipelines
 from yarrow.sources import files, ingest as sources_ingest
@@ -115,10 +115,10 @@ def test_stream_upserts(spark, tmp_path):
     assert sorted((r.id, r.text) for r in spark.read.parquet(str(last)).collect()) == [(1, "A"), (2, "b")]
 
 
-@pytest.mark.parametrize("name", ["e1_by_type", "e5_distinct", "j7_rrf", "l1_gate", "e15_hits", "f5_windows", "p7_found", "p3_found", "p5_found", "h2_longest_wins", "r10_sessions", "r14_asof", "a15_paragraphs"])
+@pytest.mark.parametrize("name", ["e1_by_type", "e5_distinct", "j7_rrf", "l1_gate", "e15_hits", "f5_windows", "m3_parents", "k7_scores", "i8_pdf_pages", "o13_hits_by", "c16_quality_gate", "j3_bm25_topk", "e14_gate_features", "h2_longest_wins", "r10_sessions", "r14_asof", "a15_paragraphs"])
 def test_query_equals_its_sql(spark, small, name):
     con = duckdb.connect()
-    for t in "raw_passages chunks points test_questions retrieval_results documents embeddings events orders h1_vector_quality_report_0".split():
+    for t in "raw_passages chunks points sources test_questions retrieval_results documents embeddings events orders h1_vector_quality_report_0".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     r = con.execute(queries.SQL[name])
     columns = [c[0] for c in r.description]
@@ -255,3 +255,10 @@ def test_vector_search_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "QUERY_VALUES", values)
         assert {(r.query_id, r.rank): r.id for r in retrieval.vector_topk(queries, points, "id", 5, exclude_self=True).collect()} == want
     assert retrieval.vector_topk(queries.limit(0), points, "id").count() == 0
+
+
+def test_bit_fields(spark):
+    rnd = random.Random(3)
+    some = {rnd.randrange(1 << 17) for _ in range(500)} | {0, 32_767, 32_768, (1 << 17) - 1}
+    field = bit_field(spark.createDataFrame([(x,) for x in [*some, *some]], "spot int"), "spot", 1 << 17)
+    assert {x for x in range(1 << 17) if field[x >> 3] >> (x & 7) & 1} == some and not bit_field(spark.createDataFrame([], "spot int"), "spot", 64).any()

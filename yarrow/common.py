@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +63,17 @@ def running_before(df: DataFrame, keys: list[str], order: list[Column], weight:
         .withColumn(out, F.coalesce("_in", F.lit(0)) + F.coalesce("_off", F.lit(0)))
         .drop("_in", "_off", "_p", "_w", *names)
     )
+
+
+def bit_field(spots: DataFrame, spot: str, bits: int) -> np.ndarray:
+    """Packed bits, lowest first in each byte, of the distinct numbers below ``bits`` in a column.
+
+    The bits are set on the executors, 32,768 to a row, so at most bits / 8 bytes come to the driver, however many rows there are.
+    """
+    at = F.col(spot).cast("long") + 1
+    rows = spots.groupBy(F.bitmap_bucket_number(at).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b"))
+    field = np.zeros(-(-max(bits, 32_768) // 8), dtype=np.uint8)
+    for row in rows.collect():
+        part = np.frombuffer(row["b"], dtype=np.uint8)
+        field[(row["n"] - 1) * 4096 :][: len(part)] = part[: len(field) - (row["n"] - 1) * 4096]
+    return field
