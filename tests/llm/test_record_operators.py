@@ -189,3 +189,17 @@ def test_overfull_leaves_get_subtrees(spark, monkeypatch):
         got.setdefault(r.id, set()).add(r.neighbour)
     true = _true_neighbours({i: r for i, r in enumerate(x)})
     assert len(got) == 1200 and sum(len(got[i] & set(t)) for i, t in true.items()) / 6000 >= 0.9
+
+
+@pytest.mark.parametrize("name", ["p3_found", "p3_rebuilt", "p4_found", "p4_records", "p5_found", "p7_found"])
+def test_query_equals_its_sql(spark, small, name):
+    import duckdb
+
+    from yarrow import llm
+
+    con = duckdb.connect()
+    for t in ("chunks", "points", "retrieval_results", "h1_vector_quality_report_0"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    r = con.execute(llm.oracle_sql()[name])
+    columns = [c[0] for c in r.description]
+    assert sorted(map(tuple, llm.queries()[name](spark, small).select(*columns).collect())) == sorted(r.fetchall())

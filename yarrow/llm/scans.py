@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yarrow.common import cut, spread, table
+from yarrow.common import bit_field, cut, spread, table
 from yarrow.llm import mojibake
 
 #: A word (pair) is in the lexicon if it makes up at least this part of all words (pairs): so there are at most
@@ -368,9 +368,7 @@ def lexicon(df: DataFrame, text: str, kind: str | None = None, scanned: tuple[st
             h = _hashed(pdf["a"].tolist())
             yield pd.DataFrame({"spot": np.unique(np.concatenate([h, h >> np.uint64(32)]) & np.uint64(bits - 1)).astype(np.int64)})
 
-    field = np.zeros(bits // 8, dtype=np.uint8)
-    for part in own.mapInPandas(spots, "spot bigint").select(F.col("spot").cast("int")).distinct().toLocalIterator():
-        field[part[0] >> 3] |= 1 << (part[0] & 7)
+    field = bit_field(own.mapInPandas(spots, "spot bigint"), "spot", bits)
     return Lexicon({w: n for w, n in single.items() if n >= least}, pairs, {w: n for w, n in single.items() if n < least}, field)
 
 
