@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from yarrow.llm import borda, copies, neighbours, splitting
@@ -203,3 +204,22 @@ def test_query_equals_its_sql(spark, small, name):
     r = con.execute(llm.oracle_sql()[name])
     columns = [c[0] for c in r.description]
     assert sorted(map(tuple, llm.queries()[name](spark, small).select(*columns).collect())) == sorted(r.fetchall())
+
+
+def test_a_vector_goes_to_few_cells_and_has_all_its_neighbours():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 32))[rng.integers(150, size=12_000)] + 0.2 * rng.normal(size=(12_000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[:3] = np.eye(32, dtype=np.float32)[:3]  # far from all others
+    leaves = neighbours._fitted(x[::3], len(x), 256, 5)
+    cell = neighbours._cells(leaves.held * 3.0, 4096, 1024)
+    rows = neighbours._routed(pa.array(range(len(x))), x, leaves, cell)
+    assert cell.max() >= 10 and rows.num_rows < 1.5 * len(x)  # it went to each of the leaves visited, above ten times as many rows
+    of, query, leaf = leaves.visits(x)
+    q, v, _ = neighbours._met(of, x, query, leaf, 5)
+    assert (np.bincount(q, minlength=len(x)) == 5).all()
+    some = np.arange(1, len(x), 12)
+    sims = x[some] @ x.T
+    sims[np.arange(len(some)), some] = -2
+    true = np.argsort(-sims, axis=1)[:, :5]
+    assert np.mean([len(set(v[q == i]) & set(t)) for i, t in zip(some, true)]) >= 4.9

@@ -1,8 +1,8 @@
-"""Problem 5: the k most similar vectors of every vector, by a k-means tree searched best bin first."""
+"""Problem 5: the k most similar vectors of every vector, by a k-means tree whose leaves meet in cells."""
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import pickle
 
 import numpy as np
@@ -22,73 +22,64 @@ SAMPLE, LEAST_SAMPLE, OVERFULL, SUB_SAMPLE = 20_000, 16, 4, 50_000
 BRANCH = 32
 #: Recall on the calibration queries at which widening stops, and how many queries calibrate.
 RECALL, CALIBRATION = 0.99, 400
-#: Every query sees about so many vectors at least, which makes small collections exact.
+#: Every query sees about so many vectors of its own cell at least, which makes small collections exact.
 SEEN = 512
-#: Rows of a leaf, and queries, that meet in one task.
-BLOCK = 8192
+#: Rows of a leaf, and queries, that meet in one task; neighbouring leaves share a cell of about CELL_BLOCKS as many rows.
+BLOCK, CELL_BLOCKS = 8192, 2
+#: Similarities of single precision are compared with so much room; what passes is computed again in double precision.
+ROOM = 1e-5
 #: Range of the hash that draws samples.
 _RANGE = 1 << 62
 
 
-class Tree:
-    """Centroids of every node; children[i] is empty for a leaf, whose number is leaf[i]."""
+class Leaves:
+    """Centroids of the leaves of a k-means tree. A vector lies in the leaf whose centroid is most similar to it, of all.
 
-    def __init__(self) -> None:
-        self.centroids: list[np.ndarray] = []  # of a node's children, one matrix a node
-        self.children: list[list[int]] = []
-        self.leaf: list[int] = []
-        self.n_leaves = 0
+    It visits the leaves whose centroids are less similar by at most ``gap``, or the ``most`` most similar ones if that is fewer; and
+    in any case leaves that hold ``least`` vectors, as ``held``, the sampled vectors of each leaf, assures.
+    """
 
-    def _add(self) -> int:
-        self.centroids.append(np.zeros((0, 0), dtype=np.float32))
-        self.children.append([])
-        self.leaf.append(-1)
-        return len(self.leaf) - 1
+    def __init__(self, centres: np.ndarray) -> None:
+        self.centres, self.gap, self.most, self.floor, self.least = centres, 0.0, 0, 1, 0
+        self.held = np.zeros(len(centres), dtype=np.int64)
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, leaf_sample: float, branch: int = BRANCH, seed: int = 7) -> Tree:
-        tree, rng = cls(), np.random.default_rng(seed)
-        todo = [(tree._add(), np.arange(len(vectors)))]
+    def fit(cls, vectors: np.ndarray, leaf_sample: float, branch: int = BRANCH, seed: int = 7) -> Leaves:
+        rng, leaves = np.random.default_rng(seed), []
+        todo = [(vectors[:1].mean(axis=0), np.arange(len(vectors)))]
         while todo:
-            node, rows = todo.pop()
-            parts = _kmeans(vectors[rows], branch, rng) if len(rows) > leaf_sample else None
+            centre, rows = todo.pop()
+            parts = _kmeans(vectors[rows], min(branch, max(2, len(rows) // (LEAST_SAMPLE // 2))), rng) if len(rows) > leaf_sample else None
             if parts is None:
-                tree.leaf[node] = tree.n_leaves
-                tree.n_leaves += 1
-                continue
-            centres, of = parts
-            tree.centroids[node] = centres
-            for j in range(len(centres)):
-                child = tree._add()
-                tree.children[node].append(child)
-                todo.append((child, rows[of == j]))
-        return tree
-
-    def visit(self, vector: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first: a queue of nodes by the similarity of their centroids."""
-        queue: list[tuple[float, int]] = [(-1.0, 0)]
-        found: list[int] = []
-        while queue and len(found) < most:
-            _, node = heapq.heappop(queue)
-            if self.leaf[node] >= 0:
-                found.append(self.leaf[node])
-                continue
-            for s, child in zip((self.centroids[node] @ vector).tolist(), self.children[node]):
-                heapq.heappush(queue, (-s, child))
-        return found
+                leaves.append(centre)
+            else:
+                todo += [(c, rows[parts[1] == j]) for j, c in enumerate(parts[0])]
+        return cls(np.array(leaves, dtype=np.float32))
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
-        """The leaf of each vector: the nearest child at every level."""
-        out = np.zeros(len(vectors), dtype=np.int32)
-        todo = [(0, np.arange(len(vectors)))]
-        while todo:
-            node, rows = todo.pop()
-            if self.leaf[node] >= 0:
-                out[rows] = self.leaf[node]
-            elif len(rows):
-                best = np.argmax(vectors[rows] @ self.centroids[node].T, axis=1)
-                todo += [(child, rows[best == j]) for j, child in enumerate(self.children[node])]
-        return out
+        """The leaf of each vector."""
+        return np.concatenate([np.zeros(0, np.int32), *(np.argmax(vectors[a : a + 1024] @ self.centres.T, axis=1).astype(np.int32) for a in range(0, len(vectors), 1024))])
+
+    def visits(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf of each vector; vector, leaf) of the visits, a vector's most similar leaf first, which is its own."""
+        of, query, leaf = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for a in range(0, len(vectors), 1024):
+            sims = vectors[a : a + 1024] @ self.centres.T
+            best = np.argmax(sims, axis=1)
+            top = sims[np.arange(len(sims)), best]
+            least = np.partition(sims, len(self.centres) - self.most, axis=1)[:, len(self.centres) - self.most] if self.most else top - self.gap
+            few = np.flatnonzero((sims >= least[:, None]) @ self.held < self.least)
+            if len(few):
+                near = -np.sort(-sims[few], axis=1)
+                order = np.argsort(-sims[few], axis=1, kind="stable")
+                enough = np.argmax(np.cumsum(self.held[order], axis=1) >= min(self.least, self.held.sum()), axis=1)
+                least[few] = np.minimum(least[few], near[np.arange(len(few)), enough])
+            i, j = np.nonzero(sims >= least[:, None])
+            order = np.lexsort((j != best[i], -sims[i, j], i))
+            of.append(best.astype(np.int32))
+            query.append(a + i[order])
+            leaf.append(j[order].astype(np.int32))
+        return np.concatenate(of), np.concatenate(query), np.concatenate(leaf)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray] | None:
@@ -115,19 +106,30 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c[kept].astype(np.float32), np.searchsorted(kept, of)
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int = K, recall: float = RECALL, queries: int = CALIBRATION) -> int:
-    """Widen the number of visited leaves until the calibration queries reach the recall."""
-    if tree.n_leaves < 2 or len(x) < 2:
-        return 1
-    picked = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
-    sims = x[picked] @ x.T
-    sims[np.arange(len(picked)), picked] = -2
-    k = min(k, len(x) - 1)
-    true = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    of = tree.assign(x)
-    orders = [{leaf: i for i, leaf in enumerate(tree.visit(x[q], tree.n_leaves))} for q in picked]
-    needed = np.sort(np.array([[orders[i][leaf] + 1 for leaf in of[row]] for i, row in enumerate(true)]).ravel())
-    return int(min(tree.n_leaves, max(2, needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])))
+def calibrate(leaves: Leaves, x: np.ndarray, unseen: np.ndarray, k: int = K, recall: float = RECALL, queries: int = CALIBRATION) -> None:
+    """Widen the visits until vectors that the leaves were not fitted on are found at the recall, by queries that they were not fitted on either.
+
+    A gap or a number of visits, whichever takes fewer.
+    """
+    gaps, ranks, tops, k = [], [], [], min(k, len(x) - 1)
+    of, picked = leaves.assign(x), np.flatnonzero(unseen)
+    for part in np.array_split(picked[:: -(-len(picked) // (4 * queries))], 4):
+        sims = x[part] @ x.T
+        sims[np.arange(len(part)), part] = -2
+        true = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        near = x[part] @ leaves.centres.T
+        tops.append(near.max(axis=1, keepdims=True) - near)
+        i, j = np.nonzero(unseen[true])
+        held = near[i, of[true[i, j]]]
+        gaps.append(near.max(axis=1)[i] - held)
+        ranks.append((near[i] > held[:, None]).sum(axis=1) + 1)
+    gap, most = (np.sort(np.concatenate(c)) for c in (gaps, ranks))
+    if len(gap):
+        at = min(len(gap), int(np.ceil(recall * len(gap)))) - 1
+        leaves.gap, number = float(gap[at]) + ROOM, int(most[at])
+        leaves.most = number if number < np.mean([(t <= leaves.gap).sum() / max(1, len(t)) for t in tops]) else 0
+    else:
+        leaves.most = len(leaves.centres)
 
 
 def usable(df: DataFrame, vector: str, dim: int) -> F.Column:
@@ -136,9 +138,22 @@ def usable(df: DataFrame, vector: str, dim: int) -> F.Column:
     return v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in column.to_pylist()])
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+def _units(ids: pa.Array, column: pa.Array, dim: int) -> tuple[pa.Array, np.ndarray]:
+    """Keys and unit vectors of the rows with a key and a usable vector."""
+    if not dim:
+        return ids.slice(0, 0), np.zeros((0, 0), dtype=np.float32)
+    kept = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(column), dim), False))
+    ids, flat = ids.filter(kept), column.filter(kept).flatten().cast(pa.float64())
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)  # a null comes as NaN
+    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    x = x[good]
+    return ids.filter(pa.array(good)), (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    x = np.ascontiguousarray(x)
+    size = x.itemsize * x.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, size * len(x) + 1, size, dtype=np.int32)), pa.py_buffer(x)])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -168,19 +183,101 @@ def _sampled(df: DataFrame, key: str, part: float) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(_RANGE)) < F.lit(int(_RANGE * min(1.0, part))))
 
 
-def _fitted(x: np.ndarray, rows: int, leaf_rows: int, k: int) -> tuple[Tree, int]:
-    """A tree with a leaf for every ``leaf_rows`` of ``rows``, fitted on a sample, and its calibrated number of visits."""
+def _fitted(x: np.ndarray, rows: int, leaf_rows: int, k: int) -> Leaves:
+    """A leaf for every ``leaf_rows`` of ``rows``, fitted on three quarters of a sample; the fourth calibrates the visits."""
     x = np.unique(x, axis=0)
-    tree = Tree.fit(x, max(LEAST_SAMPLE, leaf_rows * len(x) / max(rows, 1)))
-    return tree, min(tree.n_leaves, max(calibrate(tree, x, k), -(-SEEN * tree.n_leaves // max(rows, 1))))
-
-
-def _distinct(df: DataFrame, key: str, vector: str, dim: int) -> tuple[DataFrame, int]:
-    """(id, v) of the usable vectors, one an id, and their number."""
-    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable(df.select(F.col(vector).alias("v")), "v", dim))
-    total, most = base.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
-    # only ids cross the exchange above; the vectors themselves do where an id repeats
-    return (base.groupBy("id").agg(F.min("v").alias("v")) if most > 1 else base), total
+    unseen = np.arange(len(x)) % 4 == 3
+    leaves = Leaves.fit(x[~unseen], max(LEAST_SAMPLE, leaf_rows * (~unseen).sum() / max(rows, 1)))
+    if len(leaves.centres) > 1:
+        calibrate(leaves, x, unseen, k)
+    leaves.held, leaves.least = np.bincount(leaves.assign(x), minlength=len(leaves.centres)), k + 1
+    leaves.floor = min(len(leaves.centres), -(-SEEN * len(leaves.centres) // max(rows, 1)))
+    return leaves
+
+
+def _cells(held: np.ndarray, most: float, cell_rows: int) -> np.ndarray:
+    """The cell of each leaf, by its rows: leaves of one branch, whose numbers follow one another, together; -1 for one of more than ``most`` rows."""
+    cell, rows, out = 0, 0.0, np.full(len(held), -1, dtype=np.int32)
+    for leaf, n in enumerate(held.tolist()):
+        if n <= most:
+            if rows and rows + n > cell_rows:
+                cell, rows = cell + 1, 0.0
+            out[leaf], rows = cell, rows + n
+    return out
+
+
+def _routed(ids: pa.Array, x: np.ndarray, leaves: Leaves, cell: np.ndarray) -> pa.RecordBatch:
+    """A row for each vector and each cell that it visits, its own among them, with the leaves it visits there, most similar first."""
+    of, row, leaf = leaves.visits(x)
+    some = cell[leaf] >= 0
+    row, leaf = row[some], leaf[some]
+    order = np.lexsort((np.arange(len(row)), cell[leaf], row))
+    row, leaf = row[order], leaf[order]
+    at = cell[leaf]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1])
+    starts = np.flatnonzero(first)
+    r = row[starts]
+    own = np.where(cell[of[r]] == at[starts], of[r], -1)
+    return pa.RecordBatch.from_arrays([pa.array(at[starts], pa.int32()), pa.array(own, pa.int32()), _lists(pa.array(leaf, pa.int32()), np.diff([*starts, len(row)])), ids.take(pa.array(r)), _binary(x[r])], names=["cell", "own", "visits", "id", "u"])
+
+
+def _floored(own: np.ndarray, query: np.ndarray, leaf: np.ndarray, leaves: Leaves) -> tuple[np.ndarray, np.ndarray]:
+    """The visits, and behind them those that make up a floor for the rows of a cell: the leaves of the cell nearest to their own."""
+    here = np.unique(own[own >= 0])
+    floor = min(len(here), leaves.floor)
+    if floor < 2:
+        return query, leaf
+    sims = leaves.centres[here] @ leaves.centres[here].T
+    near = here[np.argpartition(-sims, floor - 1, axis=1)[:, :floor]]
+    mine = np.flatnonzero(own >= 0)
+    query = np.concatenate([query, np.repeat(mine, floor)])
+    leaf = np.concatenate([leaf, near[np.searchsorted(here, own[mine])].ravel()])
+    _, first = np.unique(query.astype(np.int64) * len(leaves.centres) + leaf, return_index=True)
+    first = np.sort(first)
+    first = first[np.argsort(query[first], kind="stable")]
+    return query[first], leaf[first]
+
+
+def _met(own: np.ndarray, x: np.ndarray, query: np.ndarray, leaf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, similarity) of the k vectors most similar to each query, among those of the leaves that it visits; of equal ones the first.
+
+    own: the leaf of each row, -1 if it is a query alone. (query, leaf) are the visits, a query's best leaf first. The k-th
+    similarity there is the least that counts in the others.
+    """
+    order = np.argsort(own, kind="stable")
+    leaves, starts = np.unique(own[order], return_index=True)
+    held = {int(v): order[a:b] for v, a, b in zip(leaves, starts, [*starts[1:], len(order)]) if v >= 0}
+    best = np.ones(len(query), dtype=bool)
+    best[1:] = query[1:] != query[:-1]
+    least = np.full(len(x), -2, dtype=np.float32)
+    found = []
+    for now in (True, False):
+        turn = np.flatnonzero(best == now)
+        turn = turn[np.argsort(leaf[turn], kind="stable")]
+        for part in np.split(turn, np.flatnonzero(np.diff(leaf[turn])) + 1):
+            of = held.get(int(leaf[part[0]])) if len(part) else None
+            for a in range(0, len(part) if of is not None else 0, 1024):
+                q = query[part[a : a + 1024]]
+                sims = x[q] @ x[of].T
+                spot = np.minimum(np.searchsorted(of, q), len(of) - 1)
+                mine = of[spot] == q
+                sims[mine, spot[mine]] = -3
+                if now:
+                    if len(of) >= k:
+                        least[q] = np.maximum(-2, np.partition(sims, len(of) - k, axis=1)[:, len(of) - k] - ROOM)
+                i, j = np.nonzero(sims >= least[q][:, None])
+                exact = np.minimum(np.einsum("ij,ij->i", x[q[i]].astype(np.float64), x[of[j]].astype(np.float64)), 1.0)
+                found.append(_first(q[i], of[j], exact, k))
+    return _first(*(np.concatenate(c) for c in zip(*found)), k) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _first(query: np.ndarray, vector: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k of each query that are most similar, of equal ones the first."""
+    order = np.lexsort((vector, -sim, query))
+    q = query[order]
+    order = order[np.arange(len(q)) - np.searchsorted(q, q, "left") < k]
+    return query[order], vector[order], sim[order]
 
 
 def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample: int = SAMPLE, block: int = BLOCK, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -191,39 +288,83 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
     key. With fewer than k others there are fewer rows; an empty table gives none.
 
     The tree has a leaf for about every ``leaf_rows`` vectors, so a query meets a number of vectors that
-    does not grow with the collection. What is broadcast is fitted on ``sample`` vectors, hence bounded; in
-    collections so large that its leaves overflow, each such leaf's rows and visitors meet a subtree, which is fitted
-    and calibrated in a task of its own. Vectors that are equal up to length are searched once, by their smallest key, so a
-    group of copies of any size costs one vector; its members come back at the end. Leaves of more
-    than ``block`` rows or queries are met block by block.
+    does not grow with the collection. What is broadcast is fitted on ``sample`` vectors, hence bounded. Neighbouring leaves
+    make up a cell of about CELL_BLOCKS * ``block`` rows, and a vector goes once to its own cell and to each other that it visits, rather
+    than to each leaf. Leaves that would hold more than OVERFULL * ``leaf_rows`` are met apart: rows and visitors of such a
+    leaf meet a subtree, which is fitted and calibrated in a task of its own, block by block. Vectors that are equal up
+    to length are searched once, by their smallest key, so a group of copies of any size costs one vector; its members come
+    back at the end.
     """
     spark, kind = df.sparkSession, dict(df.dtypes)[key]
-    schema_out = f"{key} {kind}, neighbour {kind}, rank int, cosine double"
-    base, total = _distinct(df, key, vector, dim)
-    picked = _sampled(base, "id", sample / max(total, 1)).select("v").toArrow()
-    if not picked.num_rows:
-        return spark.createDataFrame([], schema_out)
-    tree, visits = _fitted(_unit(picked["v"]), total, leaf_rows, k)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def unit(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in _unit(b.column(1))], pa.binary())], names=["id", "u"])
+    raw = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
 
-    def place(batches):
-        tree = shared.value
+    def mark(batches):
+        for b in batches:
+            ids, x = _units(b.column(0), b.column(1), dim)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([hashlib.md5(r.tobytes(), usedforsecurity=False).digest() for r in x], pa.binary())], names=["id", "h"])
+
+    marked = lambda rows: cut(spread(rows).mapInArrow(mark, f"id {kind}, h binary"))
+    marks = marked(raw)
+    total, most = marks.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most > 1:
+        raw = raw.where(F.col("id").isNotNull() & usable(raw, "v", dim)).groupBy("id").agg(F.min("v").alias("v"))
+        marks = marked(raw)
+    repeated = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = repeated.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    if copies:
+        groups = cut(marks.join(repeated.select("h"), "h").groupBy("h").agg(F.min("id").alias("rep")))
+        every = marks.join(groups, "h").select("rep", "id")
+        raw, total = raw.join(every.where("id <> rep").select("id"), "id", "left_anti"), total - copies
+    picked = _sampled(raw, "id", sample / max(total, 1)).toArrow()
+    x = _units(picked["id"].combine_chunks(), picked["v"].combine_chunks(), dim)[1]
+    if not len(x):
+        return spark.createDataFrame([], f"{key} {kind}, neighbour {kind}, rank int, cosine double")
+    leaves = _fitted(x, total, leaf_rows, k)
+    cell = _cells(leaves.held * (total / len(x)), OVERFULL * leaf_rows, CELL_BLOCKS * block)
+    shared = spark.sparkContext.broadcast(leaves)
+
+    def route(batches):
         for b in batches:
-            if b.num_rows:
-                x = _matrix(b.column(1))
-                seen = [tree.visit(r, visits) for r in x]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.assign(x), pa.int32()), _lists(pa.array([v for s in seen for v in s], pa.int32()), np.array([len(s) for s in seen]))], names=["id", "u", "n", "leaf", "visits"])
+            yield _routed(*_units(b.column(0), b.column(1), dim), shared.value, cell)
+
+    def gather(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        lists = t["visits"].combine_chunks()
+        query = np.repeat(np.arange(len(t)), pc.list_value_length(lists).to_numpy())
+        own = t["own"].to_numpy()
+        q, v, sims = _met(own, _matrix(t["u"]), *_floored(own, query, lists.flatten().to_numpy(), shared.value), k)
+        ids = t["id"].combine_chunks()
+        pairs = pa.StructArray.from_arrays([pa.array(-sims, pa.float64()), ids.take(pa.array(v))], names=["far", "neighbour"])
+        asked, sizes = np.unique(q, return_counts=True)
+        return pa.table({"id": ids.take(pa.array(asked)), "found": _lists(pairs, sizes)})
+
+    routed = spread(raw).mapInArrow(route, f"cell int, own int, visits array<int>, id {kind}, u binary")
+    found = routed.groupBy("cell").applyInArrow(gather, f"id {kind}, found array<struct<far:double,neighbour:{kind}>>")
+    if (cell < 0).any():
+        found = found.unionByName(_apart(raw, shared, np.flatnonzero(cell < 0), dim, kind, leaf_rows, k, block))
+    # a query's lists, k entries from each cell it visited: a bounded number
+    ranked = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("f"))
+    if copies:
+        ranked = _members(groups, every, cut(ranked), k)
+    ranked = ranked.select(F.col("id").alias(key), F.posexplode("f").alias("rank", "n"))
+    return ranked.select(key, F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("cosine"))
+
 
-    units = spread(base).mapInArrow(unit, f"id {kind}, u binary")
-    once = units.groupBy("u").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "u", "n")
-    placed = cut(once.mapInArrow(place, f"id {kind}, u binary, n bigint, leaf int, visits array<int>"))
+def _apart(raw: DataFrame, shared, big: np.ndarray, dim: int, kind: str, leaf_rows: int, k: int, block: int) -> DataFrame:
+    """(id, found) from the leaves ``big`` alone: each goes through a subtree, and rows meet visitors block by block."""
 
-    ours = placed.select(F.lit(True).alias("is_x"), "leaf", F.lit(0).alias("sub"), "id", "u")
+    def place(batches):
+        for b in batches:
+            ids, x = _units(b.column(0), b.column(1), dim)
+            of, query, leaf = shared.value.visits(x)
+            met = np.isin(leaf, big)
+            n = np.bincount(query[met], minlength=len(x))
+            mine = np.isin(of, big)
+            some = mine | (n > 0)
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), _binary(x[some]), pa.array(np.where(mine, of, -1)[some], pa.int32()), _lists(pa.array(leaf[met], pa.int32()), n[some])], names=["id", "u", "leaf", "visits"])
+
+    placed = cut(spread(raw).mapInArrow(place, f"id {kind}, u binary, leaf int, visits array<int>"))
+    ours = placed.where("leaf >= 0").select(F.lit(True).alias("is_x"), "leaf", F.lit(0).alias("sub"), "id", "u")
     theirs = placed.select(F.lit(False).alias("is_x"), F.explode("visits").alias("leaf"), F.lit(0).alias("sub"), "id", "u")
     rows = _deepened(ours, theirs, kind, leaf_rows, k, block)
     # one row a leaf; the planner broadcasts it if it is small
@@ -259,15 +400,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
         return pa.table({"id": theirs["id"], "found": _lists(pairs, np.concatenate(sizes))})
 
     out = pa.list_(pa.struct([("far", pa.float64()), ("neighbour", _arrow_type(placed, "id"))]))
-    found = met.groupBy("leaf", "sub", "bx", "bq").applyInArrow(meet, f"id {kind}, found array<struct<far:double,neighbour:{kind}>>")
-    # a query's lists, k entries from each leaf it visited: a bounded number
-    merged = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("f"))
-    if placed.where("n > 1").isEmpty():
-        ranked = merged
-    else:
-        ranked = _members(units, placed, merged, k)
-    ranked = ranked.select(F.col("id").alias(key), F.posexplode("f").alias("rank", "n"))
-    return ranked.select(key, F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("cosine"))
+    return met.groupBy("leaf", "sub", "bx", "bq").applyInArrow(meet, f"id {kind}, found array<struct<far:double,neighbour:{kind}>>")
 
 
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
@@ -279,7 +412,7 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
 def _deepened(ours: DataFrame, theirs: DataFrame, kind: str, leaf_rows: int, k: int, block: int) -> DataFrame:
     """Rows and visits of the leaves, those of overfull leaves sent on to the leaves of a subtree.
 
-    There are at most SAMPLE / LEAST_SAMPLE leaves, so their counts fit the driver.
+    Leaves are fewer than the vectors that they were fitted on, so their counts fit the driver.
     """
     counts = ours.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL * leaf_rows).collect()
     both = ours.unionByName(theirs)
@@ -289,8 +422,8 @@ def _deepened(ours: DataFrame, theirs: DataFrame, kind: str, leaf_rows: int, k:
     over = F.broadcast(spark.createDataFrame([(r["leaf"], r["n"], -(-r["n"] // block), min(1.0, max(SUB_SAMPLE // 4, min(SUB_SAMPLE, LEAST_SAMPLE * r["n"] // leaf_rows)) / r["n"])) for r in counts], "leaf int, n long, blocks long, part double"))
 
     def fit(t: pa.Table) -> pa.Table:
-        tree, visits = _fitted(_matrix(t["u"]), t["n"][0].as_py(), leaf_rows, k)
-        return pa.table({"leaf": t["leaf"].slice(0, 1), "blocks": t["blocks"].slice(0, 1), "tree": pa.array([pickle.dumps((tree, visits))], pa.binary())})
+        leaves = _fitted(_matrix(t["u"]), t["n"][0].as_py(), leaf_rows, k)
+        return pa.table({"leaf": t["leaf"].slice(0, 1), "blocks": t["blocks"].slice(0, 1), "tree": pa.array([pickle.dumps(leaves)], pa.binary())})
 
     drawn = ours.join(over, "leaf").where(F.pmod(F.xxhash64("id"), F.lit(_RANGE)) < (F.col("part") * float(_RANGE)))
     trees = cut(drawn.select("leaf", "n", "blocks", "u").groupBy("leaf").applyInArrow(fit, "leaf int, blocks long, tree binary"))
@@ -298,15 +431,12 @@ def _deepened(ours: DataFrame, theirs: DataFrame, kind: str, leaf_rows: int, k:
     def send(rows: pa.Table, trees: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return rows.select(["is_x", "leaf", "sub", "id", "u"])
-        tree, visits = pickle.loads(trees["tree"][0].as_py())
-        x = _matrix(rows["u"])
         is_x = rows["is_x"].to_numpy()
-        sub = np.zeros(len(x), dtype=np.int32)
-        sub[is_x] = tree.assign(x[is_x])
-        seen = [[sub[i]] if is_x[i] else tree.visit(x[i], visits) for i in range(len(x))]
-        at = np.repeat(np.arange(len(x)), [len(s) for s in seen])
+        of, at, sub = pickle.loads(trees["tree"][0].as_py()).visits(_matrix(rows["u"]))
+        asked = ~is_x[at]
+        at, sub = np.concatenate([np.flatnonzero(is_x), at[asked]]), np.concatenate([of[is_x], sub[asked]])
         t = rows.take(pa.array(at))
-        return pa.table({"is_x": t["is_x"], "leaf": t["leaf"], "sub": pa.array([v for s in seen for v in s], pa.int32()), "id": t["id"], "u": t["u"]})
+        return pa.table({"is_x": t["is_x"], "leaf": t["leaf"], "sub": pa.array(sub, pa.int32()), "id": t["id"], "u": t["u"]})
 
     blocks = trees.select("leaf", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
     many = both.join(over.select("leaf", "blocks"), "leaf").select("is_x", "leaf", "sub", "id", "u", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("b"))
@@ -314,17 +444,15 @@ def _deepened(ours: DataFrame, theirs: DataFrame, kind: str, leaf_rows: int, k:
     return cut(both.join(over.select("leaf"), "leaf", "left_anti").select("is_x", "leaf", "sub", "id", "u").unionByName(sent))
 
 
-def _members(units: DataFrame, placed: DataFrame, merged: DataFrame, k: int) -> DataFrame:
+def _members(groups: DataFrame, every: DataFrame, merged: DataFrame, k: int) -> DataFrame:
     """(id, f) of every vector from those of the distinct ones: its copies come first, a neighbour stands for all of its group.
 
     Of a group only its k + 1 smallest keys can ever be neighbours; they are found without bringing the group together.
     """
-    groups = placed.where("n > 1").select("u", F.col("id").alias("rep"))
-    every = units.join(groups, "u").select("rep", "id")
     first = every.withColumn("_k", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("_k") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids"))
     flat = merged.select("id", F.explode("f").alias("n")).join(first, F.col("n.neighbour") == F.col("rep"), "left")
     flat = flat.groupBy("id").agg(F.flatten(F.collect_list(F.transform(F.coalesce("ids", F.array("n.neighbour")), lambda x: F.struct(F.col("n.far").alias("far"), x.alias("neighbour"))))).alias("f"))
-    single = flat.join(placed.where("n = 1").select("id"), "id", "left_semi").select("id", F.slice(F.array_sort("f"), 1, k).alias("f"))
+    single = flat.join(groups.select(F.col("rep").alias("id")), "id", "left_anti").select("id", F.slice(F.array_sort("f"), 1, k).alias("f"))
     # with no other vector at all a group still has its own copies
     wide = every.join(first, "rep").join(flat.withColumnRenamed("id", "rep"), "rep", "left")
     own = F.transform(F.filter("ids", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("neighbour")))
