@@ -188,6 +188,26 @@ def test_repeated_words_make_no_pair_of_each_with_each():
     assert len(items.hits(words, number)[0]) < 100_000 and [k for _, _, k, _ in leaks._scanned([text], items, leaks.SHARE)] == ["exact"]
 
 
+def test_leaks_do_not_hang_on_what_is_met_together(spark):
+    rnd = random.Random(5)
+    line = lambda n: f"mỗi sáng uống {n} viên trước bữa ăn "
+    drawn = rnd.sample(range(100, 1000), 420)
+    dosage = "".join(line(n) for n in drawn[:12])
+    table = "".join(line(n) for n in drawn[12:212]) + dosage + "".join(line(n) for n in drawn[212:])  # its template repeats, its words do not
+    again = "từ xưa " * 3_000 + "đến nay người ta vẫn kể rằng gừng làm ấm bụng"
+    tail = "từ xưa " * 8 + "đến nay người ta vẫn kể rằng gừng làm ấm bụng"
+    big = 2**60 + 1
+    docs = [(big, table), (None, "Trước. " + ITEM), (big + 2, again), (None, QUESTION), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    many = df.unionByName(spark.createDataFrame([(k, f"chuyện {k} " * 3 + " ".join(rnd.choice("abcdefghij") * 3 for _ in range(2_000))) for k in range(10, 30)], df.schema)).coalesce(1)
+    items = spark.createDataFrame([(1, dosage), (2, tail), (7, ITEM), (7, QUESTION), (None, QUESTION), (7, QUESTION), (big, "ngắn quá")], "item_id bigint, text string")
+    want = [(-1, -1, "exact"), (-1, 7, "exact"), (-1, 7, "exact"), (-1, 7, "exact"), (big, 1, "exact"), (big + 2, 2, "exact")]
+    for most in (20_000, 0):
+        for some in (df, many):
+            rows = leaks.leaks(some, "doc_id", "text", items, "item_id", "text", most_items=most).collect()
+            assert sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.item_id is None else r.item_id, r.kind) for r in rows) == want, (most, some is df)
+
+
 def test_leak_words_are_hashed_alike():
     a = leaks.words_of(leaks._codes("Quế CHI, 5 g"))[0]
     b = leaks.words_of(leaks._codes("quê chi 5 G"))[0]

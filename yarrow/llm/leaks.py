@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from collections import defaultdict
+from functools import lru_cache, reduce
+from operator import and_
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from yarrow.common import bit_field, cut, spread, table
 
@@ -20,6 +23,8 @@ WINDOW, SHARE = 5, 0.45
 AROUND, DENSE = 10, 0.68
 #: Changed words that a copied stretch bridges between two windows, and the words there are then at most between them.
 CHANGED, GAP = 2, WINDOW + 1
+#: Longest period, in words, of a text that repeats itself.
+PERIOD = 8
 #: Slots that must contradict, and outnumber those that agree, for a document to be another instance of a pattern.
 LEAST_WRONG = 2
 #: Items that are broadcast, and bits of the sieve that stands before the join of more of them.
@@ -179,25 +184,53 @@ class Items:
                 out[typed] = _windows(words)[typed]
         return out
 
-    def hits(self, words: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document window, item number, item window) of every window whose template an item has."""
+    def hits(self, words: np.ndarray, number: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document window, item number, item window) of every window whose template an item has.
+
+        Of words that a text repeats over and over those are left out that lie farther from both ends of the repetition than a
+        stretch of the item can be long: each stretch there is found with the same words nearer to an end. Whether a window is left out
+        hangs on its text and the item alone, not on the other texts and items that are met together.
+        """
         templates = self.windows(words, self.canonical(words, number))
         maybe = np.flatnonzero(self.sieve[templates >> np.uint64(42)])
+        depth = _depth(words, np.zeros(len(words), np.int64) if owner is None else owner)
+        if depth is not None:
+            maybe = maybe[depth[maybe] <= _reach(self.longest)]
         low = np.searchsorted(self.templates, templates[maybe], "left")
         count = np.searchsorted(self.templates, templates[maybe], "right") - low
-        if count.sum() > 4 * len(words):
-            # words that repeat over and over: no item repeats them longer than it is, so the rest of a run adds nothing
-            keep = count > 0
-            for period in range(1, 9):
-                again = np.zeros(len(templates), dtype=np.int64)
-                again[period:] = templates[period:] == templates[:-period]
-                stops = np.maximum.accumulate(np.where(again == 0, np.arange(len(again)), 0))
-                keep &= (np.arange(len(again)) - stops)[maybe] <= self.longest + 2 * period
-            count = np.where(keep, count, 0)
         maybe, low, count = maybe[count > 0], low[count > 0], count[count > 0]
         rows = np.repeat(np.arange(len(maybe)), count)
         entry = low[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-        return maybe[rows], self.place[entry, 0], self.place[entry, 1]
+        at, item, window = maybe[rows], self.place[entry, 0], self.place[entry, 1]
+        if depth is not None:
+            kept = depth[at] <= _reach(self.lengths[item])
+            at, item, window = at[kept], item[kept], window[kept]
+        return at, item, window
+
+
+def _reach(length):
+    """Words of a document that a stretch of an item of so many words spans at most: a step of one word there is one of three here."""
+    return (1 + CHANGED) * length + WINDOW + GAP + CHANGED
+
+
+def _depth(words: np.ndarray, owner: np.ndarray) -> np.ndarray | None:
+    """Of each window the words to the nearer end of the repetition that it lies in, less a period; None if there is no long one."""
+    out, least = None, _reach(WINDOW)
+    for period in range(1, min(PERIOD, len(words) - WINDOW) + 1):
+        again = words[period:] == words[:-period]
+        whole = again[: len(again) // least * least].reshape(-1, least)
+        if not whole.all(axis=1).any():
+            continue
+        same = np.zeros(len(words), dtype=bool)
+        same[period:] = again & (owner[period:] == owner[:-period])
+        at = np.arange(len(words))
+        start = np.maximum.accumulate(np.where(same, -1, at))
+        end = np.minimum.accumulate(np.where(same, len(words), at)[::-1])[::-1]
+        n = len(words) - WINDOW + 1
+        # the words from start - period + 1 to end - 1 repeat
+        deep = np.where(same[:n], np.minimum(at[:n] - start[:n] + period - 1, end[:n] - WINDOW - at[:n]) - period, -1)
+        out = deep if out is None else np.maximum(out, deep)
+    return out
 
 
 def _covered(doc: np.ndarray, item: np.ndarray, window: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,22 +260,30 @@ def _bridged(a: list[int], b: list[int]) -> bool:
 def _stretches(place: list[int], window: list[int], text: np.ndarray, words: list[int]) -> list[list[int]]:
     """The windows, by number, that follow one another in a document as they do in an item, changed words bridged."""
     order = sorted(range(len(place)), key=lambda h: (place[h], window[h]))
-    done: list[list[int]] = []
-    running: list[list[int]] = []
+    out: list[list[int]] = []
+    ends: dict[tuple[int, int], int] = {}  # the stretch that ends in a place and window, which only one does
     for h in order:
         a, w = place[h], window[h]
-        done += [s for s in running if a - place[s[-1]] > WINDOW + GAP + CHANGED]
-        running = [s for s in running if a - place[s[-1]] <= WINDOW + GAP + CHANGED]
-        for s in sorted(running, key=lambda s: (abs((a - place[s[-1]]) - (w - window[s[-1]])), w - window[s[-1]])):
-            near, far = w - window[s[-1]], a - place[s[-1]]
-            if near > 0 and far > 0 and near <= WINDOW + GAP and abs(far - near) <= CHANGED:
-                # windows that overlap agree; if they overlap unevenly, a word was repeated or one of two left out
-                if near == far <= WINDOW or _bridged(words[window[s[-1]] + WINDOW : w], text[place[s[-1]] + WINDOW : a].tolist()):
-                    s.append(h)
+        for steps in _STEPS:
+            # the first of them that began goes before; windows that overlap agree; if they overlap unevenly, a word was repeated or one of two left out
+            for n in sorted(ends[a - far, w - near] for near, far in steps if (a - far, w - near) in ends):
+                last = out[n][-1]
+                if w - window[last] == a - place[last] <= WINDOW or _bridged(words[window[last] + WINDOW : w], text[place[last] + WINDOW : a].tolist()):
+                    del ends[place[last], window[last]]
+                    out[n].append(h)
                     break
+            else:
+                continue
+            break
         else:
-            running.append([h])
-    return done + running
+            n = len(out)
+            out.append([h])
+        ends[a, w] = n
+    return out
+
+
+#: (words on in the item, words on in the document) from a window to the next of a stretch, the most even first, then the shortest.
+_STEPS = [[(near, near + d) for d in sorted({-drift, drift}) if near + d > 0] for drift in range(CHANGED + 1) for near in range(1, WINDOW + GAP + 1)]
 
 
 class Verdict(NamedTuple):
@@ -352,7 +393,7 @@ def _scanned(texts: list[str], items: Items, share: float) -> list[tuple[int, in
         words, place, number = words_of(np.concatenate([x for _, c in group for x in (c, gap)]))
         if len(words) >= WINDOW:
             owner = np.searchsorted(starts, place, "right") - 1
-            at, item, window = items.hits(words, number)
+            at, item, window = items.hits(words, number, owner)
             inside = owner[at] == owner[np.minimum(at + WINDOW - 1, len(owner) - 1)]
             docs = np.array([d for d, _ in group])[owner[at]]
             found.append((docs[inside], item[inside], window[inside], behind + at[inside]))
@@ -387,7 +428,9 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     template_covered: that in any window with its template. Case, accents, punctuation and spacing are folded. Null and
     empty texts, and items of fewer than WINDOW words, have no rows; repeated documents come out each. The
     items, a stated set, are broadcast up to ``most_items``; more of them meet the documents in a shuffled join of the window hashes,
-    behind a sieve of bounded size, and only documents with enough windows of an item are read again. Both ways give the same rows.
+    behind a sieve of bounded size, and only documents with enough windows of an item are read again. Both ways give the same
+    rows: they only find pairs, and what is said of a pair hangs on its text, its item and the names of all items. Null
+    keys, and keys that several items share, come out as they are.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     spark = docs.sparkSession
@@ -396,24 +439,23 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     few = wanted.limit(most_items + 1).collect()
     if len(few) > most_items:
         return _joined(base, wanted, key, item_key, kind, item_kind, share)
-    shared = spark.sparkContext.broadcast(Items([tuple(r) for r in few], names_of([r[1] for r in few])))
+    shared = spark.sparkContext.broadcast(Items([(n, r[1]) for n, r in enumerate(few)], names_of([r[1] for r in few])))
+    ids = pa.array([r[0] for r in few], to_arrow_type(wanted.schema["_item"].dataType))
 
     def run(batches):
-        items = shared.value
-        for pdf in batches:
-            got = _scanned(pdf["_text"].tolist(), items, share)
+        for b in batches:
+            got = _scanned(b.column("_text").to_pylist(), shared.value, share)
             if got:
-                yield _frame(got, pdf["_key"], items, key, item_key)
+                yield _batch(got, b.column("_key"), ids, shared.value, key, item_key)
 
-    return spread(base).mapInPandas(run, f"{key} {kind}, {item_key} {item_kind}, {_OUT}")
+    return spread(base).mapInArrow(run, f"{key} {kind}, {item_key} {item_kind}, {_OUT}")
 
 
-def _frame(got: list[tuple[int, int, str, Verdict]], keys: pd.Series, items: Items, key: str, item_key: str) -> pd.DataFrame:
+def _batch(got: list[tuple[int, int, str, Verdict]], keys: pa.Array, ids: pa.Array, items: Items, key: str, item_key: str) -> pa.RecordBatch:
     size = [int(items.lengths[i]) for _, i, _, _ in got]
-    return pd.DataFrame({
-        key: keys.iloc[[d for d, *_ in got]].to_numpy(), item_key: [items.ids[i] for _, i, _, _ in got], "kind": [k for _, _, k, _ in got], "covered": [v.copied / n for (*_, v), n in zip(got, size)],
-        "template_covered": [v.template / n for (*_, v), n in zip(got, size)], "slots_agreeing": [v.agree for *_, v in got], "slots_contradicting": [v.contradict for *_, v in got],
-    })
+    columns = [keys.take(pa.array([d for d, *_ in got])), ids.take(pa.array([i for _, i, _, _ in got])), [k for _, _, k, _ in got], [v.copied / n for (*_, v), n in zip(got, size)],
+               [v.template / n for (*_, v), n in zip(got, size)], pa.array([v.agree for *_, v in got], pa.int32()), pa.array([v.contradict for *_, v in got], pa.int32())]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[key, item_key, *(c.split()[0] for c in _OUT.split(", "))])
 
 
 def _joined(base: DataFrame, wanted: DataFrame, key: str, item_key: str, kind: str, item_kind: str, share: float) -> DataFrame:
@@ -421,45 +463,56 @@ def _joined(base: DataFrame, wanted: DataFrame, key: str, item_key: str, kind: s
     spark = base.sparkSession
 
     def named(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"name": names_of(pdf["_words"].tolist()).view(np.int64)})
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(names_of(b.column("_words").to_pylist()).view(np.int64))], names=["name"])
 
     # a vocabulary: its growth with the number of items is that of distinct capitalised words
-    names = np.sort(np.array([r[0] for r in wanted.mapInPandas(named, "name bigint").distinct().collect()], dtype=np.int64).view(np.uint64))
+    names = np.sort(np.array([r[0] for r in wanted.mapInArrow(named, "name bigint").distinct().collect()], dtype=np.int64).view(np.uint64))
     common = spark.sparkContext.broadcast(names)
 
     def hashed(batches):
-        for pdf in batches:
-            items = Items(list(zip(pdf["_item"], pdf["_words"])), common.value)
-            at = items.place[:, 0]
-            yield pd.DataFrame({"h": items.templates.view(np.int64), "_item": pdf["_item"].to_numpy()[at], "window": items.place[:, 1], "size": items.lengths[at]})
-
-    windows = cut(wanted.mapInPandas(hashed, f"h bigint, _item {item_kind}, window bigint, size bigint"))
+        for b in batches:
+            items = Items(list(enumerate(b.column("_words").to_pylist())), common.value)
+            at = pa.array(items.place[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(items.templates.view(np.int64)), b.column("_item").take(at), b.column("_w").take(at), pa.array(items.place[:, 1]), pa.array(items.lengths).take(at)], names=["h", "_item", "_w", "window", "size"])
+
+    # items that share a key are told apart by a hash of their text
+    wanted, base = wanted.withColumn("_w", F.xxhash64("_words")), base.withColumn("_t", F.xxhash64("_text"))
+    windows = cut(wanted.mapInArrow(hashed, f"h bigint, _item {item_kind}, _w bigint, window bigint, size bigint"))
     passed = spark.sparkContext.broadcast(bit_field(windows.select(F.shiftrightunsigned("h", 64 - SIEVE).alias("spot")), "spot", 1 << SIEVE))
 
     def met(batches):
         empty, sieve = Items([], common.value), passed.value
-        for pdf in batches:
-            for doc, codes in _slices(pdf["_text"].tolist()):
+        for b in batches:
+            for doc, codes in _slices(b.column("_text").to_pylist()):
                 words, _, number = words_of(codes)
                 h = np.unique(empty.windows(words, empty.canonical(words, number)))
                 spot = (h >> np.uint64(64 - SIEVE)).astype(np.int64)
                 h = h[(sieve[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)]
-                yield pd.DataFrame({"_key": np.repeat(pdf["_key"].to_numpy()[doc], len(h)), "_t": np.repeat(pdf["_t"].to_numpy()[doc], len(h)), "h": h.view(np.int64)})
+                at = pa.array(np.full(len(h), doc))
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(at), b.column("_t").take(at), pa.array(h.view(np.int64))], names=["_key", "_t", "h"])
 
-    seen = spread(base.withColumn("_t", F.xxhash64("_text"))).mapInPandas(met, f"_key {kind}, _t bigint, h bigint").distinct()
-    enough = seen.join(windows, "h").groupBy("_key", "_t", "_item").agg(F.countDistinct("window").alias("n"), F.first("size").alias("size")).where(F.col("n") >= 0.6 * share * F.col("size") / WINDOW).select("_key", "_t", "_item")
-    pairs = base.withColumn("_t", F.xxhash64("_text")).join(enough, ["_key", "_t"]).join(wanted, "_item")
+    seen = spread(base).mapInArrow(met, f"_key {kind}, _t bigint, h bigint").distinct()
+    pair = ["_key", "_t", "_item", "_w"]
+    enough = seen.join(windows, "h").groupBy(pair).agg(F.countDistinct("window").alias("n"), F.first("size").alias("size")).where(F.col("n") >= 0.6 * share * F.col("size") / WINDOW).select(pair).alias("e")
+    same = lambda side, columns: reduce(and_, (F.col(f"{side}.{c}").eqNullSafe(F.col(f"e.{c}")) for c in columns))
+    pairs = base.alias("b").join(enough, same("b", ["_key", "_t"])).join(wanted.alias("w"), same("w", ["_item", "_w"])).select("b._key", "b._text", "w._item", "w._words")
 
     def run(batches):
-        for pdf in batches:
-            for _, part in pdf.groupby("_item", sort=False, dropna=False):
-                items = Items([(part["_item"].iloc[0], part["_words"].iloc[0])], common.value)
-                got = _scanned(part["_text"].tolist(), items, share)
+        for b in batches:
+            texts, part = b.column("_text").to_pylist(), defaultdict(list)
+            for n, words in enumerate(b.column("_words").to_pylist()):
+                part[words].append(n)
+            for words, rows in part.items():
+                items, at = Items([(0, words)], common.value), pa.array(rows)
+                got = _scanned([texts[n] for n in rows], items, share)
                 if got:
-                    yield _frame(got, part["_key"], items, key, item_key)
+                    # an item of these rows stands beside its document
+                    own = b.column("_item").take(at).take(pa.array([d for d, *_ in got]))
+                    out = _batch(got, b.column("_key").take(at), own.slice(0, 1), items, key, item_key)
+                    yield pa.RecordBatch.from_arrays([out.column(0), own, *out.columns[2:]], names=out.schema.names)
 
-    return pairs.mapInPandas(run, f"{key} {kind}, {item_key} {item_kind}, {_OUT}")
+    return pairs.mapInArrow(run, f"{key} {kind}, {item_key} {item_kind}, {_OUT}")
 
 
 def p9_leaks(spark, sf_dir):
