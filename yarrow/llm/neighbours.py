@@ -18,7 +18,7 @@ K = 5
 LEAF_ROWS = 1024
 #: The tree is fitted on about so many vectors, at least LEAST_SAMPLE a leaf; a leaf that then holds more than
 #: OVERFULL * LEAF_ROWS rows gets a subtree of its own, fitted on at most SUB_SAMPLE of its vectors.
-SAMPLE, LEAST_SAMPLE, OVERFULL, SUB_SAMPLE = 20_000, 16, 4, 50_000
+SAMPLE, LEAST_SAMPLE, OVERFULL, SUB_SAMPLE = 20_000, 16, 128, 50_000
 BRANCH = 32
 #: Recall on the calibration queries at which widening stops, and how many queries calibrate.
 RECALL, CALIBRATION = 0.99, 400
@@ -26,6 +26,8 @@ RECALL, CALIBRATION = 0.99, 400
 SEEN = 512
 #: Rows of a leaf, and queries, that meet in one task; neighbouring leaves share a cell of about CELL_BLOCKS as many rows.
 BLOCK, CELL_BLOCKS = 8192, 2
+#: Numbers in the vectors of a leaf that is met whole at most, unless four times LEAF_ROWS hold more, and similarities held at once.
+WHOLE, HELD = 1 << 23, 1 << 21
 #: Similarities of single precision are compared with so much room; what passes is computed again in double precision.
 ROOM = 1e-5
 #: Range of the hash that draws samples.
@@ -257,17 +259,23 @@ def _met(own: np.ndarray, x: np.ndarray, query: np.ndarray, leaf: np.ndarray, k:
         turn = turn[np.argsort(leaf[turn], kind="stable")]
         for part in np.split(turn, np.flatnonzero(np.diff(leaf[turn])) + 1):
             of = held.get(int(leaf[part[0]])) if len(part) else None
-            for a in range(0, len(part) if of is not None else 0, 1024):
-                q = query[part[a : a + 1024]]
-                sims = x[q] @ x[of].T
+            if of is None:
+                continue
+            there, step = x[of], max(32, min(1024, HELD // len(of)))
+            for a in range(0, len(part), step):
+                q = query[part[a : a + step]]
+                sims = x[q] @ there.T
                 spot = np.minimum(np.searchsorted(of, q), len(of) - 1)
                 mine = of[spot] == q
                 sims[mine, spot[mine]] = -3
                 if now:
-                    if len(of) >= k:
-                        least[q] = np.maximum(-2, np.partition(sims, len(of) - k, axis=1)[:, len(of) - k] - ROOM)
+                    # the k-th of the highest of each of many stretches is no higher than the k-th of all
+                    wide = len(of) // 64 if len(of) >= 64 * max(8, k) and k <= 64 else 1
+                    top = sims[:, : len(of) // wide * wide].reshape(len(q), -1, wide).max(axis=2) if wide > 1 else sims
+                    if top.shape[1] >= k:
+                        least[q] = np.maximum(-2, np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k] - ROOM)
                 i, j = np.nonzero(sims >= least[q][:, None])
-                exact = np.minimum(np.einsum("ij,ij->i", x[q[i]].astype(np.float64), x[of[j]].astype(np.float64)), 1.0)
+                exact = np.minimum(np.einsum("ij,ij->i", x[q[i]].astype(np.float64), there[j].astype(np.float64)), 1.0)
                 found.append(_first(q[i], of[j], exact, k))
     return _first(*(np.concatenate(c) for c in zip(*found)), k) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
@@ -290,7 +298,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
     The tree has a leaf for about every ``leaf_rows`` vectors, so a query meets a number of vectors that
     does not grow with the collection. What is broadcast is fitted on ``sample`` vectors, hence bounded. Neighbouring leaves
     make up a cell of about CELL_BLOCKS * ``block`` rows, and a vector goes once to its own cell and to each other that it visits, rather
-    than to each leaf. Leaves that would hold more than OVERFULL * ``leaf_rows`` are met apart: rows and visitors of such a
+    than to each leaf. Leaves that would hold more than OVERFULL * ``leaf_rows``, or WHOLE numbers, are met apart: rows and visitors of such a
     leaf meet a subtree, which is fitted and calibrated in a task of its own, block by block. Vectors that are equal up
     to length are searched once, by their smallest key, so a group of copies of any size costs one vector; its members come
     back at the end.
@@ -320,7 +328,8 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
     if not len(x):
         return spark.createDataFrame([], f"{key} {kind}, neighbour {kind}, rank int, cosine double")
     leaves = _fitted(x, total, leaf_rows, k)
-    cell = _cells(leaves.held * (total / len(x)), OVERFULL * leaf_rows, CELL_BLOCKS * block)
+    whole = min(OVERFULL * leaf_rows, max(4 * leaf_rows, WHOLE // dim))
+    cell = _cells(leaves.held * (total / len(x)), whole, CELL_BLOCKS * block)
     shared = spark.sparkContext.broadcast(leaves)
 
     def route(batches):
@@ -341,7 +350,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
     routed = spread(raw).mapInArrow(route, f"cell int, own int, visits array<int>, id {kind}, u binary")
     found = routed.groupBy("cell").applyInArrow(gather, f"id {kind}, found array<struct<far:double,neighbour:{kind}>>")
     if (cell < 0).any():
-        found = found.unionByName(_apart(raw, shared, np.flatnonzero(cell < 0), dim, kind, leaf_rows, k, block))
+        found = found.unionByName(_apart(raw, shared, np.flatnonzero(cell < 0), dim, kind, leaf_rows, whole, k, block))
     # a query's lists, k entries from each cell it visited: a bounded number
     ranked = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("f"))
     if copies:
@@ -350,7 +359,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
     return ranked.select(key, F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("cosine"))
 
 
-def _apart(raw: DataFrame, shared, big: np.ndarray, dim: int, kind: str, leaf_rows: int, k: int, block: int) -> DataFrame:
+def _apart(raw: DataFrame, shared, big: np.ndarray, dim: int, kind: str, leaf_rows: int, whole: int, k: int, block: int) -> DataFrame:
     """(id, found) from the leaves ``big`` alone: each goes through a subtree, and rows meet visitors block by block."""
 
     def place(batches):
@@ -366,7 +375,7 @@ def _apart(raw: DataFrame, shared, big: np.ndarray, dim: int, kind: str, leaf_ro
     placed = cut(spread(raw).mapInArrow(place, f"id {kind}, u binary, leaf int, visits array<int>"))
     ours = placed.where("leaf >= 0").select(F.lit(True).alias("is_x"), "leaf", F.lit(0).alias("sub"), "id", "u")
     theirs = placed.select(F.lit(False).alias("is_x"), F.explode("visits").alias("leaf"), F.lit(0).alias("sub"), "id", "u")
-    rows = _deepened(ours, theirs, kind, leaf_rows, k, block)
+    rows = _deepened(ours, theirs, kind, leaf_rows, whole, k, block)
     # one row a leaf; the planner broadcasts it if it is small
     sizes = rows.groupBy("leaf", "sub").agg(F.ceil(F.count_if("is_x") / block).cast("int").alias("nx"), F.ceil(F.count_if(~F.col("is_x")) / block).cast("int").alias("nq"))
     near = F.xxhash64("id")
@@ -409,12 +418,12 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-def _deepened(ours: DataFrame, theirs: DataFrame, kind: str, leaf_rows: int, k: int, block: int) -> DataFrame:
+def _deepened(ours: DataFrame, theirs: DataFrame, kind: str, leaf_rows: int, whole: int, k: int, block: int) -> DataFrame:
     """Rows and visits of the leaves, those of overfull leaves sent on to the leaves of a subtree.
 
     Leaves are fewer than the vectors that they were fitted on, so their counts fit the driver.
     """
-    counts = ours.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL * leaf_rows).collect()
+    counts = ours.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).collect()
     both = ours.unionByName(theirs)
     if not counts:
         return both
