@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from yarrow.llm import borda, copies, neighbours, splitting
 
@@ -223,3 +224,28 @@ def test_a_vector_goes_to_few_cells_and_has_all_its_neighbours():
     sims[np.arange(len(some)), some] = -2
     true = np.argsort(-sims, axis=1)[:, :5]
     assert np.mean([len(set(v[q == i]) & set(t)) for i, t in zip(some, true)]) >= 4.9
+
+
+def test_a_small_sample_of_a_dense_collection_sends_vectors_to_few_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = np.repeat(rng.normal(size=(60, 16))[rng.integers(60, size=600)] + 0.3 * rng.normal(size=(600, 16)), 20, axis=0)
+    x = base + 0.01 * rng.normal(size=base.shape)  # twenty close ones each, of which the sample holds about one
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, vec array<float>")
+    df = df.unionByName(df.where("id % 7 = 0").withColumn("id", F.col("id") + 100_000))  # and copies
+    seen = []
+    cells = neighbours._cells
+    monkeypatch.setattr(neighbours, "SEEN", 1)
+    monkeypatch.setattr(neighbours, "_cells", lambda held, most, rows: seen.append(cells(held, most, rows)) or seen[-1])
+    trees = spark.sparkContext.broadcast
+    kept = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: kept.append(value) or trees(value))
+    got: dict = {}
+    for r in neighbours.nearest(df, "id", "vec", 16, sample=600, block=128, leaf_rows=64).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    routed = neighbours._routed(pa.array(range(len(x))), unit, [v for v in kept if isinstance(v, neighbours.Leaves)][-1], seen[-1])
+    assert seen[-1].max() >= 20 and routed.num_rows < 1.3 * len(x)
+    sims = unit[1:12_000:50] @ unit.T
+    sims[np.arange(len(sims)), np.arange(1, 12_000, 50)] = -2
+    some = [(i, set(np.argsort(-s)[:5].tolist())) for i, s in zip(range(1, 12_000, 50), sims) if i % 7]
+    assert np.mean([len({n % 100_000 for n in got[i]} & t) > 0 for i, t in some]) >= 0.99

@@ -8,7 +8,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yarrow.common import cut, spread, table
@@ -30,6 +30,8 @@ BLOCK, CELL_BLOCKS = 8192, 2
 WHOLE, HELD = 1 << 23, 1 << 21
 #: Similarities of single precision are compared with so much room; what passes is computed again in double precision.
 ROOM = 1e-5
+#: Keys that are broadcast at most.
+FEW = 100_000
 #: Range of the hash that draws samples.
 _RANGE = 1 << 62
 
@@ -109,29 +111,37 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 def calibrate(leaves: Leaves, x: np.ndarray, unseen: np.ndarray, k: int = K, recall: float = RECALL, queries: int = CALIBRATION) -> None:
-    """Widen the visits until vectors that the leaves were not fitted on are found at the recall, by queries that they were not fitted on either.
-
-    A gap or a number of visits, whichever takes fewer.
-    """
-    gaps, ranks, tops, k = [], [], [], min(k, len(x) - 1)
-    of, picked = leaves.assign(x), np.flatnonzero(unseen)
-    for part in np.array_split(picked[:: -(-len(picked) // (4 * queries))], 4):
-        sims = x[part] @ x.T
-        sims[np.arange(len(part)), part] = -2
+    """Widen the visits until vectors that the leaves were not fitted on are found at the recall, by queries that they were not fitted on either."""
+    asked, held, k = [], [], min(k, len(x) - 1)
+    of, picked = leaves.assign(x), _asked(unseen, queries)
+    for part in np.array_split(np.arange(len(picked)), 4):
+        sims = x[picked[part]] @ x.T
+        sims[np.arange(len(part)), picked[part]] = -2
         true = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        near = x[part] @ leaves.centres.T
-        tops.append(near.max(axis=1, keepdims=True) - near)
         i, j = np.nonzero(unseen[true])
-        held = near[i, of[true[i, j]]]
-        gaps.append(near.max(axis=1)[i] - held)
-        ranks.append((near[i] > held[:, None]).sum(axis=1) + 1)
-    gap, most = (np.sort(np.concatenate(c)) for c in (gaps, ranks))
-    if len(gap):
-        at = min(len(gap), int(np.ceil(recall * len(gap)))) - 1
-        leaves.gap, number = float(gap[at]) + ROOM, int(most[at])
-        leaves.most = number if number < np.mean([(t <= leaves.gap).sum() / max(1, len(t)) for t in tops]) else 0
-    else:
+        asked.append(part[i])
+        held.append(of[true[i, j]])
+    widen(leaves, x[picked], np.concatenate(asked), np.concatenate(held), recall)
+
+
+def _asked(unseen: np.ndarray, queries: int = CALIBRATION) -> np.ndarray:
+    picked = np.flatnonzero(unseen)
+    return picked[:: max(1, -(-len(picked) // (4 * queries)))]
+
+
+def widen(leaves: Leaves, queries: np.ndarray, asked: np.ndarray, held: np.ndarray, recall: float = RECALL) -> None:
+    """Set the visits so that the recall's share of the pairs (query, leaf that holds a true neighbour) is met: a gap or a number of visits, whichever takes fewer."""
+    if not len(asked):
         leaves.most = len(leaves.centres)
+        return
+    near = queries @ leaves.centres.T
+    top = near.max(axis=1)
+    at = near[asked, held]
+    gap = np.sort(top[asked] - at)
+    most = np.sort(np.concatenate([(near[asked[a : a + 1024]] > at[a : a + 1024, None]).sum(axis=1) + 1 for a in range(0, len(asked), 1024)]))
+    n = min(len(gap), int(np.ceil(recall * len(gap)))) - 1
+    leaves.gap, number = float(gap[n]) + ROOM, int(most[n])
+    leaves.most = number if number < (near >= (top - leaves.gap)[:, None]).sum() / len(near) else 0
 
 
 def usable(df: DataFrame, vector: str, dim: int) -> F.Column:
@@ -182,7 +192,11 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
 
 def _sampled(df: DataFrame, key: str, part: float) -> DataFrame:
     """Rows that a hash of the key picks: the same at every run and partitioning."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(_RANGE)) < F.lit(int(_RANGE * min(1.0, part))))
+    return df.where(_picked(key, part))
+
+
+def _picked(key: str, part: float) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_RANGE)) < F.lit(int(_RANGE * min(1.0, part)))
 
 
 def _fitted(x: np.ndarray, rows: int, leaf_rows: int, k: int) -> Leaves:
@@ -197,6 +211,60 @@ def _fitted(x: np.ndarray, rows: int, leaf_rows: int, k: int) -> Leaves:
     return leaves
 
 
+def _true(raw: DataFrame, queries: np.ndarray, leaves: Leaves, dim: int, k: int, sampled: Column) -> tuple[np.ndarray, np.ndarray]:
+    """(query, leaf) of the k vectors of the collection that are most similar to each query, without those of the sample: one pass that moves k rows a
+    query and task. Equal vectors count once, the query's own not at all."""
+    shared = raw.sparkSession.sparkContext.broadcast((queries, leaves))
+
+    def run(batches):
+        q, leaves = shared.value
+        least, kept, step = np.full(len(q), -2, dtype=np.float32), (np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, bool)), 64
+        for b in batches:
+            flags, x = _units(b.column(0), b.column(1), dim)
+            flags, a = flags.to_numpy(zero_copy_only=False), 0
+            while a < len(x):
+                there = x[a : a + step]
+                sims = np.round(q @ there.T, 6)
+                i, j = np.nonzero(sims > least[:, None])
+                other = (q[i] != there[j]).any(axis=1)
+                i, j = i[other], j[other]
+                if len(i):
+                    some, at = np.unique(j, return_inverse=True)
+                    i, sim, leaf, flag = (np.concatenate(c) for c in zip(kept, (i, sims[i, j], leaves.assign(there[some])[at], flags[a + j])))
+                    order = np.lexsort((leaf, -sim, i))
+                    i, sim, leaf, flag = i[order], sim[order], leaf[order], flag[order]
+                    new = np.ones(len(i), dtype=bool)
+                    new[1:] = (i[1:] != i[:-1]) | (sim[1:] != sim[:-1]) | (leaf[1:] != leaf[:-1])
+                    i, sim, leaf, flag = i[new], sim[new], leaf[new], flag[new]
+                    n = np.arange(len(i)) - np.searchsorted(i, i, "left")
+                    least[i[n == k - 1]] = sim[n == k - 1]
+                    kept = tuple(c[n < k] for c in (i, sim, leaf, flag))
+                a, step = a + step, min(1024, 2 * step)
+        yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int32()), pa.array(-kept[1], pa.float32()), pa.array(kept[2], pa.int32()), pa.array(kept[3])], names=["q", "far", "leaf", "sampled"])
+
+    found = raw.select(F.when(F.col("id").isNotNull(), sampled).alias("s"), "v").mapInArrow(run, "q int, far float, leaf int, sampled boolean")
+    best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "leaf", "sampled"))), 1, k).alias("b"))
+    t = best.select("q", F.explode("b").alias("b")).where("NOT b.sampled").select("q", "b.leaf").toArrow()
+    return t["q"].to_numpy(), t["leaf"].to_numpy()
+
+
+def _tree(raw: DataFrame, sample: DataFrame, part: float, total: int, dim: int, leaf_rows: int, k: int) -> tuple[Leaves, np.ndarray] | None:
+    """The leaves and the sample. Where the sample is not the whole collection, the visits are calibrated by neighbours among all vectors: those
+    of a sample lie farther away the smaller its share, and would widen the visits of a large collection."""
+    picked = sample.toArrow()
+    x = _units(picked["id"].combine_chunks(), picked["v"].combine_chunks(), dim)[1]
+    if not len(x):
+        return None
+    leaves = _fitted(x, total, leaf_rows, k)
+    if len(leaves.centres) > 1 and part < 1:
+        distinct = np.unique(x, axis=0)
+        queries = distinct[_asked(np.arange(len(distinct)) % 4 == 3)]
+        asked, held = _true(raw, queries, leaves, dim, k, _picked("id", part))
+        if len(asked):
+            widen(leaves, queries, asked, held)
+    return leaves, x
+
+
 def _cells(held: np.ndarray, most: float, cell_rows: int) -> np.ndarray:
     """The cell of each leaf, by its rows: leaves of one branch, whose numbers follow one another, together; -1 for one of more than ``most`` rows."""
     cell, rows, out = 0, 0.0, np.full(len(held), -1, dtype=np.int32)
@@ -315,19 +383,33 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
     marks = marked(raw)
     total, most = marks.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     if most > 1:
-        raw = raw.where(F.col("id").isNotNull() & usable(raw, "v", dim)).groupBy("id").agg(F.min("v").alias("v"))
+        # where few keys are repeated, only their rows move
+        ids = cut(marks.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+        few = F.broadcast(ids) if ids.count() <= FEW else ids
+        single = raw.where(F.col("id").isNotNull() & usable(raw, "v", dim))
+        single = cut((single.join(few, "id", "left_semi") if few is not ids else single).groupBy("id").agg(F.min("v").alias("v")))
+        raw = raw.join(few, "id", "left_anti").unionByName(single) if few is not ids else single
         marks = marked(raw)
-    repeated = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1")
     copies = repeated.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    total -= copies
+    part, every_raw = sample / max(total, 1), raw
+    drawn = _sampled(raw, "id", part)
     if copies:
-        groups = cut(marks.join(repeated.select("h"), "h").groupBy("h").agg(F.min("id").alias("rep")))
+        groups = cut(repeated.select("h", "rep"))
         every = marks.join(groups, "h").select("rep", "id")
-        raw, total = raw.join(every.where("id <> rep").select("id"), "id", "left_anti"), total - copies
-    picked = _sampled(raw, "id", sample / max(total, 1)).toArrow()
-    x = _units(picked["id"].combine_chunks(), picked["v"].combine_chunks(), dim)[1]
-    if not len(x):
+        # the sample is drawn from keys, so that of the vectors only its own are read
+        first = cut(_sampled(marks.groupBy("h").agg(F.min("id").alias("id")).select("id"), "id", part))
+        drawn = raw.join(F.broadcast(first), "id", "left_semi")  # about ``sample`` keys
+        rest = every.where("id <> rep").select("id")
+        # the vectors themselves move only where copies are many, and then once
+        raw = spread(raw.join(F.broadcast(cut(rest)), "id", "left_anti")) if copies <= FEW else raw.join(rest, "id", "left_anti")
+    else:
+        raw = spread(raw)
+    tree = _tree(every_raw, drawn, part, total, dim, leaf_rows, k)
+    if tree is None:
         return spark.createDataFrame([], f"{key} {kind}, neighbour {kind}, rank int, cosine double")
-    leaves = _fitted(x, total, leaf_rows, k)
+    leaves, x = tree
     whole = min(OVERFULL * leaf_rows, max(4 * leaf_rows, WHOLE // dim))
     cell = _cells(leaves.held * (total / len(x)), whole, CELL_BLOCKS * block)
     shared = spark.sparkContext.broadcast(leaves)
@@ -347,7 +429,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = K, sample:
         asked, sizes = np.unique(q, return_counts=True)
         return pa.table({"id": ids.take(pa.array(asked)), "found": _lists(pairs, sizes)})
 
-    routed = spread(raw).mapInArrow(route, f"cell int, own int, visits array<int>, id {kind}, u binary")
+    routed = raw.mapInArrow(route, f"cell int, own int, visits array<int>, id {kind}, u binary")
     found = routed.groupBy("cell").applyInArrow(gather, f"id {kind}, found array<struct<far:double,neighbour:{kind}>>")
     if (cell < 0).any():
         found = found.unionByName(_apart(raw, shared, np.flatnonzero(cell < 0), dim, kind, leaf_rows, whole, k, block))
@@ -372,7 +454,7 @@ def _apart(raw: DataFrame, shared, big: np.ndarray, dim: int, kind: str, leaf_ro
             some = mine | (n > 0)
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), _binary(x[some]), pa.array(np.where(mine, of, -1)[some], pa.int32()), _lists(pa.array(leaf[met], pa.int32()), n[some])], names=["id", "u", "leaf", "visits"])
 
-    placed = cut(spread(raw).mapInArrow(place, f"id {kind}, u binary, leaf int, visits array<int>"))
+    placed = cut(raw.mapInArrow(place, f"id {kind}, u binary, leaf int, visits array<int>"))
     ours = placed.where("leaf >= 0").select(F.lit(True).alias("is_x"), "leaf", F.lit(0).alias("sub"), "id", "u")
     theirs = placed.select(F.lit(False).alias("is_x"), F.explode("visits").alias("leaf"), F.lit(0).alias("sub"), "id", "u")
     rows = _deepened(ours, theirs, kind, leaf_rows, whole, k, block)
