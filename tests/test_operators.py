@@ -262,3 +262,19 @@ def test_bit_fields(spark):
     some = {rnd.randrange(1 << 17) for _ in range(500)} | {0, 32_767, 32_768, (1 << 17) - 1}
     field = bit_field(spark.createDataFrame([(x,) for x in [*some, *some]], "spot int"), "spot", 1 << 17)
     assert {x for x in range(1 << 17) if field[x >> 3] >> (x & 7) & 1} == some and not bit_field(spark.createDataFrame([], "spot int"), "spot", 64).any()
+
+
+def test_bm25_sends_k_rows_a_query_and_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ["a", "b"] if i % 4 else ["a", "c", f"t{i}"]) for i in range(1200)], "ord bigint, tokens array<string>")
+    q = spark.createDataFrame([(i, f"b t{4 * i} c") for i in range(40)], "query_id int, query string")
+    want = sorted(map(tuple, retrieval.bm25_topk(q, docs, "ord", 5).collect()))
+    assert len(want) == 200 and all(want[5 * i][2] == 4 * i for i in range(40))  # the document of its own term is first, the rest by key
+    listed, terms, _ = retrieval._listed(docs, "ord", "tokens")
+    weighted = spark.createDataFrame([(i, "b", 1.0, 2.25) for i in range(40)], "query_id int, term string, w double, avgdl double")
+    sent = retrieval._scored(listed, "ord", weighted, "int", 5, 1.5, 0.75).cache()  # 900 documents of equal score
+    assert sent.count() <= 40 * 5 * spark.sparkContext.defaultParallelism and {r.ord for r in sent.collect()} >= {1, 2, 3, 5, 6}
+    for name, value in (("BROADCAST_TERMS", 0), ("BLOCK_TERMS", 20), ("SCORES", 1), ("DENSE", 0)):
+        monkeypatch.setattr(retrieval, name, value, raising=False)
+    assert sorted(map(tuple, retrieval.bm25_topk(q, docs, "ord", 5).collect())) == want
+    frames = [q.where("query_id < 0"), q.where("query_id = 0").withColumn("query", F.lit("zz"))]
+    assert [retrieval.bm25_topk(f, docs, "ord", 5).count() for f in frames] == [0, 0] and retrieval.bm25_topk(q, docs.limit(0), "ord").count() == 0

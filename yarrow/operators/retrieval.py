@@ -19,8 +19,10 @@ from yarrow.functions import text as T
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Numbers of the query vectors that are broadcast at once, and scores that a task holds at once.
 QUERY_VALUES, SCORES = 4_000_000, 4_000_000
-#: Rows of (query, term) that may be broadcast, some tens of bytes each.
+#: Rows of (query, term) that may be broadcast, some tens of bytes each, to meet stored postings.
 BROADCAST_TERMS = 200_000
+#: Rows of (query, term), and results, of the queries that meet the documents at once; numbers of the dense weights of frequent terms.
+BLOCK_TERMS, KEPT, DENSE = 1_000_000, 4_000_000, 8_000_000
 
 
 def searchable(chunks: DataFrame, text: str = "text", phrases: list[str] | None = None) -> DataFrame:
@@ -34,23 +36,52 @@ def _listed(docs: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFram
     """(a row a document with its distinct terms and their frequencies, terms, statistics). A document's tokens lie in its row, so that
     counting them moves nothing; only the terms' document frequencies cross an exchange."""
     def run(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2048):
+                b = whole.slice(a, 2048)
+                counts = [Counter(t) for t in b.column(1).to_pylist()]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counts], dtype=np.int64)]), pa.int32())
+                terms = pa.array([t for c in counts for t in c], pa.string()).dictionary_encode()
+                tf = pa.ListArray.from_arrays(ends, pa.array([n for c in counts for n in c.values()], pa.int32()))
+                dl = pa.array([sum(c.values()) for c in counts], pa.int32())
+                rows = pa.RecordBatch.from_arrays([b.column(0), dl, pa.ListArray.from_arrays(ends, terms.indices), tf], names=["key", "dl", "terms", "tfs"])
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(rows)], pa.binary()), pa.array([_packed(pa.RecordBatch.from_arrays([terms.dictionary], names=["term"]))], pa.binary())], names=["rows", "names"])
+
+    def unpacked(batches):
         for b in batches:
-            counts = [Counter(t) for t in b.column(1).to_pylist()]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counts], dtype=np.int64)]), pa.int32())
-            terms = pa.ListArray.from_arrays(ends, pa.array([t for c in counts for t in c], pa.string()))
-            tf = pa.ListArray.from_arrays(ends, pa.array([n for c in counts for n in c.values()], pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sum(c.values()) for c in counts], pa.int32()), terms, tf], names=[key, "dl", "terms", "tfs"])
+            for rows, names in zip(b.column(0), b.column(1)):
+                rows, names = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (rows, names))
+                for r in rows.to_batches():
+                    lists = r.column(2)
+                    terms = pa.ListArray.from_arrays(lists.offsets, names["term"].combine_chunks().take(lists.values))
+                    yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), terms, r.column(3)], names=[key, "dl", "terms", "tfs"])
+
+    def counted(batches):
+        for b in batches:
+            for rows, names in zip(b.column(0), b.column(1)):
+                rows, names = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (rows, names))
+                n = np.bincount(rows["terms"].combine_chunks().flatten().to_numpy(), minlength=len(names))
+                yield pa.RecordBatch.from_arrays([names["term"].combine_chunks(), pa.array(n, pa.int64())], names=["term", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
-    listed = cut(spread(docs.select(key, tokens)).mapInArrow(run, f"`{key}` {kind}, dl int, terms array<string>, tfs array<int>"))
+    # terms once a block of documents and compressed: written as rows they take some five times the documents' own size
+    packed = cut(spread(docs.select(key, tokens)).mapInArrow(run, "rows binary, names binary"))
+    listed = packed.mapInArrow(unpacked, f"`{key}` {kind}, dl int, terms array<string>, tfs array<int>")
     stats = listed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = listed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
+    terms = packed.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
     terms = cut(terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = terms.agg(F.avg("raw").alias("mean"))
     terms = terms.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
     return listed, terms.select("term", "df", "idf", "avgdl"), stats
 
 
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _postings(listed: DataFrame, key: str) -> DataFrame:
     return listed.select(key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(key, "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
 
@@ -95,7 +126,7 @@ def top(df: DataFrame, group: str, score: Column, k: int, *ties: str) -> DataFra
 def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: float = K1, b: float = B, kind: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, rank, key, bm25_score) for all queries at once; scores of zero or less have no rank.
 
-    Only postings of terms that some query has are scored; the k best of each query leave a task. ``kind``: a doc_type that
+    Only postings of terms that some query has are scored; the k best of each query leave a task, of equal ones the first by key. ``kind``: a doc_type that
     results must have, applied behind the scoring, so that document frequencies stay those of the corpus. ``index``: a stored one.
     """
     if index:
@@ -105,12 +136,17 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: fl
         postings = _postings(listed, key)
     asked = cut(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     weighted = asked.join(terms, "term")
-    # the query terms are sent to the documents only if they are few; more are joined by a shuffle on the term
-    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    if few and listed is not None:
-        scores = _scored(listed, key, weighted.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl"), queries.schema["query_id"].dataType.simpleString(), None if kind else k, k1, b)
+    if listed is not None:
+        # every query's terms are sent to the documents, in blocks of queries; a join on the term would make a row of each posting and query
+        n_terms, n_queries = asked.agg(F.count(F.lit(1)), F.countDistinct("query_id")).first()
+        blocks = max(1, -(-n_terms // BLOCK_TERMS), -(-n_queries * k // KEPT))
+        weighted = weighted.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
+        weighted = cut(weighted) if blocks > 1 else weighted
+        id_kind, of = queries.schema["query_id"].dataType.simpleString(), F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        scores = reduce(DataFrame.unionByName, [_scored(listed, key, weighted.where(of == n), id_kind, None if kind else k, k1, b) for n in range(blocks)])
     else:
-        weighted = F.broadcast(weighted) if few else weighted
+        # few terms are sent to the stored postings; more are joined by a shuffle on the term
+        weighted = F.broadcast(weighted) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else weighted
         length = 1 - b + b * F.col("dl") / F.col("avgdl")
         part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
         scores = weighted.join(postings, "term").groupBy("query_id", key).agg(F.sum(part).alias("s")).where("s > 0").withColumn("bm25_score", F.round("s", 6))
@@ -120,49 +156,81 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: fl
 
 
 def _scored(listed: DataFrame, key: str, weighted: DataFrame, id_kind: str, k: int | None, k1: float, b: float) -> DataFrame:
-    """(query_id, key, bm25_score): documents in blocks against all queries' terms, a sparse product each; of a block only what may be among
-    the k best of a query goes on, or everything with k = None."""
+    """(query_id, key, bm25_score): documents in blocks against all queries' terms, frequent terms by a dense product, the others by a sparse one.
+    A task keeps the k best of each query, so what moves hangs on neither the number of documents nor on what they share; k = None: everything goes on."""
     spark = listed.sparkSession
     asked = weighted.toArrow().combine_chunks()
     key_kind = listed.schema[key].dataType.simpleString()
+    schema = f"query_id {id_kind}, `{key}` {key_kind}, bm25_score double"
+    if not asked.num_rows:
+        return spark.createDataFrame([], schema)
     ids, names = asked["query_id"].combine_chunks().dictionary_encode(), asked["term"].combine_chunks().dictionary_encode()
     order = np.argsort(names.indices.to_numpy(), kind="stable")
     starts = np.searchsorted(names.indices.to_numpy()[order], np.arange(len(names.dictionary) + 1))
-    mean = asked["avgdl"][0].as_py() if asked.num_rows else 1.0
-    shared = spark.sparkContext.broadcast((ids.dictionary, names.dictionary, starts, ids.indices.to_numpy()[order], asked["w"].to_numpy()[order]))
+    mean = asked["avgdl"][0].as_py()
+    shared = spark.sparkContext.broadcast((ids.dictionary, names.dictionary, starts, ids.indices.to_numpy()[order].astype(np.int64), asked["w"].to_numpy()[order]))
 
     def run(batches):
         ids, names, starts, query, weight = shared.value
-        n_queries = len(ids)
-        if not n_queries:
-            return
+        n_queries, asked_by, place = len(ids), np.diff(starts), None
+        block = max(64, SCORES // n_queries)
+        least, kept, waiting = np.zeros(n_queries), None, []
+
+        def settled():
+            q, score = (np.concatenate([x[c] for x in waiting]) for c in (0, 1))
+            keys = pa.concat_arrays([x[2] for x in waiting])
+            order = np.lexsort((pc.rank(keys, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy(), -score, q))
+            at = q[order]
+            n = np.arange(len(at)) - np.searchsorted(at, at, "left")
+            least[at[n == k - 1]] = score[order[n == k - 1]]
+            order = order[n < k]
+            return q[order], score[order], keys.take(pa.array(order))
+
         for batch in batches:
-            block = max(64, SCORES // n_queries)
+            at = pc.fill_null(pc.index_in(batch.column(2).flatten(), value_set=names), -1).to_numpy()
+            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
+            known = np.flatnonzero(at >= 0)
+            doc, term, tf = doc[known], at[known], batch.column(3).flatten().to_numpy()[known].astype(float)
+            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * batch.column(1).to_numpy()[doc] / mean))
+            if place is None:  # terms that a three-hundredth of all pairs of a document and a query share
+                pairs = asked_by * np.bincount(term, minlength=len(names))
+                frequent = np.argsort(-pairs, kind="stable")[: DENSE // n_queries]
+                frequent = frequent[pairs[frequent] * 300 > n_queries * batch.num_rows]
+                place, dense = np.full(len(names), -1), np.zeros((len(frequent), n_queries))
+                place[frequent] = np.arange(len(frequent))
+                for n, t in enumerate(frequent):
+                    dense[n, query[starts[t] : starts[t + 1]]] = weight[starts[t] : starts[t + 1]]
             for a in range(0, batch.num_rows, block):
-                part = batch.slice(a, block)
-                scores = np.zeros((part.num_rows, n_queries))
-                for c in range(0, part.num_rows, 512):
-                    some = part.slice(c, 512)
-                    at = pc.fill_null(pc.index_in(some.column(2).flatten(), value_set=names), -1).to_numpy()
-                    sizes = pc.list_value_length(some.column(2)).to_numpy()
-                    doc, tf = np.repeat(np.arange(some.num_rows), sizes), some.column(3).flatten().to_numpy().astype(float)
-                    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * some.column(1).to_numpy()[doc] / mean))
-                    known = np.flatnonzero(at >= 0)
-                    term = at[known]
-                    count = starts[term + 1] - starts[term]
-                    posting = np.repeat(known, count)
-                    entry = np.repeat(starts[term], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    cell = doc[posting] * n_queries + query[entry]
-                    scores[c : c + some.num_rows] += np.bincount(cell, weights=gain[posting] * weight[entry], minlength=some.num_rows * n_queries).reshape(-1, n_queries)
-                good = scores > 0
-                scores = np.round(scores, 6)
-                if k is not None and len(scores) > k:
-                    # equal scores at the border all go on: their order is decided behind the exchange
-                    good &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-                r, q = np.nonzero(good)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column(0).take(pa.array(r)), pa.array(scores[r, q])], names=["query_id", key, "bm25_score"])
-
-    return listed.mapInArrow(run, f"query_id {id_kind}, `{key}` {key_kind}, bm25_score double")
+                part = slice(*np.searchsorted(doc, [a, a + block]))
+                d, t, g, p = doc[part] - a, term[part], gain[part], place[term[part]]
+                rows = min(block, batch.num_rows - a)
+                some = p >= 0
+                x = np.zeros((rows, len(dense)))
+                x[d[some], p[some]] = g[some]
+                scores = x @ dense
+                d, t, g = d[~some], t[~some], g[~some]
+                count = asked_by[t]
+                entry = np.repeat(starts[t] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                scores += np.bincount(np.repeat(d * n_queries, count) + query[entry], weights=np.repeat(g, count) * weight[entry], minlength=rows * n_queries).reshape(rows, n_queries)
+                floor = np.maximum(least - 1e-6, 0)
+                if k is not None and kept is None and not waiting and rows > k:
+                    floor = np.maximum(floor, np.partition(scores, rows - k, axis=0)[rows - k] - 1e-6)
+                r, q = np.divmod(np.flatnonzero(scores > floor), n_queries)
+                found = q, np.round(scores[r, q], 6), batch.column(0).take(pa.array(a + r))
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), found[2], pa.array(found[1])], names=["query_id", key, "bm25_score"])
+                    continue
+                waiting.append(found)
+                if sum(len(x[0]) for x in waiting) > (2 if kept is not None else 1) * n_queries * k:
+                    kept = settled()
+                    waiting = [kept]
+        if waiting:
+            q, score, keys = settled()
+            for a in range(0, len(q), 100_000):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[a : a + 100_000])), keys.slice(a, 100_000), pa.array(score[a : a + 100_000])], names=["query_id", key, "bm25_score"])
+
+    cores = spark.sparkContext.defaultParallelism
+    return (listed.coalesce(cores) if k is not None else listed).mapInArrow(run, schema)
 
 
 def searchable_points(points: DataFrame, kind: str | None = None) -> DataFrame:
