@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import duckdb
 import pytest
@@ -278,3 +279,25 @@ def test_bm25_sends_k_rows_a_query_and_task(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.bm25_topk(q, docs, "ord", 5).collect())) == want
     frames = [q.where("query_id < 0"), q.where("query_id = 0").withColumn("query", F.lit("zz"))]
     assert [retrieval.bm25_topk(f, docs, "ord", 5).count() for f in frames] == [0, 0] and retrieval.bm25_topk(q, docs.limit(0), "ord").count() == 0
+
+
+def test_texts_move_once_or_not_at_all(spark, capsys):
+    def moved(df):  # exchanges whose rows hold texts
+        df.explain("formatted")
+        return sum("text#" in row for row in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", capsys.readouterr().out))
+
+    rows = [(1, 0, "c1", "p1", "s1", 0, 0.03, "t"), (1, 1, "c2", "p1", "s1", 1, 0.029, "chắc chắn khỏi hẳn"), (2, 0, "c1", "p1", "s1", 0, 0.03, "có thể gặp ho")]
+    r = spark.createDataFrame(rows, "query_id int, rank int, chunk_id string, parent_id string, source_id string, child_index int, score double, text string")
+    q = spark.createDataFrame([(1, "có khỏi hẳn không"), (2, "công dụng")], "query_id int, query string")
+    gate = evidence.gate(r, q)
+    assert moved(gate) == 0
+    assert sorted(gate.collect()) == sorted(evidence.gate(evidence.said(r), q).collect()) and gate.where("query_id = 1").first().reason == "pass"
+    kids = spark.createDataFrame([("p1", 0, 1, "một"), ("p1", 1, 2, "hai"), ("p1", 2, 3, "một")], "parent_id string, child_index int, ord int, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        context = evidence.context(r, kids)
+        assert moved(context) == 2  # to the places, and to the queries
+        assert {(x.query_id, x.context) for x in context.collect()} == {(1, "một\n\n---\n\nhai"), (2, "một\n\n---\n\nhai")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

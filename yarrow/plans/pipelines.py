@@ -32,14 +32,14 @@ def ask(questions: DataFrame, chunks: DataFrame, k: int = 40) -> DataFrame:
     Questions whose gate fails have no answer. Without chunks every question comes back with the reason 'no results'.
     """
     docs = retrieval.searchable(chunks)
-    found = retrieval.bm25_topk(questions, docs, "ord", k)
-    # gate, evidence and context all read the few best rows of each question, so these are written once
-    rows = found.join(chunks.select("ord", "chunk_id", "parent_id", "source_id", "child_index", "text"), "ord").withColumn("score", 1.0 / (61 + F.col("rank")))
-    rows = cut(rows)
-    decided = evidence.gate(rows, questions)
-    cites = rows.where("rank < 4").select("query_id", F.concat(F.lit("E"), (F.col("rank") + 1).cast("string")).alias("citation_id"), "chunk_id", T.snippet(F.col("text"), 160).alias("snippet"))
+    # gate, evidence and context all read the few best rows of each question, so these are written once, without the chunks' columns
+    found = cut(retrieval.bm25_topk(questions, docs, "ord", k)).select("query_id", "ord", "rank", (1.0 / (61 + F.col("rank"))).alias("score"))
+    parts = chunks.select("ord", "chunk_id", "parent_id", "source_id", "text", T.snippet(F.col("text"), 160).alias("snippet"))
+    head = cut(found.where("rank < 8").join(evidence.said(parts), "ord").withColumn("snippet", F.when(F.col("rank") < 4, F.col("snippet"))))
+    decided = evidence.gate(head.drop("snippet"), questions)
+    cites = head.where("rank < 4").select("query_id", F.concat(F.lit("E"), (F.col("rank") + 1).cast("string")).alias("citation_id"), "chunk_id", "snippet")
     said = answers.extractive_answers(cites)
-    seen = evidence.context(rows, chunks.select("parent_id", "child_index", "ord", "text"))
+    seen = evidence.context(found.join(chunks.select("ord", "parent_id", "child_index"), "ord"), chunks.select("parent_id", "child_index", "ord", "text"))
     out = decided.join(said, "query_id", "left").join(seen, "query_id", "left")
     return out.select("query_id", "passes", "reason", F.when(F.col("passes"), F.col("answer")).alias("answer"), "context", "selected")
 
