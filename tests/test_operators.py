@@ -270,9 +270,9 @@ def test_bm25_sends_k_rows_a_query_and_task(spark, monkeypatch):
     q = spark.createDataFrame([(i, f"b t{4 * i} c") for i in range(40)], "query_id int, query string")
     want = sorted(map(tuple, retrieval.bm25_topk(q, docs, "ord", 5).collect()))
     assert len(want) == 200 and all(want[5 * i][2] == 4 * i for i in range(40))  # the document of its own term is first, the rest by key
-    listed, terms, _ = retrieval._listed(docs, "ord", "tokens")
+    packed = retrieval._listed(docs, "ord", "tokens")[3]
     weighted = spark.createDataFrame([(i, "b", 1.0, 2.25) for i in range(40)], "query_id int, term string, w double, avgdl double")
-    sent = retrieval._scored(listed, "ord", weighted, "int", 5, 1.5, 0.75).cache()  # 900 documents of equal score
+    sent = retrieval._scored(packed, "ord", weighted, ("int", "bigint"), 5, 1.5, 0.75).cache()  # 900 documents of equal score
     assert sent.count() <= 40 * 5 * spark.sparkContext.defaultParallelism and {r.ord for r in sent.collect()} >= {1, 2, 3, 5, 6}
     for name, value in (("BROADCAST_TERMS", 0), ("BLOCK_TERMS", 20), ("SCORES", 1), ("DENSE", 0)):
         monkeypatch.setattr(retrieval, name, value, raising=False)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,11 +18,11 @@ from yarrow.functions import text as T
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Numbers of the query vectors that are broadcast at once, and scores that a task holds at once.
-QUERY_VALUES, SCORES = 4_000_000, 4_000_000
+QUERY_VALUES, SCORES = 4_000_000, 2_000_000
 #: Rows of (query, term) that may be broadcast, some tens of bytes each, to meet stored postings.
 BROADCAST_TERMS = 200_000
 #: Rows of (query, term), and results, of the queries that meet the documents at once; numbers of the dense weights of frequent terms.
-BLOCK_TERMS, KEPT, DENSE = 1_000_000, 4_000_000, 8_000_000
+BLOCK_TERMS, KEPT, DENSE = 1_000_000, 1_000_000, 4_000_000
 
 
 def searchable(chunks: DataFrame, text: str = "text", phrases: list[str] | None = None) -> DataFrame:
@@ -32,8 +32,8 @@ def searchable(chunks: DataFrame, text: str = "text", phrases: list[str] | None
     return df.withColumn("tokens", T.with_phrases(F.col("tokens"), phrases)) if phrases else df
 
 
-def _listed(docs: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a row a document with its distinct terms and their frequencies, terms, statistics). A document's tokens lie in its row, so that
+def _listed(docs: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(a row a document with its distinct terms and their frequencies, terms, statistics, the documents in packed blocks). A document's tokens lie in its row, so that
     counting them moves nothing; only the terms' document frequencies cross an exchange."""
     def run(batches):
         for whole in batches:
@@ -48,20 +48,13 @@ def _listed(docs: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([_packed(rows)], pa.binary()), pa.array([_packed(pa.RecordBatch.from_arrays([terms.dictionary], names=["term"]))], pa.binary())], names=["rows", "names"])
 
     def unpacked(batches):
-        for b in batches:
-            for rows, names in zip(b.column(0), b.column(1)):
-                rows, names = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (rows, names))
-                for r in rows.to_batches():
-                    lists = r.column(2)
-                    terms = pa.ListArray.from_arrays(lists.offsets, names["term"].combine_chunks().take(lists.values))
-                    yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), terms, r.column(3)], names=[key, "dl", "terms", "tfs"])
+        for r, names in _opened(batches):
+            lists = r.column(2)
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.ListArray.from_arrays(lists.offsets, names.take(lists.values)), r.column(3)], names=[key, "dl", "terms", "tfs"])
 
     def counted(batches):
-        for b in batches:
-            for rows, names in zip(b.column(0), b.column(1)):
-                rows, names = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (rows, names))
-                n = np.bincount(rows["terms"].combine_chunks().flatten().to_numpy(), minlength=len(names))
-                yield pa.RecordBatch.from_arrays([names["term"].combine_chunks(), pa.array(n, pa.int64())], names=["term", "n"])
+        for r, names in _opened(batches):
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(r.column(2).flatten().to_numpy(), minlength=len(names)), pa.int64())], names=["term", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
     # terms once a block of documents and compressed: written as rows they take some five times the documents' own size
@@ -72,7 +65,14 @@ def _listed(docs: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFram
     terms = cut(terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = terms.agg(F.avg("raw").alias("mean"))
     terms = terms.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
-    return listed, terms.select("term", "df", "idf", "avgdl"), stats
+    return listed, terms.select("term", "df", "idf", "avgdl"), stats, packed
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """(key, dl, numbers of the distinct terms, their frequencies) of each block of documents, and its terms."""
+    for b in batches:
+        for rows, names in zip(b.column(0), b.column(1)):
+            yield pa.ipc.open_stream(rows.as_buffer()).read_next_batch(), pa.ipc.open_stream(names.as_buffer()).read_next_batch().column(0)
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
@@ -92,7 +92,7 @@ def bm25_index(docs: DataFrame, key: str, tokens: str = "tokens") -> tuple[DataF
     Documents and terms are written once to the session's shared folder; whatever is asked of the index reads those. Terms in more than half
     of the documents get EPSILON times the mean idf instead of a negative one.
     """
-    listed, terms, stats = _listed(docs, key, tokens)
+    listed, terms, stats, _ = _listed(docs, key, tokens)
     return _postings(listed, key), terms, stats
 
 
@@ -130,20 +130,20 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: fl
     results must have, applied behind the scoring, so that document frequencies stay those of the corpus. ``index``: a stored one.
     """
     if index:
-        (postings, terms), listed = index, None
+        (postings, terms), packed = index, None
     else:
-        listed, terms, _ = _listed(docs, key, "tokens")
-        postings = _postings(listed, key)
+        _, terms, _, packed = _listed(docs, key, "tokens")
     asked = cut(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     weighted = asked.join(terms, "term")
-    if listed is not None:
+    if packed is not None:
         # every query's terms are sent to the documents, in blocks of queries; a join on the term would make a row of each posting and query
         n_terms, n_queries = asked.agg(F.count(F.lit(1)), F.countDistinct("query_id")).first()
         blocks = max(1, -(-n_terms // BLOCK_TERMS), -(-n_queries * k // KEPT))
         weighted = weighted.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
         weighted = cut(weighted) if blocks > 1 else weighted
-        id_kind, of = queries.schema["query_id"].dataType.simpleString(), F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        scores = reduce(DataFrame.unionByName, [_scored(listed, key, weighted.where(of == n), id_kind, None if kind else k, k1, b) for n in range(blocks)])
+        kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+        of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        scores = reduce(DataFrame.unionByName, [_scored(packed, key, weighted.where(of == n), kinds, None if kind else k, k1, b) for n in range(blocks)])
     else:
         # few terms are sent to the stored postings; more are joined by a shuffle on the term
         weighted = F.broadcast(weighted) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else weighted
@@ -155,13 +155,12 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, k: int = 40, k1: fl
     return top(scores, "query_id", F.col("bm25_score"), k, key).select("query_id", "rank", key, "bm25_score")
 
 
-def _scored(listed: DataFrame, key: str, weighted: DataFrame, id_kind: str, k: int | None, k1: float, b: float) -> DataFrame:
+def _scored(packed: DataFrame, key: str, weighted: DataFrame, kinds: tuple[str, str], k: int | None, k1: float, b: float) -> DataFrame:
     """(query_id, key, bm25_score): documents in blocks against all queries' terms, frequent terms by a dense product, the others by a sparse one.
     A task keeps the k best of each query, so what moves hangs on neither the number of documents nor on what they share; k = None: everything goes on."""
-    spark = listed.sparkSession
+    spark = packed.sparkSession
     asked = weighted.toArrow().combine_chunks()
-    key_kind = listed.schema[key].dataType.simpleString()
-    schema = f"query_id {id_kind}, `{key}` {key_kind}, bm25_score double"
+    schema = f"query_id {kinds[0]}, `{key}` {kinds[1]}, bm25_score double"
     if not asked.num_rows:
         return spark.createDataFrame([], schema)
     ids, names = asked["query_id"].combine_chunks().dictionary_encode(), asked["term"].combine_chunks().dictionary_encode()
@@ -186,8 +185,8 @@ def _scored(listed: DataFrame, key: str, weighted: DataFrame, id_kind: str, k: i
             order = order[n < k]
             return q[order], score[order], keys.take(pa.array(order))
 
-        for batch in batches:
-            at = pc.fill_null(pc.index_in(batch.column(2).flatten(), value_set=names), -1).to_numpy()
+        for batch, own in _opened(batches):
+            at = pc.fill_null(pc.index_in(own, value_set=names), -1).to_numpy()[batch.column(2).flatten().to_numpy()]
             doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
             known = np.flatnonzero(at >= 0)
             doc, term, tf = doc[known], at[known], batch.column(3).flatten().to_numpy()[known].astype(float)
@@ -230,7 +229,7 @@ def _scored(listed: DataFrame, key: str, weighted: DataFrame, id_kind: str, k: i
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[a : a + 100_000])), keys.slice(a, 100_000), pa.array(score[a : a + 100_000])], names=["query_id", key, "bm25_score"])
 
     cores = spark.sparkContext.defaultParallelism
-    return (listed.coalesce(cores) if k is not None else listed).mapInArrow(run, schema)
+    return (packed.coalesce(cores) if k is not None else packed).mapInArrow(run, schema)
 
 
 def searchable_points(points: DataFrame, kind: str | None = None) -> DataFrame:
